@@ -1,0 +1,8 @@
+"""Corpus pipeline."""
+
+STAGES = []
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
