@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import crc_mod, table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.language_id import fit_language_model, identify_language
 
@@ -24,6 +30,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.vector_dedup import link_vectors
+
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.url_filter import filter_urls
 
@@ -63,9 +75,49 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.substring_dedup import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_license_scan, op5_url_filter, op6_best_fit_packing, op7_token_files, op8_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_license_scan, op4_vector_dedup, op5_url_filter, op6_best_fit_packing, op7_token_files, op8_toxicity, op9_jaccard_join, op10_substring_dedup)}
+
+
+#: Words of a document and a running list of its 20-word windows; the first place of each window stays.
+SUBSTRING_SQL = r"""
+with doc as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select doc_id, unnest(range(1, len(w) - 18)) as s, w from doc where len(w) >= 20),
+h as (select doc_id, s, array_to_string(w[s:s+19], ' ') as k from win),
+r as (select doc_id, s, row_number() over (partition by k order by doc_id, s) as n from h),
+c as (select distinct doc_id, unnest(range(s, s + 20)) as p from r where n > 1),
+g as (select doc_id, list(p) as gone, count(*) as n_removed from c group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: gone is null or not list_contains(gone, i)), ' ')) as kept_sha256
+from doc left join g using (doc_id)
+"""
+
+#: Copies of a text have its set, so that the least id of each different text stands for them.
+JACCARD_SQL = r"""
+with recursive doc as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+t as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k+4], ' '))) as s from doc where len(w) > 0),
+n as (select doc_id, count(*) as n from t group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as both from t a join t b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both >= 75 * (x.n + y.n - both)),
+reach as (select doc_id, doc_id as root from doc union select e.b, reach.root from reach join e on e.a = reach.doc_id)
+select doc_id, cast(coalesce(max(n), 0) as bigint) as n_shingles, min(root) as component_id from reach left join n using (doc_id) group by doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidemark.llm.decontamination import CONTAMINATED_SQL
+
+    return {"op1_decontamination": CONTAMINATED_SQL, "op9_jaccard_join": JACCARD_SQL, "op10_substring_dedup": SUBSTRING_SQL}
