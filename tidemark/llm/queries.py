@@ -110,8 +110,8 @@ with recursive doc as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 t as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k:k+4], ' '))) as s from doc where len(w) > 0),
 n as (select doc_id, count(*) as n from t group by doc_id),
-c as (select a.doc_id as a, b.doc_id as b, count(*) as both from t a join t b on a.s = b.s and a.doc_id <> b.doc_id group by all),
-e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both >= 75 * (x.n + y.n - both)),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as shared from t a join t b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
 reach as (select doc_id, doc_id as root from doc union select e.b, reach.root from reach join e on e.a = reach.doc_id)
 select doc_id, cast(coalesce(max(n), 0) as bigint) as n_shingles, min(root) as component_id from reach left join n using (doc_id) group by doc_id
 """

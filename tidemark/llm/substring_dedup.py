@@ -148,25 +148,27 @@ def factors(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], new])].tolist(), (starts[np.concatenate([new - 1, [len(starts) - 1]])] + width).tolist()))
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
-    """One row for each row of docs: id, n_words, n_removed, spans (word ranges removed, end exclusive), kept (words joined by a space), kept_sha256.
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: id, n_words, n_removed, spans (word ranges removed, end exclusive), kept (words joined by a space), kept_sha256, and the columns of carry.
 
-    Ids are whole numbers, one for each document; rows that share one count as one document of their order of texts only if their
-    texts differ in no window, so give each its own. Null texts have no words. Texts of fewer than ``width`` words keep all. Rows with
-    a null id are neither compared nor changed. Windows are compared by 64 bits of a hash within blocks chosen by another one.
-    Further columns are ignored; an empty table gives no rows.
+    Ids are whole numbers, one for each document: of rows that share an id, a window that any of them has again loses its words in
+    all of them. Null texts have no words. Texts of fewer than ``width`` words keep all. Rows with a null id are neither compared nor
+    changed. Windows are compared by 64 bits of a hash within blocks chosen by another one. Columns of docs that carry doesn't name
+    are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     blocks = parts = max(BLOCKS, partitions(spark))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    copies = copied_starts(d.filter("doc_id is not null"), width, blocks, parts)
+    own = [f"_c{k}" for k in range(len(carry))]
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for c, k in zip(carry, own)))
+    carried = "".join(f", {k} {d.schema[k].dataType.simpleString()}" for k in own)
+    copies = copied_starts(d.select("doc_id", "text").filter("doc_id is not null"), width, blocks, parts)
 
     def part_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(part=np.where(b["doc_id"].isna(), b.index % parts, doc_part(b["doc_id"].fillna(0).to_numpy(np.int64), parts)).astype(np.int32))
 
-    texts = d.mapInPandas(part_of, "doc_id long, text string, part int")
-    schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string, kept_sha256 string"
+    texts = d.mapInPandas(part_of, f"doc_id long, text string{carried}, part int")
+    schema = f"doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string, kept_sha256 string{carried}"
 
     def put_together(texts: pd.DataFrame, copies: pd.DataFrame) -> pd.DataFrame:
         found = [unpack_places(*x) for x in zip(copies["docs"], copies["counts"], copies["gaps"])]
@@ -186,7 +188,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             kept += words[at:]
             data = b" ".join(kept)
             rows.append((i, len(words), len(words) - len(kept), [{"start": x, "end": y} for x, y in spans], data.decode("utf-8", "surrogatepass"), hashlib.sha256(data).hexdigest()))
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "spans", "kept", "kept_sha256"]).astype({"doc_id": "Int64"})
+        found = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "spans", "kept", "kept_sha256"]).astype({"doc_id": "Int64"})
+        return found.assign(**{k: texts[k].to_numpy() for k in own})
 
     out = texts.groupBy("part").cogroup(copies.groupBy("part")).applyInPandas(put_together, schema)
-    return out.withColumnRenamed("doc_id", id_col)
+    return out.select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "spans", "kept", "kept_sha256", *(F.col(k).alias(c) for c, k in zip(carry, own)))
