@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.plans import contract_plans, forecast_plans, health_plans, learning_plans, quality_plans, series_plans, source_plans  # noqa: F401
+from tidemark.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
