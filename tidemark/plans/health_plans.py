@@ -84,7 +84,6 @@ health as (select *, case when len(flags) > 0 then flags else [code] end as code
 
 
 HEALTH = _health_sql()
-FLAG_TEXT = F.array_join(F.transform("flags", lambda f: f["code"]), ",")
 
 
 @query("h1_ratio_bands", f"with {I.PANEL} select series_id, date, case when VFA_TA_A < 0.30 then 'Stable' when VFA_TA_A < 0.40 then 'Caution' when VFA_TA_A < 0.80 then 'Unstable' when VFA_TA_A >= 0.80 then 'Danger' end as band from panel")
@@ -122,7 +121,7 @@ def h7_confidence(spark, d):
 @query("health_history", f"with {HEALTH} select series_id, date, state, code, array_to_string(flags, ',') as flags, confidence, previous_state from health")
 def health_history(spark, d):
     """The state of every row of every series in one job."""
-    return diagnosed(spark, d).select("series_id", "date", "state", "code", FLAG_TEXT.alias("flags"), "confidence", "previous_state")
+    return diagnosed(spark, d).select("series_id", "date", "state", "code", F.array_join(F.transform("flags", lambda f: f["code"]), ",").alias("flags"), "confidence", "previous_state")
 
 
 @query("h17_commands", f"with {HEALTH} select series_id, date, cast(case when code = 'ACID_SEVERE' then 99.0 when code = 'ACID_EARLY' then 135.0 end as double) as feed_target, case when list_contains(flags, 'THERMAL_ACTION_CANDIDATE') then 'CONDITION_VERIFIED' else 'CONDITION_NOT_VERIFIED' end as thermal_gate, case when list_contains(flags, 'BUFFER_DEPLETION_CANDIDATE') then 'CONDITION_VERIFIED' else 'CONDITION_NOT_VERIFIED' end as alkali_gate, case when list_contains(flags, 'AMMONIA_ACTION_CANDIDATE') then 'VERIFY_AMMONIA,' else '' end || 'CROSS_CHECK_SENSORS,NO_UNVERIFIED_CHANGES' as advisories from health")
