@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, *, most_rounds: int = 60) -> DataFram
     smallest neighbour is an aggregate, and the join that spreads it can be split. Each round's edges are checkpointed.
     """
     shared_folder(edges.sparkSession)
-    start = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).dropna()
+    start = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).dropna().checkpoint()  # it is read twice
     ids = start.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     e = start.filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct().checkpoint()
     before = None

@@ -1,12 +1,14 @@
 """N-gram Jaccard self-join of documents by token-combination prefixes.
 
 A document is the set of its distinct word shingles. Tokens are ordered from rare to frequent, by a bounded table of the most frequent
-tokens that a count over all documents gives. Sets of n tokens that are similar enough share at least ``a = ceil(t * n)`` tokens, and
-the k least of those stand among the first ``n - a + k`` tokens of both: the prefix, extended for k. There, rare tokens are index keys
-by themselves, and frequent ones in all combinations of k = 2: two similar sets share a rare token of their prefixes or two frequent ones.
-
-Keys are reduced in each task before they are shuffled (a key leaves a task once, however many documents have it), and a key links its
-documents in a star, not in pairs. The connected groups of these candidates are verified with exact set sizes: whole groups in one
+tokens, and a bitmap of bounded size of those that stand in more than one document, both from a count over all documents. Sets of n
+tokens that are similar enough share at least ``a = ceil(t * n)`` tokens, and the k least of those stand among the first ``n - a + k``
+tokens of both: the prefix, extended for k. There, rare tokens are index keys by themselves, and frequent ones in all combinations of
+k = 2: two similar sets share a rare token of their prefixes or two frequent ones.
+
+Similar sets also have sizes within the threshold of each other, so a key links its documents in a chain by size, where neighbours are
+close enough, not in pairs. Keys are reduced in each task before they are shuffled: of the documents of a key whose sizes are of one
+narrow class, the first and the last leave the task, however many there are. The connected groups of these candidates are verified with exact set sizes: whole groups in one
 task where they are small, and by pairs of blocks where they are large, so that no task holds an unbounded group.
 """
 
@@ -69,15 +71,19 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[root[moved]]
 
 
-def stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each key with its smallest document, and an edge to that from every other document of the key."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    least = docs[first][np.cumsum(first) - 1]
-    other = ~first & (docs != least)
-    return keys[first], docs[first], docs[other], least[other]
+def chains(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by key and size, and an edge between neighbours of a key whose sizes are close enough."""
+    order = np.lexsort((docs, sizes, keys))
+    k, d, n = keys[order], docs[order], sizes[order]
+    close = (k[1:] == k[:-1]) & (n[:-1] * 100 >= n[1:] * percent) & (d[1:] != d[:-1])
+    return order, d[1:][close], d[:-1][close]
+
+
+def outer(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of sorted keys and sizes, the first and last of each key and size class; a class spans a factor of 1.15."""
+    c = (np.log(sizes) / np.log(1.15)).astype(np.int64)
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (c[1:] != c[:-1])])
+    return new | np.concatenate([new[1:], [True]])
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -93,18 +99,21 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel(), dtype=kind)
 
 
-def frequent_tokens(docs: DataFrame, width: int, hot: dict, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit token hashes, ascending, and in how many documents each stands: the ``most`` most frequent ones of at least ``least``."""
+def frequent_tokens(docs: DataFrame, width: int, hot: dict, least: int, most: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit token hashes, ascending, and in how many documents each stands: the ``most`` most frequent ones of at least ``least``;
+    and a bitmap of 2 ** bits, by the tokens' first bits, of those in more than one document."""
     spark = docs.sparkSession
     buckets = max(BUCKETS, partitions(spark))
     shared = spark.sparkContext.broadcast(hot)
+    shift = 32 - bits + 3  # a token's byte in the bitmap
+    starts = np.arange(buckets + 1) * (1 << 32) // buckets
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
 
         def flush():
             v = np.sort(np.concatenate(held))
-            at = np.searchsorted(v, (np.arange(buckets + 1) * (1 << 32) // buckets).astype(np.uint64))
+            at = np.searchsorted(v, starts.astype(np.uint64))
             return pd.DataFrame({"bucket": np.arange(buckets), "tokens": [packed(v[a:b].astype(np.uint32)) for a, b in zip(at, at[1:])]})
 
         for b in batches:
@@ -121,23 +130,39 @@ def frequent_tokens(docs: DataFrame, width: int, hot: dict, least: int, most: in
 
     def count(b: pd.DataFrame) -> pd.DataFrame:
         v, n = np.unique(np.concatenate([unpacked(x, np.uint32) for x in b["tokens"]]), return_counts=True)
-        return pd.DataFrame({"token": v[n >= least].astype(np.int64), "n": n[n >= least]})
-
-    counts = docs.mapInPandas(gather, "bucket int, tokens binary").groupBy("bucket").applyInPandas(count, "token long, n long")
-    found = counts.orderBy(F.desc("n"), "token").limit(most).toArrow()
+        k = int(b["bucket"].iat[0])
+        first, last = int(starts[k]) >> shift, (int(starts[k + 1]) - 1) >> shift
+        own = np.zeros(last - first + 1, np.uint8)
+        several = v[n > 1].astype(np.int64)
+        np.bitwise_or.at(own, (several >> shift) - first, (1 << ((several >> (shift - 3)) & 7)).astype(np.uint8))
+        found = pd.DataFrame({"token": v[n >= least].astype(np.int64), "n": n[n >= least], "bits": None})
+        return pd.concat([found, pd.DataFrame({"token": [first], "n": [0], "bits": [own.tobytes()]})])
+
+    counts = cut(docs.mapInPandas(gather, "bucket int, tokens binary").groupBy("bucket").applyInPandas(count, "token long, n long, bits binary"))
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    for r in counts.filter("n = 0").toLocalIterator():
+        own = np.frombuffer(r["bits"], np.uint8)
+        bitmap[r["token"] : r["token"] + len(own)] |= own
+    found = counts.filter("n > 0").select("token", "n").orderBy(F.desc("n"), "token").limit(most).toArrow()
     token, n = (np.array(found.column(c).to_numpy()) for c in ("token", "n"))
     order = np.argsort(token)
-    return token[order].astype(np.uint32), n[order]
+    return token[order].astype(np.uint32), n[order], bitmap
 
 
-def prefix_keys(s: np.ndarray, table: np.ndarray, count: np.ndarray, percent: int, frequent: int) -> np.ndarray:
-    """The index keys of a set: see the module's text."""
-    n = len(s)
-    df = np.zeros(n, np.int64)
+def document_counts(s: np.ndarray, table: np.ndarray, count: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """In how many documents each token stands: exact in the table, else 2 for several and 1 for one."""
+    fold = s >> np.uint64(32)
+    shift = np.uint64(32 - int(np.log2(len(bitmap))))
+    df = 1 + ((bitmap[fold >> shift] >> ((fold >> (shift - np.uint64(3))) & np.uint64(7)).astype(np.uint8)) & 1).astype(np.int64)
     if len(table):
-        fold = (s >> np.uint64(32)).astype(np.uint32)
-        at = np.minimum(np.searchsorted(table, fold), len(table) - 1)
-        df = np.where(table[at] == fold, count[at], 0)
+        at = np.minimum(np.searchsorted(table, fold.astype(np.uint32)), len(table) - 1)
+        df = np.where(table[at] == fold, count[at], df)
+    return df
+
+
+def prefix_keys(s: np.ndarray, df: np.ndarray, percent: int, frequent: int) -> np.ndarray:
+    """The index keys of a set whose tokens stand in df documents: see the module's text."""
+    n = len(s)
     a = least_common(n, percent)
     k = 2 if a >= 2 else 1
     order = np.lexsort((s, df))[: min(n, n - a + k)]
@@ -153,23 +178,26 @@ def prefix_keys(s: np.ndarray, table: np.ndarray, count: np.ndarray, percent: in
 
 
 def candidate_edges(docs: DataFrame, width: int, percent: int, hot: dict, table: tuple, frequent: int) -> DataFrame:
-    """u, v: a star for each key that several documents have."""
+    """u, v: a chain for each key that several documents have."""
     spark = docs.sparkSession
     buckets = max(BUCKETS, partitions(spark))
     shared = spark.sparkContext.broadcast((hot, *table))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        copies, tokens, count = shared.value
-        keys, ids, n = [], [], 0
+        copies, *counts = shared.value
+        keys, ids, sizes, n = [], [], [], 0
 
         def flush():
-            k, d, u, v = stars(np.concatenate(keys), np.concatenate(ids))
-            at = np.searchsorted(k, np.array([i * (1 << 64) // buckets for i in range(buckets)], dtype=np.uint64))
-            at = [*at.tolist(), len(k)]
-            u, v = forest(u, v) if len(u) else (u, v)
-            found = pd.DataFrame({"bucket": np.arange(buckets), "kind": 1, "a": [k[x:y].tobytes() for x, y in zip(at, at[1:])], "b": [d[x:y].tobytes() for x, y in zip(at, at[1:])]})
+            lengths = [len(x) for x in keys]
+            k, d, m = np.concatenate(keys), np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths)
+            order, u, v = chains(k, d, m, percent)
+            order = order[outer(k[order], m[order])]
+            k, d, m = k[order], d[order], m[order].astype(np.uint32)
+            at = [*np.searchsorted(k, np.array([i * (1 << 64) // buckets for i in range(buckets)], dtype=np.uint64)).tolist(), len(k)]
+            found = pd.DataFrame({"bucket": np.arange(buckets), "kind": 1} | {c: [x[a:b].tobytes() for a, b in zip(at, at[1:])] for c, x in (("a", k), ("b", d), ("c", m))})
             if len(u):
-                found = pd.concat([found, pd.DataFrame({"bucket": [int(u[0] % buckets)], "kind": 0, "a": [u.tobytes()], "b": [v.tobytes()]})])
+                u, v = forest(u, v)
+                found = pd.concat([found, pd.DataFrame({"bucket": [int(u[0] % buckets)], "kind": 0, "a": [u.tobytes()], "b": [v.tobytes()], "c": [b""]})])
             return found
 
         for b in batches:
@@ -177,25 +205,26 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, hot: dict, table:
                 s = shingle_set(text, width)
                 if not len(s) or copies.get(digest(s), i) != i:
                     continue
-                k = prefix_keys(s, tokens, count, percent, frequent)
+                k = prefix_keys(s, document_counts(s, *counts), percent, frequent)
                 keys.append(k)
-                ids.append(np.full(len(k), i, np.int64))
+                ids.append(i)
+                sizes.append(len(s))
                 n += len(k)
                 if n >= FLUSH:
                     yield flush()
-                    keys, ids, n = [], [], 0
+                    keys, ids, sizes, n = [], [], [], 0
         if n:
             yield flush()
 
     def link(b: pd.DataFrame) -> pd.DataFrame:
         own, rest = b[b["kind"] == 1], b[b["kind"] == 0]
-        _, _, u, v = stars(np.frombuffer(b"".join(own["a"]), np.uint64), np.frombuffer(b"".join(own["b"]), np.int64))
+        _, u, v = chains(np.frombuffer(b"".join(own["a"]), np.uint64), np.frombuffer(b"".join(own["b"]), np.int64), np.frombuffer(b"".join(own["c"]), np.uint32).astype(np.int64), percent)
         u = np.concatenate([u, np.frombuffer(b"".join(rest["a"]), np.int64)])
         v = np.concatenate([v, np.frombuffer(b"".join(rest["b"]), np.int64)])
         u, v = forest(u, v) if len(u) else (u, v)
         return pd.DataFrame({"u": u, "v": v})
 
-    return docs.mapInPandas(gather, "bucket int, kind int, a binary, b binary").groupBy("bucket").applyInPandas(link, "u long, v long").distinct()
+    return docs.mapInPandas(gather, "bucket int, kind int, a binary, b binary, c binary").groupBy("bucket").applyInPandas(link, "u long, v long").distinct()
 
 
 def similar_pairs(sets: list[np.ndarray], other: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +257,7 @@ def similar_pairs(sets: list[np.ndarray], other: list[np.ndarray] | None, percen
     return i, j
 
 
-def verified_edges(docs: DataFrame, groups: DataFrame, width: int, percent: int, block_tokens: int, block_docs: int) -> DataFrame:
+def verified_edges(docs: DataFrame, groups: DataFrame, width: int, percent: int, block_tokens: int, block_docs: int, broadcast_rows: int) -> DataFrame:
     """u, v: for each candidate group and block pair, a forest of its documents' true links. groups: doc_id, component, n."""
     spark = docs.sparkSession
     sizes = groups.groupBy("component").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
@@ -237,8 +266,8 @@ def verified_edges(docs: DataFrame, groups: DataFrame, width: int, percent: int,
     groups = groups.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # A document meets every block: its row goes to each pair that its block is part of.
     groups = groups.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = groups.select("doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = docs.join(groups, "doc_id")
+    groups = cut(groups.select("doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    rows = docs.join(F.broadcast(groups) if groups.count() <= broadcast_rows else groups, "doc_id")
     rows = rows.repartition(max(BUCKETS, partitions(spark)), "component", "i", "j").sortWithinPartitions("component", "i", "j")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,6 +315,7 @@ def jaccard_components(
     percent: int = 75,
     frequent: int = 256,
     table_tokens: int = 1_000_000,
+    bitmap_bits: int = 28,
     hot_groups: int = 100_000,
     broadcast_rows: int = 1_000_000,
     block_tokens: int = 2_000_000,
@@ -295,7 +325,7 @@ def jaccard_components(
 
     Ids are whole numbers. Texts without words, null ones among them, have no shingles and link with nothing; texts with fewer than
     ``width`` words are one shingle. Rows with a null id link with nothing and have a null component. Equal sets link. Rows that share
-    an id are one document for links. Shingles are compared as 64-bit hashes. ``table_tokens`` and ``hot_groups`` bound what executors
+    an id are one document for links. Shingles are compared as 64-bit hashes. ``table_tokens``, ``bitmap_bits`` and ``hot_groups`` bound what executors
     get: they decide how keys are ordered, never what links. Further columns are ignored; an empty table gives no rows.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -310,14 +340,11 @@ def jaccard_components(
     copies = found.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"))
     # The largest groups of copies are known to every task, which passes over all but one of their texts.
     hot = {bytes(r["digest"]): r["rep"] for r in copies.filter("copies >= 8").orderBy(F.desc("copies"), "rep").limit(hot_groups).collect()}
-    table = frequent_tokens(linked, width, hot, 4, table_tokens)
+    table = frequent_tokens(linked, width, hot, 4, table_tokens, bitmap_bits)
     candidates = connected_components(candidate_edges(linked, width, percent, hot, table, frequent))
     # Of equal sets, only the smallest id is compared.
     groups = cut(candidates.join(copies.select(F.col("rep").alias("id"), "n"), "id").select(F.col("id").alias("doc_id"), "component", "n"))
-    small = groups.count() <= broadcast_rows
-    wanted = groups.select("doc_id")
-    texts = linked.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
-    edges = verified_edges(texts, groups, width, percent, block_tokens, block_docs)
+    edges = verified_edges(linked, groups, width, percent, block_tokens, block_docs, broadcast_rows)
     parts = connected_components(edges)
     reps = copies.join(parts, copies["rep"] == parts["id"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = found.join(reps, "digest", "left")
