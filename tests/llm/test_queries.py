@@ -1,0 +1,34 @@
+"""Queries against SQL where it can say them, and their schemas."""
+
+import pytest
+from oracle import rows_of, spark_rows
+
+from tidemark.llm.queries import oracle_sql, queries
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_matches_sql(spark, sf, name):
+    names, want = rows_of(oracle_sql()[name], sf)
+    got_names, got = spark_rows(queries()[name](spark, sf))
+    assert got_names == names and got == want
+
+
+def test_there_is_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+
+
+def test_language_accuracy(spark, sf):
+    got = queries()["op2_language_id"](spark, sf)
+    truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    held = got.filter("held_out").join(truth, "doc_id").filter("lang is not null")
+    assert got.count() == truth.count() and held.filter("lang_pred = lang").count() >= 0.9 * held.count()
+    assert got.filter("score < 0 or score > 1").isEmpty()
+
+
+def test_toxicity_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries()["op8_toxicity"](spark, sf)
+    held = got.filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").dropDuplicates(["doc_id"]), "doc_id").select("toxic", "predicted", "score").toPandas()
+    assert (held["toxic"] == held["predicted"]).mean() >= 0.95
+    toxic = held[held["toxic"] == 1]
+    assert len(toxic) > 20 and (toxic["predicted"] == 1).mean() >= 0.8

@@ -40,7 +40,8 @@ def word_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                 n = Counter()
                 for t in texts:
                     n.update(LETTERS.findall(t.lower()))
-                yield pd.DataFrame({"lang": lang, "word": list(n), "n": list(n.values())})
+                if n:
+                    yield pd.DataFrame({"lang": [lang] * len(n), "word": list(n), "n": list(n.values())})
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
     return rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -70,7 +71,8 @@ def fit_language_model(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str
                 for m in range(1, max_n + 1):
                     for i in range(len(w) - m + 1):
                         n[lang, w[i : i + m]] += c
-            yield pd.DataFrame({"lang": [k[0] for k in n], "gram": [k[1] for k in n], "n": list(n.values())})
+            if n:
+                yield pd.DataFrame({"lang": [k[0] for k in n], "gram": [k[1] for k in n], "n": list(n.values())})
 
     grams = counts.mapInPandas(pieces, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")

@@ -53,7 +53,7 @@ def template_grams(spark: SparkSession, base=BASE, long=LONG) -> DataFrame:
     return grams.withColumn("h", F.when(F.col("kind") == "base", F.xxhash64("g0", "g1")).otherwise(F.xxhash64("g0", "g1", "g2")))
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", base=BASE, long=LONG, slack: int = 2, least: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", base=BASE, long=LONG, slack: int = 2, least: float = 0.6) -> DataFrame:
     """One row for each row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     A base phrase counts at each place where its words stand consecutively. A long template adds its label where at least ``least`` of
