@@ -101,7 +101,7 @@ def i5_ridge_predictions(spark, d):
     """Coefficients from aggregated sums, solved for each series, scored as a column expression."""
     rows = ridge_rows(spark, d)
     fit = P.ridge_fit(P.ridge_sums(rows, KEYS, FEATURES, "y"), KEYS, FEATURES, "y")
-    return rows.join(F.broadcast(fit), "series_id").select("series_id", "date", F.round(P.ridge_score(FEATURES), 4).alias("prediction"))
+    return rows.join(fit, "series_id").select("series_id", "date", F.round(P.ridge_score(FEATURES), 4).alias("prediction"))
 
 
 @query("f4_matured_errors", f"with {ERRORS} select series_id, origin_date, horizon, target_date, expert, round(error, 7) as error, round(sq_error, 3) as sq_error from errors")
