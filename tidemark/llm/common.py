@@ -64,3 +64,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def schema_and(df: DataFrame, **more: str) -> T.StructType:
     """df's schema and further columns, by name and type."""
     return T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in more.items())])
+
+
+def each_text(batch, column: str, rows: int = 256):
+    """The texts of an Arrow batch, a few rows at a time in memory."""
+    for at in range(0, batch.num_rows, rows):
+        yield from batch.column(column).slice(at, rows).to_pylist()
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Keeps Arrow batches of whole texts small in this session, so that a Python worker holds few of them at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

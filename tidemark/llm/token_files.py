@@ -9,6 +9,7 @@ frame and place in it each document has.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_folder, partitions, schema_and
+from tidemark.llm.common import new_folder, partitions, schema_and, small_batches
 
 #: White space beside a space, or spaces at an end: there, words don't tell where the tokenizer splits.
 UNEVEN = re.compile(r"^\s| (?:\s|$)")
@@ -102,7 +103,8 @@ class Encoder:
     space-separated words, each with its leading space; other texts are encoded as they are. ``most`` bounds the words kept.
     """
 
-    def __init__(self, tokenizer: str, end_id: int, most: int = 600_000):
+    def __init__(self, tokenizer: str, end_id: int, most: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
         self.bpe = Tokenizer.from_file(tokenizer)
@@ -117,34 +119,44 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.bpe.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        if not text or not self.by_words or UNEVEN.search(text):
-            return self.whole(text) if text else b""
-        first, *words = text.split(" ")
-        packed = list(map(self.known.get, words))
-        if None in packed:
-            self.learn({w for w, p in zip(words, packed) if p is None}, words)
-            packed = map(self.known.__getitem__, words)
-        return self.whole(first) + b"".join(packed)
-
-    def learn(self, new: set[str], words: list[str]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-            new = set(words)
-        order = sorted(new)
-        ids = np.asarray(self.bpe.encode(" " + " ".join(order), add_special_tokens=False).ids)
-        starts = np.flatnonzero(self.spaced[ids])
-        packed, w = ids.astype(self.kind).tobytes(), self.width
-        if len(starts) != len(order):
-            raise ValueError("the tokenizer joins words")
-        ends = [*starts[1:].tolist(), len(ids)]
-        self.known.update((word, packed[a * w : b * w]) for word, a, b in zip(order, starts.tolist(), ends))
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | tuple] = []
+        new: set[str] = set()
+        for text in texts:
+            if not text or not self.by_words or UNEVEN.search(text):
+                out.append(self.whole(text) if text else b"")
+                continue
+            first, *words = text.split(" ")
+            packed = list(map(self.known.get, words))
+            if None in packed:
+                new.update(w for w, p in zip(words, packed) if p is None)
+                out.append((self.whole(first), words, packed))
+            else:
+                out.append(self.whole(first) + b"".join(packed))
+        found = self.learn(sorted(new))
+        return [x if isinstance(x, bytes) else x[0] + b"".join([found[w] if p is None else p for w, p in zip(x[1], x[2])]) for x in out]
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Packed ids of the words; they are kept while there is room, which frequent words take first."""
+        found = {}
+        lines = [new[i : i + 128] for i in range(0, len(new), 128)]
+        w = self.width
+        for line, e in zip(lines, self.bpe.encode_batch_fast([" " + " ".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.asarray(e.ids)
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(line):
+                raise ValueError("the tokenizer joins words")
+            packed, at = ids.astype(self.kind).tobytes(), (starts * w).tolist()
+            found.update(zip(line, [packed[a:b] for a, b in zip(at, [*at[1:], len(packed)])]))
+        if len(self.known) < self.most:
+            self.known.update(found)
+        return found
 
 
 ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, files: int | None = None, frame_bytes: int = 1 << 20, level: int = 3) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, files: int | None = None, frame_bytes: int = 1 << 20, level: int = 1) -> DataFrame:
     """Encodes whole texts and writes them under folder; returns the table of places, itself written there.
 
     The table has id, start (ids of all documents before), n_tokens (end id included), file, frame, place. Null texts count as empty:
@@ -153,8 +165,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: s
     speculative ones do no harm; only files that the table names count.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(files or partitions(spark), "id", "text").sortWithinPartitions("id", "text")
+    rows = rows.repartitionByRange(files or partitions(spark), "id").sortWithinPartitions("id", "text")
     kind = rows.schema["id"].dataType.simpleString()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,14 +180,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: s
         name = f"tokens-{part:05d}.w{width}.{task.taskAttemptId()}.zst"
         out, writer, local = None, None, 0
         for b in batches:
-            for at in range(0, len(b), 64):
-                chunk = b.iloc[at : at + 64]
+            for at in range(0, len(b), 128):
+                chunk = b.iloc[at : at + 128]
                 if writer is None:
                     out = store.open_output_stream(f"{path}/_{name}", compression=None)
                     writer = FrameWriter(out, width, frame_bytes, level)
                 places, sizes = [], []
-                for text in chunk["text"]:
-                    data = encode(text) + end
+                for data in encode(chunk["text"].tolist()):
+                    data += end
                     places.append(writer.add(data))
                     sizes.append(len(data) // width)
                 starts = local + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
