@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, partitions
+from tidemark.llm.common import cut, partitions, small_batches
 from tidemark.llm.components import connected_components
 from tidemark.llm.hashing import mix, window_hashes, word_hashes, words_of
 
@@ -328,6 +328,7 @@ def jaccard_components(
     an id are one document for links. Shingles are compared as 64-bit hashes. ``table_tokens``, ``bitmap_bits`` and ``hot_groups`` bound what executors
     get: they decide how keys are ordered, never what links. Further columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import schema_and
+from tidemark.llm.common import each_text, schema_and, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -53,6 +53,7 @@ def fit_language_model(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str
     Above max_train_docs such rows, a sample by a hash of the id holds about so many; the counts of the sample come from whole texts.
     The model, which each executor gets, holds at most max_words words and max_grams n-grams for each of max_languages languages.
     """
+    small_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     share = max_train_docs / max(1, rows.count())
     if share < 1:
@@ -129,6 +130,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, *, text_col: str =
 
     ``und`` and 0 for null texts and texts without letters. Columns of docs of these two names are replaced; all others stay.
     """
+    small_batches(docs.sparkSession)
     rows = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = schema_and(rows, lang_pred="string", score="double")
@@ -137,7 +139,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, *, text_col: str =
         import pyarrow as pa
 
         for b in batches:
-            found = [scores(shared.value, t) for t in b.column(text_col).to_pylist()]
+            found = [scores(shared.value, t) for t in each_text(b, text_col)]
             yield b.append_column("lang_pred", pa.array([x[0] for x in found], pa.string())).append_column("score", pa.array([x[1] for x in found], pa.float64()))
 
     return rows.mapInArrow(predict, schema)

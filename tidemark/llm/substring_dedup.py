@@ -20,13 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions
+from tidemark.llm.common import partitions, small_batches
 from tidemark.llm.hashing import window_hashes, word_hashes, words_of
 
 #: Two polynomials: the first gives 64 bits, the second chooses the block, which adds its own bits.
 BASE, BLOCK_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 BLOCKS = 64
-FLUSH = 3 << 20
+#: Windows that a task gathers before it reduces and emits them: about 50 MB.
+FLUSH = 1 << 19
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -157,6 +158,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     blocks = parts = max(BLOCKS, partitions(spark))
     own = [f"_c{k}" for k in range(len(carry))]
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for c, k in zip(carry, own)))

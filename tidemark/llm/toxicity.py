@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import schema_and
+from tidemark.llm.common import each_text, schema_and, small_batches
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -50,6 +50,7 @@ def fit_factorization_machine(labelled: DataFrame, *, id_col: str = "doc_id", te
     Above max_train_rows, a sample by a hash of the id holds about so many, which bounds what the driver gets: their max_terms terms
     of the clearest difference between the classes (two-proportion z). Without rows of both classes, every score is the base rate.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
     share = max_train_rows / max(1, rows.count())
     if share < 1:
@@ -126,6 +127,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, *, text_col: st
 
     Columns of docs of these two names are replaced; all others stay.
     """
+    small_batches(docs.sparkSession)
     rows = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     dimension = len(model.row_of)
@@ -138,7 +140,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, *, text_col: st
         fm = shared.value
         for b in batches:
             found = []
-            for t in b.column(text_col).to_pylist():
+            for t in each_text(b, text_col):
                 r = fm.row_of[buckets(t, dimension, cache)]
                 found.append(score(fm, r[r >= 0]))
             yield b.append_column("score", pa.array(found, pa.float64())).append_column("predicted", pa.array([int(x >= 0.5) for x in found], pa.int32()))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import schema_and
+from tidemark.llm.common import each_text, schema_and
 
 #: (host, path, verdict)
 RULES = [
@@ -127,7 +127,7 @@ def difference(rows: DataFrame, model: UrlModel, url_col: str = "url") -> DataFr
         import pyarrow as pa
 
         for b in batches:
-            yield b.append_column("_difference", pa.array([shared.value.difference(u) for u in b.column(url_col).to_pylist()], pa.float64()))
+            yield b.append_column("_difference", pa.array([shared.value.difference(u) for u in each_text(b, url_col)], pa.float64()))
 
     return rows.mapInArrow(run, schema)
 
