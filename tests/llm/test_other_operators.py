@@ -90,6 +90,44 @@ def test_url_models_tell_unseen_urls_apart(spark):
     assert (got[5000]["verdict"], got[5001]["verdict"]) == ("block", "allow")
 
 
+def by_brute_force(urls, kinds, order=5, least=4):
+    """The difference of a URL by the models of the other ones, from counts in memory."""
+    n = ({}, {})
+    for u, k in zip(urls, kinds):
+        s = url_filter.START + u + url_filter.END
+        for i in range(1, len(s)):
+            for m in range(min(order, i) + 1):
+                own = n[k].setdefault(s[i - m : i], {})
+                own[s[i]] = own.get(s[i], 0) + 1
+    alphabet = len({c for x in n for c in x[""]}) + 1
+
+    def likelihood(k, u):
+        s, total = url_filter.START + u + url_filter.END, 0.0
+        for i in range(1, len(s)):
+            p = 1 / alphabet
+            for m in range(min(order, i) + 1):
+                own = n[k].get(s[i - m : i], {})
+                if sum(own.values()) < least:
+                    break
+                p = (own.get(s[i], 0) + len(own) * p) / (sum(own.values()) + len(own))
+            total += math.log(p)
+        return total
+
+    return lambda u: (likelihood(1, u) - likelihood(0, u)) / (len(u) + 1)
+
+
+def test_rare_url_contexts_count_in_large_tables(spark):
+    common, rare = "https://shop.com/de/" + "0123456789" * 20, "https://shop.com/de/zqxjkv"
+    urls = [common] * 6000 + [rare] * 5 + ["https://shop.com/fr/abc"] * 50
+    kinds = [1] * 6005 + [0] * 50
+    model = url_filter.fit_url_model(spark.createDataFrame(list(zip(urls, kinds)), "url string, kind int"))
+    asked = ["https://new.net/zqxjkv", "https://new.net/abc", "", "http://\u00e9t\u00e9.net/0123"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*asked, None])], "n long, url string")
+    got = {r["n"]: r["_difference"] for r in url_filter.difference(df, model).collect()}
+    brute = by_brute_force(urls, kinds)
+    assert got == pytest.approx({i: brute(u) for i, u in enumerate(asked)} | {4: 0.0})
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(50)] + [(None, 5)]

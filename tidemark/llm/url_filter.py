@@ -7,15 +7,15 @@ difference of the two log-likelihoods, divided by its length, lies above a thres
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
+from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import each_text, schema_and
+from tidemark.llm.common import cut, each_text, partitions, schema_and
 
 #: (host, path, verdict)
 RULES = [
@@ -48,91 +48,117 @@ def fitting_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 @dataclass
 class UrlModel:
-    """For each class and context: number of symbols, number of distinct ones, and the count of each."""
+    """counts: gram (a context and the symbol behind it), n0 and n1 (how often accepted and rejected URLs hold it)."""
 
-    contexts: dict[int, dict[str, tuple[int, int, dict[str, int]]]]
+    counts: DataFrame
     order: int
     alphabet: int
-    threshold: float = 0.0
-
-    def log_likelihood(self, kind: int, url: str) -> float:
-        table, total = self.contexts[kind], 0.0
-        s = START + url + END
-        for i in range(1, len(s)):
-            p, c = 1.0 / self.alphabet, s[i]
-            for m in range(self.order + 1):
-                if m > i:
-                    break
-                got = table.get(s[i - m : i])
-                if got is None:
-                    break
-                n, distinct, counts = got
-                p = (counts.get(c, 0) + distinct * p) / (n + distinct)
-            total += np.log(p)
-        return total
-
-    def difference(self, url: str | None) -> float:
-        """Rejected minus accepted log-likelihood for each character; 0 for null."""
-        return 0.0 if url is None else (self.log_likelihood(1, url) - self.log_likelihood(0, url)) / (len(url) + 1)
-
-
-def fit_url_model(urls: DataFrame, *, order: int = 5, least_share: float = 5e-6, least_count: int = 4) -> UrlModel:
-    """urls: url string, kind int (0 accepted, 1 rejected), held boolean (kept for the threshold).
-
-    All URLs count. A context has to hold least_count symbols and least_share of its class's symbols, so that a class has at most
-    1 / least_share contexts of each length, however many URLs there are: the model's size, which each executor gets, has that bound.
+    least_count: int
+
+
+def full_grams(url: str, order: int) -> list[str]:
+    """Each symbol of a URL with the longest context before it."""
+    s = START + url + END
+    return [s[max(0, i - order) : i + 1] for i in range(1, len(s))]
+
+
+def suffixes(grams: DataFrame) -> DataFrame:
+    """grams with each of its suffixes: the same symbols with all shorter contexts."""
+    return grams.withColumn("gram", F.explode(F.transform(F.sequence(F.lit(1), F.length("gram")), lambda k: F.right("gram", k))))
+
+
+def fit_url_model(urls: DataFrame, *, order: int = 5, least_count: int = 4) -> UrlModel | None:
+    """urls: url string, kind int (0 accepted, 1 rejected). None where a class is missing: nothing to tell apart.
+
+    All URLs count, and all that they hold is kept: the counts are a table of Spark's, which grows with urls and never passes through
+    the driver. A context is used by a class that holds least_count symbols behind it, however large the class is.
     """
+
     def grams(batches):
         for b in batches:
-            n: Counter = Counter()
+            n: dict[str, list[int]] = defaultdict(lambda: [0, 0])
             for url, kind in zip(b["url"], b["kind"]):
-                s = START + url + END
-                for i in range(1, len(s)):
-                    for m in range(min(order, i) + 1):
-                        n[kind, s[i - m : i], s[i]] += 1
-            yield pd.DataFrame({"kind": [k[0] for k in n], "context": [k[1] for k in n], "symbol": [k[2] for k in n], "n": list(n.values())})
-
-    known = urls.filter(F.col("url").isNotNull() & F.col("kind").isNotNull())
-    counts = known.filter(~F.col("held")).select("url", "kind").mapInPandas(grams, "kind int, context string, symbol string, n long")
-    counts = counts.groupBy("kind", "context", "symbol").agg(F.sum("n").alias("n")).persist()
-    totals = counts.filter(F.col("context") == "").groupBy("kind").agg(F.sum("n").alias("total"))
-    contexts = counts.groupBy("kind", "context").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("symbols"))
-    contexts = contexts.join(F.broadcast(totals), "kind").filter((F.col("all") >= least_count) & (F.col("all") >= F.col("total") * least_share))
-    table: dict[int, dict] = {0: {}, 1: {}}
-    for r in contexts.select("kind", "context", "all", "symbols").toLocalIterator():
-        table[r["kind"]][r["context"]] = (r["all"], len(r["symbols"]), r["symbols"])
-    alphabet = max(2, counts.select("symbol").distinct().count() + 1)
-    counts.unpersist()
-    model = UrlModel(table, order, alphabet)
-    if not table[0] or not table[1]:  # one class only: nothing to tell apart
-        model.threshold = float("inf") if not table[1] else float("-inf")
-        return model
-    # The threshold of the fewest errors on held URLs, from a histogram of the differences.
-    scored = difference(known.filter("held"), model).withColumn("bin", F.greatest(F.lit(-500), F.least(F.lit(500), F.floor(F.col("_difference") * 100).cast("int"))))
-    bins = {(r["bin"], r["kind"]): r["n"] for r in scored.groupBy("bin", "kind").agg(F.count("*").alias("n")).collect()}
-    edges = range(-500, 502)
-    errors = [sum(n for (b, k), n in bins.items() if (b >= e) != (k == 1)) for e in edges]
-    best = min(errors)
-    at = [e for e, x in zip(edges, errors) if x == best]
-    model.threshold = min(at, key=abs) / 100
-    return model
+                for gram in full_grams(url, order):
+                    n[gram][kind] += 1
+            yield pd.DataFrame({"gram": list(n), "n0": [x for x, _ in n.values()], "n1": [x for _, x in n.values()]})
+
+    known = urls.filter(F.col("url").isNotNull() & F.col("kind").isin(0, 1)).select("url", "kind")
+    sums = F.sum("n0").alias("n0"), F.sum("n1").alias("n1")
+    full = known.mapInPandas(grams, "gram string, n0 long, n1 long").groupBy("gram").agg(*sums)
+    counts = cut(suffixes(full).groupBy("gram").agg(*sums))
+    seen = counts.filter(F.length("gram") == 1).agg(F.count("*").alias("symbols"), *sums).first()  # one row
+    if not seen["n0"] or not seen["n1"]:
+        return None
+    return UrlModel(counts, order, max(2, seen["symbols"] + 1), least_count)
 
 
-def difference(rows: DataFrame, model: UrlModel, url_col: str = "url") -> DataFrame:
-    """rows with _difference."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = schema_and(rows, _difference="double")
+def gram_differences(grams: DataFrame, model: UrlModel) -> DataFrame:
+    """gram, delta: rejected minus accepted log probability of the last symbol, for distinct grams and all their suffixes.
 
-    def run(batches):
+    From the empty context on, each length is joined to the one below it. No key has more rows than there are symbols.
+    """
+    needed = cut(suffixes(grams.select("gram")).distinct().join(model.counts, "gram", "left").na.fill(0, ["n0", "n1"]))
+    context = F.substring("gram", F.lit(1), F.length("gram") - 1)
+    distinct = [F.count(F.when(F.col(f"n{k}") > 0, 1)).alias(f"d{k}") for k in (0, 1)]
+    contexts = model.counts.groupBy(context.alias("context"), F.length("gram").alias("length")).agg(F.sum("n0").alias("all0"), F.sum("n1").alias("all1"), *distinct)
+    contexts = cut(contexts.filter(F.greatest("all0", "all1") >= model.least_count))
+    levels: list[DataFrame] = []
+    for length in range(1, model.order + 2):
+        own = needed.filter(F.length("gram") == length).withColumn("context", context)
+        own = own.join(contexts.filter(F.col("length") == length).drop("length"), "context", "left")
+        if levels:
+            below = levels[-1].select(F.col("gram").alias("rest"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+            own = own.withColumn("rest", F.right("gram", F.lit(length - 1))).join(below, "rest")
+        else:
+            own = own.withColumns({f"q{k}": F.lit(1.0 / model.alphabet) for k in (0, 1)})
+        mixed = {k: (F.col(f"n{k}") + F.col(f"d{k}") * F.col(f"q{k}")) / (F.col(f"all{k}") + F.col(f"d{k}")) for k in (0, 1)}
+        enough = {k: F.coalesce(F.col(f"all{k}"), F.lit(0)) >= model.least_count for k in (0, 1)}
+        levels.append(cut(own.select("gram", *(F.when(enough[k], mixed[k]).otherwise(F.col(f"q{k}")).alias(f"p{k}") for k in (0, 1)))))
+    return reduce(DataFrame.unionByName, levels).select("gram", (F.log("p1") - F.log("p0")).alias("delta"))
+
+
+def difference(rows: DataFrame, model: UrlModel | None, url_col: str = "url", part_rows: int = 20_000) -> DataFrame:
+    """rows with _difference: rejected minus accepted log-likelihood for each character; 0 for null, and for all without a model.
+
+    Rows are dealt to parts of about part_rows; a part asks for each of its distinct grams once, so that frequent ones are no load.
+    """
+    if model is None:
+        return rows.withColumn("_difference", F.lit(0.0))
+    order, schema = model.order, schema_and(rows, _difference="double")
+    parts = max(partitions(rows.sparkSession), -(-rows.count() // part_rows))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
+
+    def ask(b):
         import pyarrow as pa
 
-        for b in batches:
-            yield b.append_column("_difference", pa.array([shared.value.difference(u) for u in each_text(b, url_col)], pa.float64()))
+        found: set[str] = set()
+        for url in each_text(b, url_col):
+            found.update(full_grams(url, order))
+        return pa.table({"_part": pa.array([b.column("_part")[0].as_py()] * len(found), pa.int32()), "gram": pa.array(list(found), pa.string())})
+
+    def score(b, grams):
+        import pyarrow as pa
 
-    return rows.mapInArrow(run, schema)
+        delta = dict(zip(grams.column("gram").to_pylist(), grams.column("delta").to_pylist()))
+        found = [0.0 if u is None else sum(delta[g] for g in full_grams(u, order)) / (len(u) + 1) for u in each_text(b, url_col)]
+        return b.drop_columns(["_part"]).append_column("_difference", pa.array(found, pa.float64()))
+
+    asked = cut(dealt.filter(F.col(url_col).isNotNull()).select("_part", url_col).groupBy("_part").applyInArrow(ask, "_part int, gram string"))
+    answers = asked.join(gram_differences(asked.select("gram").distinct(), model), "gram").select("_part", "gram", "delta")
+    return dealt.groupBy("_part").cogroup(answers.groupBy("_part")).applyInArrow(score, schema)
+
+
+def fewest_errors(scored: DataFrame) -> float:
+    """The threshold of the fewest errors on scored's kind and _difference, from a histogram of the differences."""
+    binned = scored.withColumn("bin", F.greatest(F.lit(-500), F.least(F.lit(500), F.floor(F.col("_difference") * 100).cast("int"))))
+    bins = {(r["bin"], r["kind"]): r["n"] for r in binned.groupBy("bin", "kind").agg(F.count("*").alias("n")).collect()}
+    edges = range(-500, 502)
+    errors = [sum(n for (b, k), n in bins.items() if (b >= e) != (k == 1)) for e in edges]
+    best = min(errors)
+    return min((e for e, x in zip(edges, errors) if x == best), key=abs) / 100
 
 
-def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, model: UrlModel | None = None) -> DataFrame:
+def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """One row for each row of pages: id, host, path, rule, verdict, difference.
 
     The rules' own verdicts are the labels from which the models learn. A null or schemeless URL has an empty host and path, so that
@@ -142,10 +168,16 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     host, path = host_and_path(F.col("_url"))
     d = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).withColumns({"_host": host, "_path": path})
     rule, verdict = fitting_rule(F.col("_host"), F.col("_path"), rules)
+    kind = F.when(F.col("_verdict") == "block", 1).when(F.col("_verdict") == "allow", 0)
     d = d.withColumns({"_rule": rule, "_verdict": verdict})
+    held = F.pmod(F.xxhash64("_url"), F.lit(5)) == 0
+    model = fit_url_model(d.filter(~held).select(F.col("_url").alias("url"), kind.alias("kind")))
     if model is None:
-        held = F.pmod(F.xxhash64("_url"), F.lit(5)) == 0
-        model = fit_url_model(d.select(F.col("_url").alias("url"), F.when(F.col("_verdict") == "block", 1).when(F.col("_verdict") == "allow", 0).alias("kind"), held.alias("held")))
-    d = difference(d, model, "_url")
-    by_model = F.when(F.col("_difference") >= model.threshold, "block").otherwise("allow")
+        seen = {r["kind"] for r in d.filter(~held).select(kind.alias("kind")).distinct().collect()}  # three at most
+        d, least = difference(d, None, "_url"), float("-inf") if 1 in seen else float("inf")
+    else:
+        # The threshold comes from URLs that the models haven't seen.
+        d = cut(difference(d, model, "_url"))
+        least = fewest_errors(d.filter(held & F.col("_url").isNotNull() & kind.isNotNull()).select(kind.alias("kind"), "_difference"))
+    by_model = F.when(F.col("_difference") >= least, "block").otherwise("allow")
     return d.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.coalesce("_verdict", by_model).alias("verdict"), F.col("_difference").alias("difference"))
