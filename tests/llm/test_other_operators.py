@@ -57,6 +57,40 @@ def test_small_world_recall():
     assert found >= 0.97 * truth.sum()
 
 
+@pytest.mark.parametrize("linked_queries", [2, 300])
+def test_links_that_a_graph_misses_are_found(linked_queries):
+    """The audit counts no matches with oneself, goes on where it saw no link, and gives way to all pairs where the widest beam fails."""
+
+    class Blind:
+        def __init__(self, x):
+            self.x = x
+
+        def within(self, q, least, beam):
+            return np.flatnonzero(self.x @ q > 1 - 1e-9)  # the query itself
+
+    rng = np.random.default_rng(8)
+    own = rng.normal(size=(600, 24))
+    own[600 - linked_queries :: 2] = own[601 - linked_queries :: 2] + 0.01
+    x, ids = vector_dedup.unit(own), np.arange(600)
+    got = vector_dedup.links_found(Blind(x), x, ids, x, ids, 0.93, 16, 48, 0.98, 64)
+    assert [set(f) - {k} for k, f in enumerate(got)] == [set(np.flatnonzero(s >= 0.93)) - {k} for k, s in enumerate(x @ x.T)]
+
+
+def test_links_from_another_shard_are_found():
+    """Of 900 queries of another shard two have a link; a graph that finds nothing loses neither."""
+
+    class Empty:
+        def within(self, q, least, beam):
+            return np.zeros(0, np.int64)
+
+    rng = np.random.default_rng(9)
+    x = vector_dedup.unit(rng.normal(size=(500, 24)))
+    q = vector_dedup.unit(rng.normal(size=(900, 24)))
+    q[[7, 611]] = vector_dedup.unit(x[[3, 4]] + 0.001)
+    got = list(vector_dedup.links_found(Empty(), x, np.arange(500), q, np.arange(1000, 1900), 0.93, 16, 48, 0.98, 64))
+    assert [(k, f.tolist()) for k, f in enumerate(got) if len(f)] == [(7, [3]), (611, [4])]
+
+
 URLS = [
     (1, "http://a.example.org/es/1", "a.example.org", "/es/1", "example.org/es/", "block"),
     (2, "https://EXAMPLE.org/en/12?x=/y", "example.org", "/en/12", "example.org/en/1", "block"),

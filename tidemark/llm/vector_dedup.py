@@ -3,8 +3,8 @@
 Vectors that are equal component by component are first collapsed to one. The rest are dealt, label by label, to shards of bounded
 size, each with a graph; every vector of a label queries every shard of that label, in blocks. A query descends the graph greedily,
 searches the ground layer with a beam, and then floods: from every vector found above the threshold it visits the neighbours, until none
-above it is new. In each task, a fixed number of queries is audited against all vectors of the shard; while their recall is too low, the
-beam is widened and the block queried again. Cosines are verified in double precision, links are counted where they are found, and
+above it is new. In each task, queries are audited against all vectors of the shard until enough true links are seen; while their recall
+is too low, the beam is widened. A block with too few links for an audit, or whose recall stays too low, is compared exactly. Cosines are verified in double precision, links are counted where they are found, and
 only a spanning forest of them leaves a task for the union of components.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,9 @@ from tidemark.llm.common import cut
 from tidemark.llm.components import connected_components
 from tidemark.llm.jaccard_join import forest
 
+#: Queries that are compared with all vectors of a shard at once: 128 x 16,384 cosines are 17 MB.
+SLICE = 128
+
 
 class SmallWorld:
     """A navigable small-world graph over unit vectors, by cosine."""
@@ -208,18 +212,8 @@ def link_vectors(
         graph, x, ids, copies = pickle.loads(shard["graph"].iat[0])
         b = b.sort_values("rep")
         own, q = b["rep"].to_numpy(np.int64), unit(np.stack(b["v"].to_numpy()))
-        width = beam
-        sample = np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int)
-        truth = [np.flatnonzero(x @ q[k] >= least) for k in sample]
-        while True:  # widen the beam until the audited queries find what there is
-            got = [exact(graph.within(q[k], least - 1e-4, width), x, q[k], least) for k in sample]
-            want = sum(len(t) for t in truth)
-            if width >= most_beam or not want or sum(len(np.intersect1d(g, t)) for g, t in zip(got, truth)) >= recall * want:
-                break
-            width *= 2
         n, us, vs = np.zeros(len(q), np.int64), [], []
-        for k in range(len(q)):
-            found = exact(graph.within(q[k], least - 1e-4, width), x, q[k], least)
+        for k, found in enumerate(links_found(graph, x, ids, q, own, least, beam, audit, recall, most_beam)):
             found = found[ids[found] != own[k]]
             n[k] = copies[found].sum()
             us.append(np.full(len(found), own[k]))
@@ -242,6 +236,39 @@ def link_vectors(
     return rows.select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def exact_rows(x: np.ndarray, q: np.ndarray, least: float) -> list[np.ndarray]:
+    """For each row of q, the vectors of x at a cosine of at least ``least``, by comparing all."""
+    near = q @ x.T >= least - 1e-9
+    return [exact(np.flatnonzero(r), x, v, least) for r, v in zip(near, q)]
+
+
+def links_found(graph: SmallWorld, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, least: float, beam: int, audit: int, recall: float, most_beam: int) -> Iterator[np.ndarray]:
+    """For each row of q, the vectors of x that it links with, through a beam whose audit passes, or else by comparing all.
+
+    Queries are drawn and compared with all vectors until ``audit`` of them have a link, matches with themselves apart. Where fewer have
+    one, all have been compared by then. A beam passes where the audited queries find ``recall`` of their links, in sum and on average.
+    """
+    drawn, truth = np.random.default_rng(len(q)).permutation(len(q)), {}
+    for at in range(0, len(drawn), SLICE):
+        if sum(len(t) > 0 for t in truth.values()) >= audit:
+            break
+        some = drawn[at : at + SLICE]
+        truth |= {k: near[ids[near] != own[k]] for k, near in zip(some.tolist(), exact_rows(x, q[some], least))}
+    if len(truth) == len(q):
+        yield from (truth[k] for k in range(len(q)))
+        return
+    linked = {k: t for k, t in truth.items() if len(t)}
+    want = np.array([len(t) for t in linked.values()])
+    while beam <= most_beam:
+        got = np.array([len(np.intersect1d(exact(graph.within(q[k], least - 1e-4, beam), x, q[k], least), t)) for k, t in linked.items()])
+        if got.sum() >= recall * want.sum() and (got / want).mean() >= recall:
+            yield from (exact(graph.within(v, least - 1e-4, beam), x, v, least) for v in q)
+            return
+        beam *= 2
+    for at in range(0, len(q), SLICE):
+        yield from exact_rows(x, q[at : at + SLICE], least)
+
+
 def exact(found: np.ndarray, x: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
     """Of the vectors found, those whose cosine in double precision reaches the threshold."""
     return found[x[found] @ q >= least]
