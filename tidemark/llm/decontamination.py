@@ -1,10 +1,9 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search, with DataFrame operations only.
+"""Benchmark decontamination by MinHash containment search, with DataFrame operations only.
 
-Test items are put into partitions by the power of two above their number of shingles. An item's signature is the least of its shingles
-under each of ``signature`` hash orders. A long document is seen in overlapping pieces of twice the partition's size, so that an item
-copied anywhere lies whole in one piece however long the document is, and the share of an item's signature that stands in a piece
-estimates its containment there (the containment form of MinHash: the least shingle of the small set is looked up in the large one, so
-the large one's size doesn't matter). Pairs above ``estimate`` are verified by exact containment of shingles, as text.
+An item's signature is the least of its shingles under each of ``signature`` hash orders. The share of it that stands anywhere in a
+document estimates the item's containment there (the containment form of MinHash: the least shingle of the small set is looked up in the
+large one, so the large one's size doesn't matter, nor how far apart an item's parts stand). Pairs above ``estimate`` are verified by
+exact containment of shingles, as text.
 """
 
 from __future__ import annotations
@@ -72,23 +71,20 @@ def contaminated(
     few = n_items <= broadcast_items
     # Searched texts: items with the same shingles stand for one another.
     sets = own.groupBy(F.xxhash64(F.array_sort("hashes")).alias("set")).agg(F.min_by("hashes", "item").alias("hashes"), F.first("width").alias("width"))
-    sets = sets.withColumn("size", F.pow(2.0, F.ceil(F.log2(F.size("hashes").cast("double")))).cast("int"))
     seeded = lambda j: F.array_min(F.transform("hashes", lambda h: F.struct(F.xxhash64(h, j).alias("order"), h.alias("h"))))["h"]
-    keys = sets.select("set", "width", "size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(signature)), seeded))).alias("h"))
+    keys = sets.select("set", "width", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(signature)), seeded))).alias("h"))
     n_keys = keys.groupBy("set").agg(F.count("*").alias("n_keys"))
 
     d = docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("w")).filter(F.col("doc").isNotNull())
     hashed = F.concat(*(F.coalesce(windows(F.col("w"), k, lambda ws, k=k: F.struct(F.lit(k).alias("width"), F.xxhash64(*ws).alias("h"))), F.array().cast("array<struct<width:int,h:bigint>>")) for k in widths)) if widths else F.array().cast("array<struct<width:int,h:bigint>>")
     if widths == [width]:
         hashed = F.coalesce(windows(F.col("w"), width, lambda ws: F.xxhash64(*ws)), F.array().cast("array<bigint>"))
-        d = d.select("doc", F.posexplode(hashed).alias("pos", "h")).withColumn("width", F.lit(width))
+        d = d.select("doc", F.explode(hashed).alias("h")).withColumn("width", F.lit(width))
     else:
-        d = d.select("doc", F.posexplode(hashed).alias("pos", "s")).select("doc", "pos", F.col("s.width").alias("width"), F.col("s.h").alias("h"))
+        d = d.select("doc", F.explode(hashed).alias("s")).select("doc", F.col("s.width").alias("width"), F.col("s.h").alias("h"))
     hits = d.join(F.broadcast(keys) if few else keys, ["h", "width"])
-    piece = F.floor(F.col("pos") / F.col("size"))
-    hits = hits.select("doc", "set", "h", F.explode(F.array(piece, piece - 1)).alias("piece")).distinct()
-    pieces = hits.groupBy("doc", "set", "piece").agg(F.count("*").alias("n")).groupBy("doc", "set").agg(F.max("n").alias("n"))
-    pairs = pieces.join(F.broadcast(n_keys) if few else n_keys, "set").filter(F.col("n") >= F.col("n_keys") * estimate)
+    found = hits.select("doc", "set", "h").distinct().groupBy("doc", "set").agg(F.count("*").alias("n"))
+    pairs = found.join(F.broadcast(n_keys) if few else n_keys, "set").filter(F.col("n") >= F.col("n_keys") * estimate)
     per_doc = cut(pairs.groupBy("doc").agg(F.collect_set("set").alias("sets")))
     some = per_doc.count() <= broadcast_pairs
 
