@@ -4,11 +4,14 @@ All rolling word k-grams of the documents are hashed and joined to the positions
 license templates. A match of a template at word s of a document puts all its votes on the diagonal
 ``document position - template position = s``, so votes are counted by (document, template, diagonal), the diagonals of long templates
 that lie close together are merged (words put in or left out shift the diagonal), and each k-gram is compared word by word with the
-template before it votes, so that no hash collision counts.
+template before it votes, so that no hash collision counts. A merged span is then verified: a template position counts once, on however
+many diagonals it voted, and the words that tell the template apart have to stand in the document where the span puts them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +39,26 @@ LONG = [
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd-text"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 ]
+#: The words of long wordings that other licenses' wordings have otherwise: without them, a span isn't that license.
+TELLING = {
+    "cc-by-nc": ["nc"],
+    "cc-by-sa": ["sa"],
+    "cc-by-nd": ["nd"],
+    "gpl-notice": ["gnu", "general"],
+    "apache-2.0": ["apache", "2"],
+    "lgpl": ["gnu", "lesser"],
+    "agpl": ["gnu", "affero"],
+    "mpl-2.0": ["mozilla", "2"],
+    "mit-text": ["permission", "hereby", "charge"],
+    "bsd-text": ["redistribution", "source", "binary"],
+    "unlicense": ["unencumbered"],
+}
 SHORT_K, LONG_K = 2, 3
+#: Template positions in one mask.
+BITS = 62
 
 
-def template_grams(spark: SparkSession, base=BASE, long=LONG) -> DataFrame:
+def template_grams(spark: SparkSession, base=BASE, long=LONG, telling=TELLING) -> DataFrame:
     """One row for each k-gram position of each template: as many rows as the templates, a parameter, have words."""
     rows = []
     for kind, k, templates in (("base", SHORT_K, base), ("long", LONG_K, long)):
@@ -48,20 +67,22 @@ def template_grams(spark: SparkSession, base=BASE, long=LONG) -> DataFrame:
             if len(words) < k:
                 raise ValueError(f"template {text!r} is shorter than {k} words")
             n = len(words) - k + 1
-            rows += [(kind, text, label, i, n, words[i], words[i + 1], words[i + 2] if k == 3 else None) for i in range(n)]
-    grams = spark.createDataFrame(rows, "kind string, template string, label string, tpos int, grams int, g0 string, g1 string, g2 string")
+            apart = [(words.index(x), x, 1 << j) for j, x in enumerate(telling.get(label, ()) if kind == "long" else ()) if x in words]
+            rows += [(kind, text, label, i, n, apart, words[i], words[i + 1], words[i + 2] if k == 3 else None) for i in range(n)]
+    grams = spark.createDataFrame(rows, "kind string, template string, label string, tpos int, grams int, apart array<struct<at:int,word:string,bit:bigint>>, g0 string, g1 string, g2 string")
     return grams.withColumn("h", F.when(F.col("kind") == "base", F.xxhash64("g0", "g1")).otherwise(F.xxhash64("g0", "g1", "g2")))
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", base=BASE, long=LONG, slack: int = 2, least: float = 0.6) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", base=BASE, long=LONG, telling=TELLING, slack: int = 2, least: float = 0.6) -> DataFrame:
     """One row for each row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     A base phrase counts at each place where its words stand consecutively. A long template adds its label where at least ``least`` of
-    its 3-grams vote on diagonals at most ``slack`` apart; score is the largest such share of the document (1 with a base phrase).
+    its 3-grams vote on diagonals at most ``slack`` apart and each of the label's ``telling`` words stands at most ``slack`` words from
+    its place on one of them; score is the largest share of 3-grams of such spans of the document (1 with a base phrase).
     Null texts count as empty: no words, no labels, null first_word and last_word. Repeated rows each get their own row; an id may be
     null; further columns are ignored; an empty table gives no rows.
     """
-    grams = template_grams(docs.sparkSession, base, long)
+    grams = template_grams(docs.sparkSession, base, long, telling)
     d = docs.select(F.col(id_col).alias("_id"), F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(1)).alias("w"))
     d = d.withColumns({"_rid": F.monotonically_increasing_id(), "n_words": F.size("w").cast("long")})
     none = F.array().cast("array<bigint>")
@@ -78,12 +99,25 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     hits = d.join(F.broadcast(grams), "h", "left")
     same = (F.get("w", F.col("pos")) == F.col("g0")) & (F.get("w", F.col("pos") + 1) == F.col("g1")) & (F.col("g2").isNull() | (F.get("w", F.col("pos") + 2) == F.col("g2")))
     hits = hits.filter(F.col("h").isNull() | same)
-    votes = hits.groupBy("_rid", "_id", "n_words", "kind", "template", "label", "grams", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count("tpos").alias("votes"))
+    # Telling words within slack of their places; words of the document are at hand only here.
+    place = F.col("pos") - F.col("tpos")
+
+    def met(t):
+        first = F.greatest(place + t["at"] - slack, F.lit(0))
+        around = F.slice("w", first + 1, F.greatest(place + t["at"] + slack - first + 1, F.lit(0)))
+        return F.when(F.array_contains(around, t["word"]), t["bit"]).otherwise(F.lit(0).cast("long"))
+
+    hits = hits.withColumn("met", F.aggregate("apart", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseOR(met(t))))
+    masks = [f"mask{j}" for j in range(-(-max(len(t.split()) for t, _ in [*base, *long]) // BITS))]
+    bit = F.expr(f"shiftleft(1L, tpos % {BITS})")
+    template = ["kind", "template", "label", "grams"]
+    votes = hits.groupBy("_rid", "_id", "n_words", *template, F.size("apart").alias("n_apart"), place.alias("diagonal")).agg(F.bit_or("met").alias("met"), *(F.bit_or(F.when(F.floor(F.col("tpos") / BITS) == j, bit)).alias(m) for j, m in enumerate(masks)))
     near = Window.partitionBy("_rid", "template").orderBy("diagonal")
     votes = votes.withColumn("new", F.when((F.col("kind") == "long") & (F.col("diagonal") - F.lag("diagonal").over(near) <= slack), 0).otherwise(1))
     votes = votes.withColumn("run", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = votes.groupBy("_rid", "_id", "n_words", "kind", "template", "label", "grams", "run").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("start"))
-    spans = spans.withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("grams")))
+    spans = votes.groupBy("_rid", "_id", "n_words", *template, "n_apart", "run").agg(F.bit_or("met").alias("met"), *(F.bit_or(m).alias(m) for m in masks), F.min("diagonal").alias("start"))
+    spans = spans.withColumn("votes", reduce(lambda a, b: a + b, (F.coalesce(F.bit_count(m), F.lit(0)) for m in masks)))
+    spans = spans.withColumn("share", F.when(F.bit_count("met") == F.col("n_apart"), F.col("votes") / F.col("grams")).otherwise(0.0))
     is_base = (F.col("kind") == "base") & (F.col("votes") == F.col("grams"))
     is_long = (F.col("kind") == "long") & (F.col("share") >= least)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
