@@ -100,7 +100,8 @@ class Encoder:
     """Packed ids of whole texts, with what the tokenizer gave for a word kept for the next time.
 
     A byte-level BPE never joins a piece of text with what follows behind a space, so that a text with single spaces is the sum of its
-    space-separated words, each with its leading space; other texts are encoded as they are. ``most`` bounds the words kept.
+    space-separated words, each with its leading space; other texts, and those that hold an added token such as ``<|endoftext|>``, are
+    encoded as they are. ``most`` bounds the words kept.
     """
 
     def __init__(self, tokenizer: str, end_id: int, most: int = 400_000):
@@ -108,13 +109,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.bpe = Tokenizer.from_file(tokenizer)
-        self.bpe.encode_special_tokens = True
         size = max(self.bpe.get_vocab_size(), end_id + 1)
         self.width = 2 if size <= 1 << 16 else 4
         self.kind, self.most = {2: "<u2", 4: "<u4"}[self.width], most
         self.spaced = np.array([(self.bpe.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.known: dict[str, bytes] = {}
         self.by_words = '"type":"ByteLevel"' in self.bpe.to_str().replace(" ", "").partition('"pre_tokenizer":')[2][:40] and not self.bpe.normalizer
+        added = [t.content for t in self.bpe.get_added_tokens_decoder().values()]
+        self.apart = re.compile("|".join([UNEVEN.pattern, *map(re.escape, added)]))
+        self.by_words = self.by_words and not any(re.search(r"\s", t) for t in added)  # words put side by side must not make one
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.bpe.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
@@ -123,7 +126,7 @@ class Encoder:
         out: list[bytes | tuple] = []
         new: set[str] = set()
         for text in texts:
-            if not text or not self.by_words or UNEVEN.search(text):
+            if not text or not self.by_words or self.apart.search(text):
                 out.append(self.whole(text) if text else b"")
                 continue
             first, *words = text.split(" ")
