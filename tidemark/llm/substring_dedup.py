@@ -1,10 +1,8 @@
-"""Substring dedup by parsing documents relative to an index of all earlier text.
+"""Substring dedup by grouping the hashes of all word windows.
 
-The reference is the corpus itself: a window of ``width`` words is indexed at its first place (smallest id, then smallest start). The
-index is cut into blocks by the windows' hashes, and every window of every document is looked up in the block that could hold it, so a
-document is factored against all reference blocks. A window whose sequence starts earlier belongs to a copied factor; greedily, a factor
-goes on as long as the next window does, and at its boundaries each window is looked up by itself, so that a factor begins and ends
-exactly where the copied words do. Words of factors are removed; windows are judged on the input, not on what is left.
+A window of ``width`` words stays at its first place (smallest id, then smallest start); at all others it is a copy. Windows are dealt to
+blocks by one hash and grouped in a block by another. Words are not compared, and no document is factored: factors() unites the
+intervals of copied windows. Their words are removed; windows are judged on the input, not on what is left.
 
 A task reduces its windows before they are shuffled: each sequence leaves it once, with its first place in the task, and its other
 places are known to be copies right there. So a passage that a third of all documents share puts no load on its block.
