@@ -87,14 +87,14 @@ def a9_content_ids(spark, d):
 
 @query("a10_a11_stored_predictions", f"with {FP.BLEND} select series_id as run_id, horizon, target_date, round(prediction, 4) as prediction from blended where day(origin_date) = 15")
 def a10_a11_stored_predictions(spark, d):
-    """Forecasts appended to a state table and read back."""
+    """All forecasts appended to a state table and read back; of these, the SQL names those of a month's 15th day."""
     path = A.work_folder(spark, "state")
     tables = A.create_tables(spark, path)
-    made = FP.blended(spark, d).filter(F.dayofmonth("origin_date") == 15)
-    rows = made.select(F.col("series_id").alias("run_id"), F.lit("y").alias("target"), F.col("horizon").cast("int").alias("horizon"), "target_date", "prediction", F.lit("AVAILABLE").alias("status"), F.lit(None).cast("string").alias("reason"))
+    rows = FP.blended(spark, d).select(F.col("series_id").alias("run_id"), F.lit("y").alias("target"), F.col("horizon").cast("int").alias("horizon"), "target_date", "prediction", F.lit("AVAILABLE").alias("status"), F.lit(None).cast("string").alias("reason"))
     rows.write.mode("append").parquet(f"{path}/predictions")
     back = spark.read.schema(tables["predictions"].schema).parquet(f"{path}/predictions")
-    return back.select("run_id", F.col("horizon").cast("long").alias("horizon"), "target_date", F.round("prediction", 4).alias("prediction"))
+    origin = F.date_sub("target_date", F.col("horizon"))
+    return back.filter(F.dayofmonth(origin) == 15).select("run_id", F.col("horizon").cast("long").alias("horizon"), "target_date", F.round("prediction", 4).alias("prediction"))
 
 
 @query("a13_merge_maps", "select event_id, case when event_id % 2 = 0 then 'new' else 'old' end as a, case when event_id % 3 = 0 then 'added' end as b from events")
