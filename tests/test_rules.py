@@ -141,3 +141,20 @@ def test_kernel_and_nonnegative_weights():
     assert forecast.kernel(0.35)[0] == 1.0 and len(forecast.kernel(0.35)) == 21
     sums = {"a__a": 10.0, "a__b": 0.0, "b__b": 10.0, "a__y": 5.0, "b__y": -3.0}
     assert learning.nonnegative_weights(sums, ["a", "b"]) == [0.5, 0.0]
+
+
+def test_forest_of_the_query_has_all_trees_at_full_depth(spark, sf, monkeypatch):
+    from pyspark.ml import regression
+
+    from tidemark.plans.learning_plans import j4_j5_random_forest
+
+    class Asked(Exception):
+        pass
+
+    def forest(**options):
+        raise Asked(options["numTrees"], options["maxDepth"])
+
+    monkeypatch.setattr(regression, "RandomForestRegressor", forest)
+    with pytest.raises(Asked) as found:
+        j4_j5_random_forest(spark, sf)
+    assert found.value.args == (400, 30)

@@ -30,12 +30,12 @@ def tail_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], share:
 
 
 def forest_predictions(train: DataFrame, rows: DataFrame, features: Sequence[str], target: str, prediction: str, *, trees: int = 400, least_leaf: int = 2, seed: int = 42) -> DataFrame:
-    """rows with a random forest's predictions; rows lacking a feature are left out of both."""
+    """rows with a random forest's predictions, its trees as deep as Spark allows (30); rows lacking a feature are left out of both."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     assemble = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
-    forest = RandomForestRegressor(featuresCol="_x", labelCol=target, predictionCol=prediction, numTrees=trees, minInstancesPerNode=least_leaf, maxDepth=8, seed=seed)
+    forest = RandomForestRegressor(featuresCol="_x", labelCol=target, predictionCol=prediction, numTrees=trees, minInstancesPerNode=least_leaf, maxDepth=30, seed=seed)
     return forest.fit(assemble.transform(train.dropna(subset=[target]))).transform(assemble.transform(rows)).drop("_x")
 
 

@@ -46,7 +46,7 @@ def j4_j5_random_forest(spark, d):
     train, holdout = L.year_split(rows(spark, d), "date", HOLDOUT)
     blocks = L.meta_split(train, "date")
     phases = [("meta", blocks.filter("block = 'early'"), blocks.filter("block = 'meta'")), ("holdout", train, holdout)]
-    made = [L.forest_predictions(a, b, MODELS, "y", "prediction", trees=20).select("series_id", "date", F.lit(k).alias("phase"), F.round("prediction", 4).alias("prediction"), "y") for k, a, b in phases]
+    made = [L.forest_predictions(a, b, MODELS, "y", "prediction").select("series_id", "date", F.lit(k).alias("phase"), F.round("prediction", 4).alias("prediction"), "y") for k, a, b in phases]
     return made[0].unionByName(made[1])
 
 
