@@ -83,28 +83,32 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     null; further columns are ignored; an empty table gives no rows.
     """
     grams = template_grams(docs.sparkSession, base, long, telling)
+    # Templates are a parameter of a few hundred words at most: their hashes pick the hits inside a text's array, before rows are made.
+    known = {k: [r["h"] for r in grams.filter(F.col("kind") == kind).select("h").distinct().collect()] for kind, k in (("base", SHORT_K), ("long", LONG_K))}
+    reach = max(len(t.split()) for t, _ in [*base, *long]) + slack
     d = docs.select(F.col(id_col).alias("_id"), F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(1)).alias("w"))
     d = d.withColumns({"_rid": F.monotonically_increasing_id(), "n_words": F.size("w").cast("long")})
-    none = F.array().cast("array<bigint>")
+    none = F.lit(None).cast("struct<pos:int,h:bigint,near:array<string>,at:int>")
 
-    def hashes(k: int):
-        at = lambda i: F.xxhash64(*(F.get(F.col("w"), i + j) for j in range(k)))
-        return F.when(F.col("n_words") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), at)).otherwise(none)
+    def hits_of(k: int):
+        """pos, h, and the words around: all that a template that fits there may ask for, however long the text is."""
+        gram = lambda i: F.struct(i.alias("pos"), F.xxhash64(*(F.get(F.col("w"), i + j) for j in range(k))).alias("h"))
+        found = F.filter(F.transform(F.sequence(F.lit(0), F.size("w") - k), gram), lambda x: x["h"].isin(known[k]))
+        around = lambda x: F.slice("w", F.greatest(x["pos"] - reach, F.lit(0)) + 1, F.lit(2 * reach + k))
+        rows = F.transform(found, lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h"), around(x).alias("near"), F.least(x["pos"], F.lit(reach)).alias("at")))
+        return F.when(F.col("n_words") >= k, rows).otherwise(F.array().cast("array<struct<pos:int,h:bigint,near:array<string>,at:int>>"))
 
     # The null at the end keeps documents without any hit in the one scan.
-    d = d.select("_rid", "_id", "n_words", "w", F.posexplode(F.concat(hashes(SHORT_K), hashes(LONG_K), F.array(F.lit(None).cast("long")))).alias("i", "h"))
-    n_short = F.greatest(F.col("n_words") - (SHORT_K - 1), F.lit(0))
-    d = d.withColumn("pos", F.when(F.col("i") < n_short, F.col("i")).otherwise(F.col("i") - n_short).cast("int"))
-    # Templates are a parameter of a few hundred words at most.
+    d = d.select("_rid", "_id", "n_words", F.explode(F.concat(hits_of(SHORT_K), hits_of(LONG_K), F.array(none))).alias("x")).select("_rid", "_id", "n_words", "x.*")
     hits = d.join(F.broadcast(grams), "h", "left")
-    same = (F.get("w", F.col("pos")) == F.col("g0")) & (F.get("w", F.col("pos") + 1) == F.col("g1")) & (F.col("g2").isNull() | (F.get("w", F.col("pos") + 2) == F.col("g2")))
+    same = (F.get("near", F.col("at")) == F.col("g0")) & (F.get("near", F.col("at") + 1) == F.col("g1")) & (F.col("g2").isNull() | (F.get("near", F.col("at") + 2) == F.col("g2")))
     hits = hits.filter(F.col("h").isNull() | same)
-    # Telling words within slack of their places; words of the document are at hand only here.
-    place = F.col("pos") - F.col("tpos")
+    # Telling words within slack of their places, counted in the words around.
+    place, own = F.col("pos") - F.col("tpos"), F.col("at") - F.col("tpos")
 
     def met(t):
-        first = F.greatest(place + t["at"] - slack, F.lit(0))
-        around = F.slice("w", first + 1, F.greatest(place + t["at"] + slack - first + 1, F.lit(0)))
+        first = F.greatest(own + t["at"] - slack, F.lit(0))
+        around = F.slice("near", first + 1, F.greatest(own + t["at"] + slack - first + 1, F.lit(0)))
         return F.when(F.array_contains(around, t["word"]), t["bit"]).otherwise(F.lit(0).cast("long"))
 
     hits = hits.withColumn("met", F.aggregate("apart", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseOR(met(t))))
