@@ -10,7 +10,6 @@ frame and place in it each document has.
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
 
@@ -22,8 +21,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import new_folder, partitions, schema_and, small_batches
 
-#: White space beside a space, or spaces at an end: there, words don't tell where the tokenizer splits.
-UNEVEN = re.compile(r"^\s| (?:\s|$)")
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
 
@@ -99,12 +96,12 @@ class FrameReader:
 class Encoder:
     """Packed ids of whole texts, with what the tokenizer gave for a word kept for the next time.
 
-    A byte-level BPE never joins a piece of text with what follows behind a space, so that a text with single spaces is the sum of its
-    space-separated words, each with its leading space; other texts, and those that hold an added token such as ``<|endoftext|>``, are
-    encoded as they are. ``most`` bounds the words kept.
+    A byte-level BPE never joins a piece of text with what follows behind a space, nor with a single line break between two words, so
+    that a text whose words have one space or line break between them is the sum of its words, each with what stands before it. Other
+    texts, and those that hold an added token such as ``<|endoftext|>``, are encoded as they are. ``most`` bounds the words kept.
     """
 
-    def __init__(self, tokenizer: str, end_id: int, most: int = 400_000):
+    def __init__(self, tokenizer: str, end_id: int, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
@@ -114,45 +111,70 @@ class Encoder:
         self.kind, self.most = {2: "<u2", 4: "<u4"}[self.width], most
         self.spaced = np.array([(self.bpe.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.known: dict[str, bytes] = {}
-        self.by_words = '"type":"ByteLevel"' in self.bpe.to_str().replace(" ", "").partition('"pre_tokenizer":')[2][:40] and not self.bpe.normalizer
-        added = [t.content for t in self.bpe.get_added_tokens_decoder().values()]
-        self.apart = re.compile("|".join([UNEVEN.pattern, *map(re.escape, added)]))
-        self.by_words = self.by_words and not any(re.search(r"\s", t) for t in added)  # words put side by side must not make one
+        self.marks = {m: self.whole("a" + m)[len(self.whole("a")) :] for m in ".,;:!?"}
+        self.added = [t.content for t in self.bpe.get_added_tokens_decoder().values()]
+        by_bytes = '"type":"ByteLevel"' in self.bpe.to_str().replace(" ", "").partition('"pre_tokenizer":')[2][:40]
+        # Words put side by side must not make an added token.
+        self.by_words = by_bytes and not self.bpe.normalizer and not any(len(t.split()) != 1 or t != t.strip() for t in self.added)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.bpe.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
+    def words(self, text: str) -> list[str] | None:
+        """The text's words, but for the first with the line break before them, if they have one; None where they don't tell the text."""
+        if not self.by_words or any(t in text for t in self.added):
+            return None
+        words = text.replace("\n", " \n").split(" ")
+        return words if len(words) == len(text.split()) else None
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | tuple] = []
         new: set[str] = set()
+        get = self.known.get
         for text in texts:
-            if not text or not self.by_words or self.apart.search(text):
+            words = self.words(text) if text else []
+            if not words:
                 out.append(self.whole(text) if text else b"")
                 continue
-            first, *words = text.split(" ")
-            packed = list(map(self.known.get, words))
+            head = self.whole(words[0])
+            del words[0]
+            packed = list(map(get, words))
             if None in packed:
-                new.update(w for w, p in zip(words, packed) if p is None)
-                out.append((self.whole(first), words, packed))
+                new.update([w for w, p in zip(words, packed) if p is None])
+                out.append((head, words, packed))
             else:
-                out.append(self.whole(first) + b"".join(packed))
-        found = self.learn(sorted(new))
+                out.append(head + b"".join(packed))
+        found = self.learn(new)
         return [x if isinstance(x, bytes) else x[0] + b"".join([found[w] if p is None else p for w, p in zip(x[1], x[2])]) for x in out]
 
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Packed ids of the words; they are kept while there is room, which frequent words take first."""
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """Packed ids of the words; they are kept while there is room, which frequent words take first.
+
+        A mark behind a letter is a piece of its own for the tokenizer, so a word that ends so is put together from the two.
+        """
+        marked = {w: w[:-1] for w in new if w[-1] in self.marks and w[-2:-1].isalpha()}
+        plain = {w for w in new if w not in marked} | {w for w in marked.values() if w not in self.known}
+        broken = [w for w in plain if w[0] == "\n"]
+        found = self.encoded(list(plain.difference(broken)), " ", self.spaced) | self.encoded(broken, "", None)
+        found |= {w: (found.get(core) or self.known[core]) + self.marks[w[-1]] for w, core in marked.items()}
+        if len(self.known) < self.most:
+            self.known.update(found)
+        return found
+
+    def encoded(self, words: list[str], before: str, starting) -> dict[str, bytes]:
+        """Packed ids of words, of which each starts with an id that is marked in ``starting``, or, without marks, a line break's."""
         found = {}
-        lines = [new[i : i + 128] for i in range(0, len(new), 128)]
+        lines = [words[i : i + 128] for i in range(0, len(words), 128)]
         w = self.width
-        for line, e in zip(lines, self.bpe.encode_batch_fast([" " + " ".join(x) for x in lines], add_special_tokens=False)):
+        if starting is None:
+            line_break = self.bpe.encode("a\nb", add_special_tokens=False).ids[1]
+        for line, e in zip(lines, self.bpe.encode_batch_fast([before + before.join(x) for x in lines], add_special_tokens=False)):
             ids = np.asarray(e.ids)
-            starts = np.flatnonzero(self.spaced[ids])
+            starts = np.flatnonzero(ids == line_break if starting is None else starting[ids])
             if len(starts) != len(line):
                 raise ValueError("the tokenizer joins words")
             packed, at = ids.astype(self.kind).tobytes(), (starts * w).tolist()
             found.update(zip(line, [packed[a:b] for a, b in zip(at, [*at[1:], len(packed)])]))
-        if len(self.known) < self.most:
-            self.known.update(found)
         return found
 
 
@@ -183,8 +205,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: s
         name = f"tokens-{part:05d}.w{width}.{task.taskAttemptId()}.zst"
         out, writer, local = None, None, 0
         for b in batches:
-            for at in range(0, len(b), 128):
-                chunk = b.iloc[at : at + 128]
+            for at in range(0, len(b), 512):
+                chunk = b.iloc[at : at + 512]
                 if writer is None:
                     out = store.open_output_stream(f"{path}/_{name}", compression=None)
                     writer = FrameWriter(out, width, frame_bytes, level)
