@@ -77,3 +77,23 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def release_memory() -> None:
+    """Gives what a Python worker has freed back to the system, so that idle workers between stages hold little."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """UTF-8 bytes of all texts: one aggregate, by which blocks are sized."""
+    return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -6,28 +6,58 @@ log frequency of the longest known n-gram that starts there (n = max_n down to 1
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import regex
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import each_text, schema_and, small_batches
+from tidemark.llm.common import each_text, release_memory, schema_and, small_batches
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters with the marks that combine with them; a word has a letter.
+WORDS = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
+
+
+def hashes(words) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64)
 
 
 @dataclass
-class LanguageModel:
-    """words and grams give rows of logs, which has one column for each language."""
+class Table:
+    """Log frequencies by language of words or n-grams: key k, a hash, has the entries at[k] to at[k + 1] of language and gain.
+
+    A language without an entry has its floor, the log frequency of what it lacks; gain is what an entry lies above that.
+    """
+
+    keys: np.ndarray
+    at: np.ndarray
+    language: np.ndarray
+    gain: np.ndarray
+    floor: np.ndarray
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        if not len(self.keys):
+            return np.full(len(h), -1)
+        k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[k] == h, k, -1)
+
+    def add(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The rows' weighted log frequencies, summed for each language."""
+        n = self.at[rows + 1] - self.at[rows]
+        own = np.repeat(self.at[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return weights.sum() * self.floor + np.bincount(self.language[own], self.gain[own] * np.repeat(weights, n), len(self.floor))
 
+
+@dataclass
+class LanguageModel:
     languages: list[str]
-    words: dict[str, int]
-    grams: dict[str, int]
-    logs: np.ndarray
+    words: Table
+    grams: Table
     max_n: int
 
 
@@ -39,19 +69,36 @@ def word_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             for lang, texts in b.groupby("lang")["text"]:
                 n = Counter()
                 for t in texts:
-                    n.update(LETTERS.findall(t.lower()))
+                    n.update(WORDS.findall(t.lower()))
                 if n:
                     yield pd.DataFrame({"lang": [lang] * len(n), "word": list(n), "n": list(n.values())})
+        release_memory()
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
     return rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit_language_model(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", max_train_docs: int = 20_000, max_languages: int = 200, max_words: int = 40_000, max_grams: int = 20_000, max_n: int = 4) -> LanguageModel:
+def log_table(counts: DataFrame, key: str, languages: list[str]) -> Table:
+    """The table of counts (lang, key, n): as many entries as the sample has, its strings as hashes."""
+    hashed = counts.mapInPandas(lambda batches: (pd.DataFrame({"lang": b["lang"], "h": hashes(b[key]).view(np.int64), "n": b["n"]}) for b in batches), "lang string, h long, n long")
+    found = hashed.toArrow()
+    column = {x: i for i, x in enumerate(languages)}
+    language = np.array([column[x] for x in found.column("lang").to_pylist()], np.int64)
+    h, n = np.array(found.column("h").to_numpy()).view(np.uint64), found.column("n").to_numpy().astype(np.float64)
+    order = np.lexsort((language, h))
+    h, language, n = h[order], language[order], n[order]
+    keys, at = np.unique(h, return_index=True)
+    total = np.log(np.bincount(language, n, len(languages)) + 0.5 * max(1, len(keys)))
+    floor = np.log(0.5) - total
+    return Table(keys, np.append(at, len(h)).astype(np.int64), language.astype(np.uint16), (np.log(n + 0.5) - np.log(0.5)).astype(np.float32), floor)
+
+
+def fit_language_model(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", max_train_docs: int = 20_000, max_n: int = 4) -> LanguageModel:
     """Fits on the rows of docs with a language and a text.
 
-    Above max_train_docs such rows, a sample by a hash of the id holds about so many; the counts of the sample come from whole texts.
-    The model, which each executor gets, holds at most max_words words and max_grams n-grams for each of max_languages languages.
+    Above max_train_docs such rows, a sample by a hash of the id holds about so many, which bounds the model that each executor gets:
+    all languages, words and n-grams of the sample's whole texts are in it. Repeated rows count as often as they stand; an empty table
+    gives a model without languages.
     """
     small_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -59,10 +106,6 @@ def fit_language_model(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str
     if share < 1:
         rows = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
     counts = word_counts(rows, lang_col, text_col).persist()
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    languages = sorted(totals)
-    by_n = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    kept = counts.filter(F.col("lang").isin(languages) & (F.col("n") >= 2)).withColumn("r", F.row_number().over(by_n)).filter(F.col("r") <= max_words).select("lang", "word", "n").toPandas() if languages else pd.DataFrame({"lang": [], "word": [], "n": []})
 
     def pieces(batches):
         for b in batches:
@@ -74,61 +117,59 @@ def fit_language_model(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str
                         n[lang, w[i : i + m]] += c
             if n:
                 yield pd.DataFrame({"lang": [k[0] for k in n], "gram": [k[1] for k in n], "n": list(n.values())})
+        release_memory()
 
     grams = counts.mapInPandas(pieces, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    grams = grams.filter(F.col("lang").isin(languages)).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max_grams).select("lang", "gram", "n").toPandas() if languages else pd.DataFrame({"lang": [], "gram": [], "n": []})
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    model = LanguageModel(languages, log_table(counts, "word", languages), log_table(grams, "gram", languages), max_n)
     counts.unpersist()
+    return model
+
 
-    column = {lang: i for i, lang in enumerate(languages)}
-    words = {w: i for i, w in enumerate(dict.fromkeys(kept["word"]))}
-    table = {g: i + len(words) for i, g in enumerate(dict.fromkeys(grams["gram"]))}
-    n = np.zeros((len(words) + len(table), len(languages)))
-    for frame, rows_of, name in ((kept, words, "word"), (grams, table, "gram")):
-        if len(frame):
-            n[[rows_of[x] for x in frame[name]], [column[x] for x in frame["lang"]]] = frame["n"]
-    logs = np.empty_like(n)
-    for part in (slice(0, len(words)), slice(len(words), None)):
-        logs[part] = np.log((n[part] + 0.5) / (n[part].sum(axis=0) + 0.5 * max(1, len(n[part]))))
-    return LanguageModel(languages, words, table, logs.astype(np.float32), max_n)
+def backoff(model: LanguageModel, words: list[str], weights: list[int]) -> np.ndarray:
+    """What unknown words add: for each position the longest known n-gram that starts there, averaged over a word's positions."""
+    grams, word, position = [], [], []
+    for k, w in enumerate(words):
+        w = f"<{w}>"
+        for i in range(len(w)):
+            own = [w[i : i + m] for m in range(min(model.max_n, len(w) - i), 0, -1)]
+            grams += own
+            position += [len(word)] * len(own)
+            word.append(k)
+    rows, position, word = model.grams.find(hashes(grams)), np.array(position), np.array(word)
+    known = np.flatnonzero(rows >= 0)
+    first = known[np.unique(position[known], return_index=True)[1]]  # the longest comes first
+    of = word[position[first]]
+    n = np.bincount(of, minlength=len(words))
+    return model.grams.add(rows[first], (np.array(weights, np.float64) / np.maximum(n, 1))[of])
 
 
 def scores(model: LanguageModel, text: str | None) -> tuple[str, float]:
     """The language of a text and the model's share of belief in it; ("und", 0.0) without letters or languages."""
-    found = Counter(LETTERS.findall(text.lower())) if text else None
+    found = Counter(WORDS.findall(text.lower())) if text else None
     if not found or not model.languages:
         return "und", 0.0
-    known, unknown, weights, total = [], [], [], sum(found.values())
-    known_n = []
-    for word, n in found.items():
-        if (at := model.words.get(word)) is not None:
-            known.append(at)
-            known_n.append(n)
-            continue
-        w, rows = f"<{word}>", []
-        for i in range(len(w)):
-            for m in range(min(model.max_n, len(w) - i), 0, -1):
-                if (at := model.grams.get(w[i : i + m])) is not None:
-                    rows.append(at)
-                    break
-        unknown += rows
-        weights += [n / len(rows)] * len(rows)
-    ll = np.zeros(len(model.languages))
-    if known:
-        ll += np.asarray(known_n, dtype=np.float64) @ model.logs[known]
-    if unknown:
-        ll += np.asarray(weights) @ model.logs[unknown]
+    words, n = list(found), np.fromiter(found.values(), np.float64)
+    rows, total = model.words.find(hashes(words)), n.sum()
+    known = rows >= 0
+    ll = model.words.add(rows[known], n[known])
+    unknown = np.flatnonzero(~known).tolist()
+    for at in range(0, len(unknown), 4_096):
+        some = unknown[at : at + 4_096]
+        ll = ll + backoff(model, [words[k] for k in some], n[some])
     # Words of a text aren't independent: the mean counts as 12 words at most.
     p = ll / total * min(total, 12)
     p = np.exp(p - p.max())
-    best = int(p.argmax())
+    best = int(p.argmax())  # of equal ones the first by name
     return model.languages[best], float(p[best] / p.sum())
 
 
 def identify_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1), from whole texts.
+    """docs with lang_pred and score (0 to 1), from whole texts, however long they are.
 
-    ``und`` and 0 for null texts and texts without letters. Columns of docs of these two names are replaced; all others stay.
+    ``und`` and 0 for null texts and texts without letters (Unicode's category L). Of equally likely languages the first by name wins.
+    Columns of docs of these two names are replaced; all others stay, and each row, repeated or not, gets its own result. An empty
+    table gives an empty one.
     """
     small_batches(docs.sparkSession)
     rows = docs.drop("lang_pred", "score")
@@ -141,5 +182,6 @@ def identify_language(docs: DataFrame, model: LanguageModel, *, text_col: str =
         for b in batches:
             found = [scores(shared.value, t) for t in each_text(b, text_col)]
             yield b.append_column("lang_pred", pa.array([x[0] for x in found], pa.string())).append_column("score", pa.array([x[1] for x in found], pa.float64()))
+        release_memory()
 
     return rows.mapInArrow(predict, schema)
