@@ -15,16 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import each_text, schema_and, small_batches
+from tidemark.llm.common import each_text, release_memory, schema_and, small_batches
 
 WORDS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class FactorizationMachine:
-    """row_of gives the row of w and v for a bucket, or -1 where training found no weight for it."""
+    """w and v by bucket; both are zero where training saw no term."""
 
-    row_of: np.ndarray
     w0: float
     w: np.ndarray
     v: np.ndarray
@@ -44,11 +43,13 @@ def buckets(text: str | None, dimension: int, cache: dict[str, tuple]) -> np.nda
     return np.array(sorted(found), dtype=np.int64)
 
 
-def fit_factorization_machine(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", dimension: int = 1 << 18, max_train_rows: int = 12_000, max_terms: int = 4_096, factors: int = 6, epochs: int = 30, l2: float = 1e-5, seed: int = 7) -> FactorizationMachine:
+def fit_factorization_machine(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", dimension: int = 1 << 18, max_train_rows: int = 6_000, factors: int = 6, epochs: int = 40, rate: float = 0.02, positive_weight: float = 3.0, l2: float = 1e-5, seed: int = 7) -> FactorizationMachine:
     """Fits on the rows of labelled whose label is 0 or 1.
 
-    Above max_train_rows, a sample by a hash of the id holds about so many, which bounds what the driver gets: their max_terms terms
-    of the clearest difference between the classes (two-proportion z). Without rows of both classes, every score is the base rate.
+    Above max_train_rows, a sample by a hash of the id holds about so many, which bounds what the driver gets. All terms of these rows'
+    whole texts are trained, by themselves and in pairs: those whose share differs little between the classes only move more slowly, as
+    evidence() says. A row of class 1 weighs positive_weight. Null texts have no terms; repeated rows count as often as they stand.
+    Without rows of both classes, or any at all, every score is the base rate.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
@@ -60,89 +61,88 @@ def fit_factorization_machine(labelled: DataFrame, *, id_col: str = "doc_id", te
         cache: dict = {}
         for b in batches:
             yield pd.DataFrame({"y": b["y"], "terms": [buckets(t, dimension, cache) for t in b["text"]]})
-
-    features = rows.mapInPandas(hashed, "y int, terms array<int>").persist()
-    n = {r["y"]: r["n"] for r in features.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    row_of = np.full(dimension, -1, dtype=np.int32)
+        cache.clear()
+        release_memory()
+
+    data = rows.mapInPandas(hashed, "y int, terms array<int>").toPandas()
+    lists = [np.asarray(t, dtype=np.int64) for t in data["terms"]]
+    y = data["y"].to_numpy(dtype=np.float64)
+    # The order of tasks doesn't matter.
+    order = sorted(range(len(lists)), key=lambda i: (y[i], zlib.crc32(lists[i].tobytes()), len(lists[i])))
+    lists, y = [lists[i] for i in order], y[order]
+    n1, n0 = y.sum(), len(y) - y.sum()
     base = float(np.log((n1 + 0.5) / (n0 + 0.5)))
+    w, v = np.zeros(dimension, np.float32), np.zeros((dimension, factors), np.float32)
     if not n0 or not n1:
-        features.unpersist()
-        return FactorizationMachine(row_of, base, np.zeros(0), np.zeros((0, factors)))
-    c = features.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("c1"), F.count("*").alias("c")).filter("c >= 5")
-    p1, p0, p = F.col("c1") / n1, (F.col("c") - F.col("c1")) / n0, F.col("c") / (n0 + n1)
-    z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + 1e-9)
-    terms = [r["term"] for r in c.withColumn("z", F.abs(z)).filter("z > 3").orderBy(F.desc("z"), "term").limit(max_terms).collect()]
-    row_of[terms] = np.arange(len(terms))
-    known = labelled.sparkSession.sparkContext.broadcast(row_of)
-
-    def active(batches):
-        for b in batches:
-            yield pd.DataFrame({"y": b["y"], "terms": [(r := known.value[np.asarray(t, dtype=np.int64)])[r >= 0] for t in b["terms"]]})
+        return FactorizationMachine(base, w, v)
+    terms, at = np.unique(np.concatenate(lists), return_inverse=True)
+    lists = np.split(at, np.cumsum([len(x) for x in lists])[:-1])
+    w0, w[terms], v[terms] = _train(lists, y, len(terms), base, factors, epochs, rate, positive_weight, l2, seed)
+    return FactorizationMachine(w0, w, v)
+
 
-    data = features.mapInPandas(active, "y int, terms array<int>").toPandas()
-    features.unpersist()
-    order = np.lexsort((data["terms"].map(lambda t: hash(tuple(t))), data["y"]))  # the order of tasks doesn't matter
-    y = data["y"].to_numpy(dtype=np.float64)[order]
-    lists = [np.asarray(data["terms"].iat[i], dtype=np.int64) for i in order]
-    return FactorizationMachine(row_of, *_train(lists, y, len(terms), base, factors, epochs, l2, seed))
+def evidence(lists: list[np.ndarray], y: np.ndarray, terms: int) -> np.ndarray:
+    """How fast each term moves, above 0 to 1: |z| of its shares in the two classes (two-proportion, 1 at least) over the largest."""
+    n = np.bincount(np.concatenate(lists), minlength=terms)
+    n1 = np.bincount(np.concatenate([x for x, t in zip(lists, y) if t]), minlength=terms)
+    rows1, rows0, p = y.sum(), len(y) - y.sum(), n / len(y)
+    z = np.abs(n1 / rows1 - (n - n1) / rows0) / np.sqrt(p * (1 - p) * (1 / rows0 + 1 / rows1) + 1e-9)
+    return (np.maximum(z, 1) / max(z.max(), 1)).astype(np.float32)
 
 
-def _train(lists: list[np.ndarray], y: np.ndarray, terms: int, base: float, factors: int, epochs: int, l2: float, seed: int):
-    """Adam over shuffled batches of the logistic loss."""
+def _train(lists: list[np.ndarray], y: np.ndarray, terms: int, base: float, factors: int, epochs: int, rate: float, positive_weight: float, l2: float, seed: int):
+    """Adam over shuffled batches of the logistic loss; a term's weights are its parameters times its evidence."""
     rng = np.random.default_rng(seed)
-    theta = {"w0": np.array([base]), "w": np.zeros(terms), "v": rng.normal(0, 0.02, (terms, factors))}
+    speed = evidence(lists, y, terms) if sum(map(len, lists)) else np.ones(terms, np.float32)
+    theta = {"w0": np.array([base], np.float32), "w": np.zeros(terms, np.float32), "v": rng.normal(0, 0.02, (terms, factors)).astype(np.float32)}
     m, s = ({k: np.zeros_like(x) for k, x in theta.items()} for _ in range(2))
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(lists))
         for at in range(0, len(order), 256):
             rows = order[at : at + 256]
-            idx = np.concatenate([lists[i] for i in rows]) if len(rows) else np.zeros(0, np.int64)
-            doc = np.repeat(np.arange(len(rows)), [len(lists[i]) for i in rows])
-            v = theta["v"][idx]
-            sums = np.zeros((len(rows), v.shape[1]))
-            np.add.at(sums, doc, v)
-            raw = theta["w0"][0] + np.bincount(doc, theta["w"][idx], len(rows)) + 0.5 * ((sums**2).sum(1) - np.bincount(doc, (v**2).sum(1), len(rows)))
-            g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[rows]) / len(rows)
-            grad = {"w0": np.array([g.sum()]), "w": np.bincount(idx, g[doc], terms), "v": np.zeros_like(theta["v"])}
-            np.add.at(grad["v"], idx, g[doc, None] * (sums[doc] - v))
+            idx, doc = np.concatenate([lists[i] for i in rows]), np.repeat(np.arange(len(rows)), [len(lists[i]) for i in rows])
+            v = theta["v"][idx] * speed[idx, None]
+            sums = np.stack([np.bincount(doc, v[:, f], len(rows)) for f in range(factors)], axis=1)
+            raw = theta["w0"][0] + np.bincount(doc, theta["w"][idx] * speed[idx], len(rows)) + 0.5 * ((sums**2).sum(1) - np.bincount(doc, (v**2).sum(1), len(rows)))
+            g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[rows]) * np.where(y[rows] > 0, positive_weight, 1) / len(rows)
+            gv = g[doc, None] * (sums[doc] - v)
+            grad = {"w0": np.array([g.sum()]), "w": np.bincount(idx, g[doc], terms) * speed, "v": np.stack([np.bincount(idx, gv[:, f], terms) for f in range(factors)], axis=1) * speed[:, None]}
             step += 1
             for k, x in theta.items():
-                d = grad[k] + (l2 * x if k != "w0" else 0)
-                m[k] = 0.9 * m[k] + 0.1 * d
-                s[k] = 0.999 * s[k] + 0.001 * d * d
-                x -= 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-    return float(theta["w0"][0]), theta["w"], theta["v"]
+                d = (grad[k] + (l2 * x if k != "w0" else 0)).astype(np.float32)
+                m[k] += np.float32(0.1) * (d - m[k])
+                s[k] += np.float32(0.001) * (d * d - s[k])
+                x -= np.float32(rate / (1 - 0.9**step)) * m[k] / (np.sqrt(s[k] / np.float32(1 - 0.999**step)) + np.float32(1e-8))
+    return float(theta["w0"][0]), theta["w"] * speed, theta["v"] * speed[:, None]
 
 
-def score(model: FactorizationMachine, rows: np.ndarray) -> float:
-    v = model.v[rows]
-    raw = model.w0 + model.w[rows].sum() + 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
+def score(model: FactorizationMachine, terms: np.ndarray) -> float:
+    v = model.v[terms].astype(np.float64)
+    raw = model.w0 + model.w[terms].sum(dtype=np.float64) + 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
     return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, *, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from 0.5), from whole texts; null and empty texts have the model's base score.
+    """docs with score (0 to 1) and predicted (1 from 0.5), from whole texts, however long; null and empty texts have the base score.
 
-    Columns of docs of these two names are replaced; all others stay.
+    Columns of docs of these two names are replaced; all others stay, and each row, repeated or not, gets its own result. An empty
+    table gives an empty one.
     """
     small_batches(docs.sparkSession)
     rows = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    dimension = len(model.row_of)
+    dimension = len(model.w)
     schema = schema_and(rows, score="double", predicted="int")
 
     def predict(batches):
         import pyarrow as pa
 
         cache: dict = {}
-        fm = shared.value
         for b in batches:
-            found = []
-            for t in each_text(b, text_col):
-                r = fm.row_of[buckets(t, dimension, cache)]
-                found.append(score(fm, r[r >= 0]))
+            found = [score(shared.value, buckets(t, dimension, cache)) for t in each_text(b, text_col)]
             yield b.append_column("score", pa.array(found, pa.float64())).append_column("predicted", pa.array([int(x >= 0.5) for x in found], pa.int32()))
+        cache.clear()
+        release_memory()
 
     return rows.mapInArrow(predict, schema)
