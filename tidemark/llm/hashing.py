@@ -14,8 +14,9 @@ def words_of(text: str | None, lower: bool) -> list[bytes]:
     return (data.lower() if lower else data).split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
+    own = xxhash.xxh3_64_intdigest
+    return np.fromiter((own(w, seed) for w in words) if seed else map(own, words), np.uint64, len(words))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -8,8 +8,9 @@ k = 2: two similar sets share a rare token of their prefixes or two frequent one
 
 Similar sets also have sizes within the threshold of each other, so a key links its documents in a chain by size, where neighbours are
 close enough, not in pairs. Keys are reduced in each task before they are shuffled: of the documents of a key whose sizes are of one
-narrow class, the first and the last leave the task, however many there are. The connected groups of these candidates are verified with exact set sizes: whole groups in one
-task where they are small, and by pairs of blocks where they are large, so that no task holds an unbounded group.
+narrow class, the first and the last leave the task, however many there are. The connected groups of these candidates are verified on their
+words, with exact set sizes: whole groups in one task where they are small, and by pairs of blocks where they are large, so that no task
+holds an unbounded group. Blocks follow the order of set sizes, and pairs of blocks whose sizes are too far apart are left out.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, partitions, small_batches
+from tidemark.llm.common import cut, partitions, release_memory, small_batches, text_bytes
 from tidemark.llm.components import connected_components
 from tidemark.llm.hashing import mix, window_hashes, word_hashes, words_of
 
 BASE = 0x9E3779B97F4A7C15
-#: At least so many buckets for counts and keys; more with more shuffle partitions.
-BUCKETS = 64
+#: Bytes of text for each bucket of counts and keys, so that a task's bucket stays as large with any number of documents.
+BUCKET_BYTES = 16 << 20
 #: Entries that a task gathers before it reduces and emits them.
 FLUSH = 1 << 20
 
@@ -42,8 +43,34 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(window_hashes(h, min(width, len(h)), BASE))
 
 
-def digest(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+def digest(*tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(b"".join(t.tobytes() for t in tokens), digest_size=16).digest()
+
+
+def two_digests(text: str | None, width: int) -> tuple[int, bytes | None, bytes | None]:
+    """The set's size, the digest of its hashes, and one that a second hash of each shingle's words goes into: equal for equal sets only."""
+    words = words_of(text, lower=True)
+    if not words:
+        return 0, None, None
+    width = min(width, len(words))
+    tokens, at = np.unique(window_hashes(word_hashes(words), width, BASE), return_index=True)
+    second = window_hashes(word_hashes(words, seed=1), width, BASE)[at]
+    return len(tokens), digest(tokens), digest(tokens, second)
+
+
+def exact_sets(docs: list[np.ndarray], width: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of documents given as word numbers, as numbers that are equal for equal words only."""
+    lengths = np.array([len(d) for d in docs])
+    words = np.concatenate(docs)
+    several = int(words.max()) + 1
+    code = words
+    for j in range(1, width):
+        # Numbers stay below the count of words, so that a product with the next word fits 64 bits.
+        code = np.unique(code[: len(words) - j], return_inverse=True)[1] * several + words[j:] if len(words) > j else code[:0]
+    most = int(code.max()) + 1 if len(code) else 0
+    short: dict[tuple, int] = {}
+    starts = np.cumsum(lengths) - lengths
+    return [np.unique(code[s : s + n - width + 1]) if n >= width else np.array([most + short.setdefault(tuple(d.tolist()), len(short))]) for d, s, n in zip(docs, starts.tolist(), lengths.tolist())]
 
 
 def least_common(n: int, percent: int) -> int:
@@ -99,11 +126,10 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel(), dtype=kind)
 
 
-def frequent_tokens(docs: DataFrame, width: int, hot: dict, least: int, most: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def frequent_tokens(docs: DataFrame, width: int, buckets: int, hot: dict, least: int, most: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """32-bit token hashes, ascending, and in how many documents each stands: the ``most`` most frequent ones of at least ``least``;
     and a bitmap of 2 ** bits, by the tokens' first bits, of those in more than one document."""
     spark = docs.sparkSession
-    buckets = max(BUCKETS, partitions(spark))
     shared = spark.sparkContext.broadcast(hot)
     shift = 32 - bits + 3  # a token's byte in the bitmap
     starts = np.arange(buckets + 1) * (1 << 32) // buckets
@@ -127,6 +153,8 @@ def frequent_tokens(docs: DataFrame, width: int, hot: dict, least: int, most: in
                     held, n = [], 0
         if n:
             yield flush()
+        held = []
+        release_memory()
 
     def count(b: pd.DataFrame) -> pd.DataFrame:
         v, n = np.unique(np.concatenate([unpacked(x, np.uint32) for x in b["tokens"]]), return_counts=True)
@@ -177,10 +205,9 @@ def prefix_keys(s: np.ndarray, df: np.ndarray, percent: int, frequent: int) -> n
         return np.concatenate([rare, mix(low * np.uint64(BASE) + high)])
 
 
-def candidate_edges(docs: DataFrame, width: int, percent: int, hot: dict, table: tuple, frequent: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, width: int, buckets: int, percent: int, hot: dict, table: tuple, frequent: int) -> DataFrame:
     """u, v: a chain for each key that several documents have."""
     spark = docs.sparkSession
-    buckets = max(BUCKETS, partitions(spark))
     shared = spark.sparkContext.broadcast((hot, *table))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,6 +242,8 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, hot: dict, table:
                     keys, ids, sizes, n = [], [], [], 0
         if n:
             yield flush()
+        keys = []
+        release_memory()
 
     def link(b: pd.DataFrame) -> pd.DataFrame:
         own, rest = b[b["kind"] == 1], b[b["kind"] == 0]
@@ -222,6 +251,7 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, hot: dict, table:
         u = np.concatenate([u, np.frombuffer(b"".join(rest["a"]), np.int64)])
         v = np.concatenate([v, np.frombuffer(b"".join(rest["b"]), np.int64)])
         u, v = forest(u, v) if len(u) else (u, v)
+        release_memory()
         return pd.DataFrame({"u": u, "v": v})
 
     return docs.mapInPandas(gather, "bucket int, kind int, a binary, b binary, c binary").groupBy("bucket").applyInPandas(link, "u long, v long").distinct()
@@ -262,28 +292,40 @@ def verified_edges(docs: DataFrame, groups: DataFrame, width: int, percent: int,
     spark = docs.sparkSession
     sizes = groups.groupBy("component").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
     sizes = sizes.filter("docs > 1").withColumn("blocks", F.greatest(F.ceil(F.col("tokens") / block_tokens), F.ceil(F.col("docs") / block_docs)).cast("int"))
-    groups = groups.join(sizes.select("component", "blocks"), "component")
-    groups = groups.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # A document meets every block: its row goes to each pair that its block is part of.
-    groups = groups.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = cut(groups.select("doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    small, large = sizes.filter("blocks = 1"), cut(sizes.filter("blocks > 1").select("component", "blocks"))
+    pair = ["doc_id", "component", "block", "i", "j"]
+    made = groups.join(small.select("component"), "component").select("doc_id", "component", F.lit(0).alias("block"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    if not large.isEmpty():
+        # Large groups: bands of set sizes, and in each as many blocks as its documents take, dealt by a hash.
+        own = groups.join(large, "component")
+        edges = own.groupBy("component").agg(F.percentile_approx("n", F.array(*(F.lit(k / 64) for k in range(1, 64))), 1_000).alias("cuts"))
+        own = own.join(edges, "component").withColumn("band", F.size(F.filter("cuts", lambda c: c < F.col("n"))))
+        bands = own.groupBy("component", "band").agg(F.greatest(F.ceil(F.sum("n") / block_tokens), F.ceil(F.count("*") / block_docs)).alias("parts"))
+        own = own.join(bands, ["component", "band"]).withColumn("block", (F.col("band") * (1 << 24) + F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int"))
+        spans = cut(own.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+        x, y = spans.alias("x"), spans.alias("y")
+        near = (F.col("x.component") == F.col("y.component")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
+        meet = x.join(y, near).select(F.col("x.component").alias("component"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+        meet = meet.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+        made = made.unionByName(own.select("doc_id", "component", "block").join(meet, ["component", "block"]).select(*pair))
+    groups = cut(made)
     rows = docs.join(F.broadcast(groups) if groups.count() <= broadcast_rows else groups, "doc_id")
-    rows = rows.repartition(max(BUCKETS, partitions(spark)), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    rows = rows.repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
+        key, held, numbers = None, [], {}
 
         def links():
-            own = [(d, s) for d, b, s in held if b == key[1]]
-            if key[1] == key[2]:
-                i, j = similar_pairs([s for _, s in own], None, percent) if len(own) > 1 else ((), ())
-                ids = np.array([d for d, _ in own], np.int64)
-                return ids[list(i)], ids[list(j)]
-            other = [(d, s) for d, b, s in held if b == key[2]]
-            if not own or not other:
+            first, second = [x for x in held if x[1] == key[1]], [x for x in held if x[1] == key[2]]
+            if not first or not second or len(held) < 2:
                 return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            i, j = similar_pairs([s for _, s in own], [s for _, s in other], percent)
-            return np.array([d for d, _ in own], np.int64)[i], np.array([d for d, _ in other], np.int64)[j]
+            a, b = (np.array([d for d, *_ in x], np.int64) for x in (first, second))
+            if key[1] == key[2]:
+                i, j = similar_pairs(exact_sets([w for *_, w in first], width), None, percent)
+                return a[i], a[j]
+            sets = exact_sets([w for *_, w in [*first, *second]], width)
+            i, j = similar_pairs(sets[: len(first)], sets[len(first) :], percent)
+            return a[i], b[j]
 
         def found():
             u, v = links()
@@ -296,12 +338,16 @@ def verified_edges(docs: DataFrame, groups: DataFrame, width: int, percent: int,
                 if (c, i, j) != key:
                     if held:
                         out.append(found())
-                    key, held = (c, i, j), []
-                held.append((d, block, shingle_set(text, width)))
+                    key, held, numbers = (c, i, j), [], {}
+                words = words_of(text, lower=True)
+                if words:
+                    held.append((d, block, np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)))
             if out:
                 yield pd.concat(out)
         if held:
             yield found()
+        held, numbers = [], {}
+        release_memory()
 
     return rows.select("doc_id", "text", "component", "block", "i", "j").mapInPandas(verify, "u long, v long")
 
@@ -325,27 +371,39 @@ def jaccard_components(
 
     Ids are whole numbers. Texts without words, null ones among them, have no shingles and link with nothing; texts with fewer than
     ``width`` words are one shingle. Rows with a null id link with nothing and have a null component. Equal sets link. Rows that share
-    an id are one document for links. Shingles are compared as 64-bit hashes. ``table_tokens``, ``bitmap_bits`` and ``hot_groups`` bound what executors
-    get: they decide how keys are ordered, never what links. Further columns are ignored; an empty table gives no rows.
+    an id are one document for links, also where their texts differ. Candidates are found by 64-bit hashes and compared by their words;
+    sets count as equal where two 64-bit hashes of each shingle are. ``table_tokens``, ``bitmap_bits`` and ``hot_groups`` bound what
+    executors get: they decide how keys are ordered, never what links. Further columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
+    buckets = max(4, -(-text_bytes(d) // BUCKET_BYTES))
+
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingle_set(t, width) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "digest": [digest(s) if len(s) else None for s in sets]})
+            made = [two_digests(t, width) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": [x[0] for x in made], "hashes": [x[1] for x in made], "digest": [x[2] for x in made]})
+        release_memory()
 
-    found = cut(d.mapInPandas(profile, "doc_id long, n long, digest binary"))
+    found = cut(d.mapInPandas(profile, "doc_id long, n long, hashes binary, digest binary"))
     linked = d.filter(F.col("doc_id").isNotNull())
-    copies = found.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"))
-    # The largest groups of copies are known to every task, which passes over all but one of their texts.
-    hot = {bytes(r["digest"]): r["rep"] for r in copies.filter("copies >= 8").orderBy(F.desc("copies"), "rep").limit(hot_groups).collect()}
-    table = frequent_tokens(linked, width, hot, 4, table_tokens, bitmap_bits)
-    candidates = connected_components(candidate_edges(linked, width, percent, hot, table, frequent))
+    whole = found.filter("digest is not null and doc_id is not null")
+    copies = whole.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("hashes").alias("hashes"))
+    # The largest groups of copies are known to every task, which passes over all but one of their texts. Sets whose hashes are equal but
+    # for chance are no such group.
+    alone = copies.groupBy("hashes").agg(F.min("rep").alias("rep"), F.sum("copies").alias("copies"), F.count("*").alias("sets")).filter("copies >= 8 and sets = 1")
+    hot = {bytes(r["hashes"]): r["rep"] for r in alone.orderBy(F.desc("copies"), "rep").limit(hot_groups).collect()}
+    table = frequent_tokens(linked, width, buckets, hot, 4, table_tokens, bitmap_bits)
+    candidates = connected_components(candidate_edges(linked, width, buckets, percent, hot, table, frequent))
     # Of equal sets, only the smallest id is compared.
-    groups = cut(candidates.join(copies.select(F.col("rep").alias("id"), "n"), "id").select(F.col("id").alias("doc_id"), "component", "n"))
+    groups = cut(candidates.join(copies.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n")), "id").select(F.col("id").alias("doc_id"), "component", "n"))
     edges = verified_edges(linked, groups, width, percent, block_tokens, block_docs, broadcast_rows)
+    # Different texts of one id join the groups that they are part of.
+    repeated = whole.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("doc_id")
+    if not repeated.isEmpty():
+        same = whole.join(repeated, "doc_id").join(copies.select("digest", "rep"), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+        edges = edges.unionByName(same)
     parts = connected_components(edges)
     reps = copies.join(parts, copies["rep"] == parts["id"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = found.join(reps, "digest", "left")
