@@ -18,12 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions, small_batches
+from tidemark.llm.common import release_memory, small_batches, text_bytes
 from tidemark.llm.hashing import window_hashes, word_hashes, words_of
 
 #: Two polynomials: the first gives 64 bits, the second chooses the block, which adds its own bits.
 BASE, BLOCK_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-BLOCKS = 64
+#: Bytes of text for each block and part, so that a task's group stays as large with any number of documents.
+BLOCK_BYTES = 8 << 20
 #: Windows that a task gathers before it reduces and emits them: about 50 MB.
 FLUSH = 1 << 19
 
@@ -114,6 +115,8 @@ def copied_starts(docs: DataFrame, width: int, blocks: int, parts: int) -> DataF
                     held, n = [], 0
         if n:
             yield flush()
+        held = []
+        release_memory()
 
     def look_up(b: pd.DataFrame) -> pd.DataFrame:
         new, known = b[b["part"] < 0], b[b["part"] >= 0]
@@ -133,6 +136,7 @@ def copied_starts(docs: DataFrame, width: int, blocks: int, parts: int) -> DataF
             copy = np.zeros(len(h), bool)
             copy[1:] = h[1:] == h[:-1]
             rows = by_part(doc[copy], start[copy])
+        release_memory()
         return pd.concat([pd.DataFrame(rows, columns=["part", "docs", "counts", "gaps"]), known[["part", "docs", "counts", "gaps"]]])
 
     rows = docs.mapInPandas(gather, "block int, part int, hashes binary, docs binary, counts binary, gaps binary")
@@ -157,7 +161,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     small_batches(spark)
-    blocks = parts = max(BLOCKS, partitions(spark))
+    blocks = parts = max(4, -(-text_bytes(docs, text_col) // BLOCK_BYTES))
     own = [f"_c{k}" for k in range(len(carry))]
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for c, k in zip(carry, own)))
     carried = "".join(f", {k} {d.schema[k].dataType.simpleString()}" for k in own)
@@ -189,6 +193,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             data = b" ".join(kept)
             rows.append((i, len(words), len(words) - len(kept), [{"start": x, "end": y} for x, y in spans], data.decode("utf-8", "surrogatepass"), hashlib.sha256(data).hexdigest()))
         found = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "spans", "kept", "kept_sha256"]).astype({"doc_id": "Int64"})
+        release_memory()
         return found.assign(**{k: texts[k].to_numpy() for k in own})
 
     out = texts.groupBy("part").cogroup(copies.groupBy("part")).applyInPandas(put_together, schema)
