@@ -77,10 +77,56 @@ def test_languages_of_odd_texts(documents, odd, nothing):
     assert {r["lang_pred"] for r in language_id.identify_language(odd, empty).collect()} == {"und"}
 
 
+def test_letters_are_those_of_unicode(spark):
+    rows = [(1, "½ ² Ⅷ ① 12_3"), (2, "cafe\u0301 cafe\u0301"), (3, "\u0301 7"), (3, "der Garten"), (3, "der Garten")]
+    model = language_id.fit_language_model(spark.createDataFrame([(1, "cafe\u0301", "fr"), (2, "der Garten", "de"), (2, "der Garten", "de")], "doc_id long, text string, lang string"))
+    got = sorted((r["doc_id"], r["lang_pred"]) for r in language_id.identify_language(spark.createDataFrame(rows, "doc_id long, text string"), model).collect())
+    assert got == [(1, "und"), (2, "fr"), (3, "de"), (3, "de"), (3, "und")]
+    assert language_id.WORDS.findall("cafe\u0301 x") == ["cafe\u0301", "x"]
+
+
+def by_tables(rows, text, max_n=4):
+    """Log likelihoods by language, word by word and position by position."""
+    words, grams = {}, {}
+    for _, t, lang in rows:
+        for w in language_id.WORDS.findall(t.lower()):
+            words.setdefault(w, {}).setdefault(lang, 0)
+            words[w][lang] += 1
+            g = f"<{w}>"
+            for m in range(1, max_n + 1):
+                for i in range(len(g) - m + 1):
+                    grams.setdefault(g[i : i + m], {}).setdefault(lang, 0)
+                    grams[g[i : i + m]][lang] += 1
+    langs = sorted({lang for *_, lang in rows})
+
+    def log(table, key, lang):
+        return np.log((table[key].get(lang, 0) + 0.5) / (sum(x.get(lang, 0) for x in table.values()) + 0.5 * len(table)))
+
+    out = dict.fromkeys(langs, 0.0)
+    found = language_id.WORDS.findall(text.lower())
+    for w in found:
+        g = f"<{w}>"
+        longest = [next((g[i : i + m] for m in range(min(max_n, len(g) - i), 0, -1) if g[i : i + m] in grams), None) for i in range(len(g))]
+        longest = [x for x in longest if x]
+        for lang in langs:
+            out[lang] += log(words, w, lang) if w in words else np.mean([log(grams, x, lang) for x in longest]) if longest else 0.0
+    p = np.array([out[x] for x in langs]) / len(found) * min(len(found), 12)
+    p = np.exp(p - p.max())
+    return langs[int(p.argmax())], float(p.max() / p.sum())
+
+
+def test_languages_by_brute_force(spark):
+    rows = [(1, "der die das katze mauer", "de"), (2, "the cat wall garden die", "en"), (3, "le chat mur jardin cat", "fr"), (4, "the the das", "en")]
+    model = language_id.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for text in ("die katzen", "the gardens of walls", "chats murs", "cat", "zzz qqq", "Der Kater, das Dach 12"):
+        want, got = by_tables(rows, text), language_id.scores(model, text)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-5
+
+
 def test_unseen_words_fall_back_to_grams(spark):
     rows = [(i, "der die das katze mauer garten schauen", "de") for i in range(5)] + [(i + 9, "the cat wall garden looking thing", "en") for i in range(5)]
     model = language_id.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert "looked" not in model.words
+    assert (model.words.find(language_id.hashes(["looked", "cat"])) >= 0).tolist() == [False, True]
     assert language_id.scores(model, "thinglooking wallthing")[0] == "en" and language_id.scores(model, "gartenmauer katzenschauen")[0] == "de"
 
 
@@ -93,10 +139,22 @@ def test_toxicity_finds_pairs_that_single_terms_miss(spark):
         rows.append((i, " ".join(words), int(a and b)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.fit_factorization_machine(df)
-    by = {t: toxicity.score(model, (r := model.row_of[toxicity.buckets(t, len(model.row_of), {})])[r >= 0]) for t in ("insult", "group", "insult group", "w1")}
+    by = {t: toxicity.score(model, toxicity.buckets(t, len(model.w), {})) for t in ("insult", "group", "insult group", "w1")}
     assert by["insult group"] > 0.5 > max(by["insult"], by["group"], by["w1"])
 
 
+def test_toxicity_finds_pairs_whose_terms_have_no_effect_alone(spark):
+    """One of two words is toxic, both or none are not: neither word's share differs between the classes."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(3000):
+        a, b = rng.random(2) < 0.5
+        rows.append((i, " ".join([f"w{k}" for k in rng.integers(0, 50, 6)] + ["insult"] * int(a) + ["group"] * int(b)), int(a != b)))
+    train = spark.createDataFrame(rows[:2400] * 2, "doc_id long, text string, toxic int")
+    got = toxicity.score_toxicity(spark.createDataFrame(rows[2400:], "doc_id long, text string, toxic int"), toxicity.fit_factorization_machine(train, positive_weight=1.0))
+    assert got.filter("predicted = toxic").count() >= 0.95 * 600
+
+
 def test_toxicity_of_odd_texts(spark, odd, nothing):
     labelled = spark.createDataFrame([(1, "fine words", 0), (2, None, 1), (3, "other", None)], "doc_id long, text string, toxic int")
     for train in (labelled, labelled.filter("toxic = 0"), labelled.filter("false")):
@@ -157,6 +215,23 @@ def test_similar_documents_with_frequent_tokens_and_small_blocks(spark, options)
     check_similar(spark.createDataFrame(rows, "doc_id long, text string"), rows, **options)
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    """B links with 1 and C with 3; both stand under id 5, so that all are one group, and so do the ids that it brings together."""
+    b, c = " ".join(f"b{i}" for i in range(30)), " ".join(f"c{i}" for i in range(30))
+    rows = [(1, b), (3, c), (5, b), (5, c), (7, c + " tail"), (8, "alone " * 9), (8, None)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (3, 1), (5, 1), (5, 1), (7, 1), (8, 8), (8, 8)]
+
+
+def test_shingles_are_compared_by_their_words():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 4, n) for n in (1, 2, 2, 4, 5, 9, 30, 30)] + [np.array([0, 1, 2, 3])]
+    got = jaccard_join.exact_sets(docs, 5)
+    want = [{tuple(d[i : i + 5]) for i in range(max(1, len(d) - 4))} for d in docs]
+    assert [len(s) for s in got] == [len(s) for s in want]
+    assert all(len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j]) for i in range(len(docs)) for j in range(len(docs)))
+
+
 def removed(texts, width=20):
     """id: (words, removed, hash of what stays), window by window."""
     seen, out = set(), {}
@@ -310,5 +385,26 @@ def test_packing(spark, shard_rows):
     assert packing.pack_documents(df.filter("false"), sizes=SIZES).count() == 0
 
 
+def test_rows_of_one_id_are_dealt_to_all_shards(spark):
+    df = spark.range(4000).selectExpr("5L as doc_id", "100L as n_tokens")
+    got = packing.pack_documents(df, shard_rows=500).selectExpr("split(bin, '-')[0] as shard").groupBy("shard").count().collect()
+    assert len(got) == 8 and max(r["count"] for r in got) < 1000
+
+
+def test_packed_sequences_hold_the_documents(spark):
+    rng = np.random.default_rng(4)
+    docs = {i: [int(x) for x in rng.integers(1, 1000, n)] for i, n in enumerate(rng.integers(1, 400, 60))} | {100: list(range(1, 1301))}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, ids array<int>")
+    packed = packing.pack_documents(df.select("doc_id", F.size("ids").alias("n_tokens")), sizes=SIZES, shard_rows=30)
+    found = {}
+    for r in packing.packed_sequences(df, packed).collect():
+        assert len(r["ids"]) == r["bin_size"] and r["starts"] == sorted(r["starts"])
+        for k, (at, doc) in enumerate(zip(r["starts"], r["documents"])):
+            end = r["starts"][k + 1] if k + 1 < len(r["starts"]) else r["bin_size"]
+            found.setdefault(doc, []).append([x for x in r["ids"][at:end] if x])
+    pieces = {doc: sorted(own[i : i + 512] for i in range(0, len(own), 512)) for doc, own in docs.items()}
+    assert {doc: sorted(own) for doc, own in found.items()} == pieces
+
+
 def test_words_of_long_texts_are_all_there():
     assert len(LONG.split()) == 24_000

@@ -53,20 +53,21 @@ def contaminated(
     estimate: float = 0.25,
     broadcast_items: int = 50_000,
     broadcast_pairs: int = 500_000,
+    broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """One row for each document and item of which it contains at least ``containment``: id, item id, n_item, n_shared, containment.
 
     Items of fewer than ``width`` words are one shingle of all their words; those without words, null ones among them, are in no
     document. Null texts contain nothing. Rows with a null id are left out; rows that share an id count as one document or item.
-    Items with equal texts are searched once and each reported. Item tables of up to broadcast_items rows are broadcast, larger ones
-    joined by shuffles. Further columns are ignored; without documents or items there are no rows.
+    Items with equal texts are searched once and each reported. Signatures of up to broadcast_items items are broadcast, and all items'
+    shingles up to broadcast_bytes of text; larger ones are joined by shuffles. Texts of any length are searched whole. Further columns are ignored; without documents or items there are no rows.
     """
     own = items.select(F.col(item_col).alias("item"), words(F.col(item_text_col)).alias("w")).filter(F.col("item").isNotNull() & (F.size("w") > 0))
     own = own.withColumn("width", F.least(F.lit(width), F.size("w")))
     own = own.withColumn("shingles", F.array_distinct(by_width(F.col("w"), F.col("width"), width, text_of)))
     own = own.withColumn("hashes", F.array_distinct(by_width(F.col("w"), F.col("width"), width, lambda ws: F.xxhash64(*ws))))
     own = cut(own.select("item", "width", "shingles", "hashes", F.size("shingles").alias("n_item")))
-    n_items = own.count()
+    n_items, bytes_of = own.agg(F.count("*"), F.sum(F.octet_length(F.array_join("shingles", " ")))).first()
     widths = sorted(r["width"] for r in own.select("width").distinct().collect())  # 1 to width at most
     few = n_items <= broadcast_items
     # Searched texts: items with the same shingles stand for one another.
@@ -93,7 +94,7 @@ def contaminated(
     texts = texts.select("doc", "sets", (F.array_distinct(F.concat(*of_width)) if widths else F.array().cast("array<string>")).alias("has"))
     texts = texts.select("doc", "has", F.explode("sets").alias("set"))
     named = own.withColumn("set", F.xxhash64(F.array_sort("hashes"))).select("set", "item", "n_item", "shingles")
-    shared = texts.join(F.broadcast(named) if few else named, "set").select("doc", "item", "n_item", F.explode(F.array_intersect("shingles", "has")).alias("shingle"))
+    shared = texts.join(F.broadcast(named) if (bytes_of or 0) <= broadcast_bytes else named, "set").select("doc", "item", "n_item", F.explode(F.array_intersect("shingles", "has")).alias("shingle"))
     out = shared.groupBy("doc", "item", "n_item").agg(F.count_distinct("shingle").alias("n_shared"))
     out = out.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= containment)
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("n_item").cast("long").alias("n_item"), "n_shared", "containment")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import cut, release_memory
+
 
 def pack(lengths: np.ndarray, sizes: list[int], overhead: float = 16.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin of each piece, its offset in the bin, and each bin's final size."""
@@ -76,24 +78,41 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", length_col: str =
     """One row for each piece: id, piece (from 0), start (in the document), length, bin, bin_size, offset (in the bin).
 
     ``bin`` is text, ``shard-number``. Documents of null, zero or negative length take no room and give no rows. Pieces of one
-    document needn't share a bin. Repeated rows are packed one by one; an id may be null. Pieces are dealt to shards of about
-    shard_rows by a hash of id, piece and the row, so a task holds only its shard, whatever the keys' sizes are.
+    document needn't share a bin. Repeated rows are packed one by one; an id may be null; an empty table gives an empty result. Ids and
+    lengths are written once, and their pieces dealt to shards of about shard_rows by a hash of the row's number there, so that a task
+    holds only its shard, however many rows share an id.
     """
     if not sizes or min(sizes) < 1:
         raise ValueError("sizes must be positive")
     top, sizes = max(sizes), sorted(set(sizes))
     d = docs.select(F.col(id_col).alias("_id"), F.col(length_col).cast("long").alias("_n")).filter("_n > 0")
-    pieces = d.select("_id", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / top) - 1)).alias("piece"))
-    pieces = pieces.select("_id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top).cast("long"), F.col("_n") - F.col("piece") * top).alias("length"))
-    shards = max(1, -(-(docs.count()) // shard_rows))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("_id", "piece", "length"), F.lit(shards)).cast("int"))
+    d = cut(d)
+    pieces = d.withColumn("_row", F.monotonically_increasing_id()).select("_row", "_id", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / top) - 1)).alias("piece"))
+    pieces = pieces.select("_row", "_id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top).cast("long"), F.col("_n") - F.col("piece") * top).alias("length"))
+    shards = max(1, -(-pieces.count() // shard_rows))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("_row", "piece"), F.lit(shards)).cast("int")).drop("_row")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["_id", "piece"], kind="stable").reset_index(drop=True)
         bins, offsets, held = pack(frame["length"].to_numpy(), sizes, overhead)
         shard = frame["shard"].iat[0]
+        release_memory()
         return pd.DataFrame({"_id": frame["_id"], "piece": frame["piece"], "start": frame["start"], "length": frame["length"], "bin": [f"{shard}-{b}" for b in bins], "bin_size": held[bins], "offset": offsets})
 
     kind = d.schema["_id"].dataType.simpleString()
     packed = pieces.groupBy("shard").applyInPandas(run, f"_id {kind}, piece long, start long, length long, bin string, bin_size long, offset long")
     return packed.withColumnRenamed("_id", id_col)
+
+
+def packed_sequences(docs: DataFrame, packed: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", pad_id: int = 0) -> DataFrame:
+    """One row for each bin: bin, bin_size, ids (token ids, padded to bin_size), starts (offset of each document in it), documents (their ids).
+
+    docs: distinct, non-null ids with their token ids; packed: pack_documents() of the same documents' lengths. A bin holds one sequence of
+    at most the largest permitted length, so no group grows with the data.
+    """
+    own = docs.select(F.col(id_col).alias("_doc"), F.col(ids_col).alias("_ids"))
+    cut_out = packed.join(own, F.col(id_col) == F.col("_doc")).select("bin", "bin_size", "offset", "_doc", F.slice("_ids", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("_part"))
+    rows = cut_out.groupBy("bin", "bin_size").agg(F.array_sort(F.collect_list(F.struct("offset", "_doc", "_part"))).alias("_p"))
+    ids = F.flatten(F.transform("_p", lambda x: x["_part"]))
+    padded = F.concat(ids, F.array_repeat(F.lit(pad_id).cast(docs.schema[ids_col].dataType.elementType), (F.col("bin_size") - F.size(ids)).cast("int")))
+    return rows.select("bin", "bin_size", padded.alias("ids"), F.transform("_p", lambda x: x["offset"]).alias("starts"), F.transform("_p", lambda x: x["_doc"]).alias("documents"))
