@@ -118,29 +118,42 @@ def copied_starts(docs: DataFrame, width: int, blocks: int, parts: int) -> DataF
         held = []
         release_memory()
 
-    def look_up(b: pd.DataFrame) -> pd.DataFrame:
-        new, known = b[b["part"] < 0], b[b["part"] >= 0]
-        rows = []
-        if len(new):
-            h = np.concatenate([np.frombuffer(x, np.uint64) for x in new["hashes"]])
-            places = [unpack_places(*x) for x in zip(new["docs"], new["counts"], new["gaps"])]
-            order = np.argsort(h, kind="stable")
-            same = h[order][1:] == h[order][:-1]
-            several = np.zeros(len(h), bool)
-            several[1:] |= same
-            several[:-1] |= same
-            order = order[several]
-            h, doc, start = h[order], np.concatenate([p[0] for p in places])[order], np.concatenate([p[1] for p in places])[order]
-            order = np.lexsort((start, doc, h))
-            h, doc, start = h[order], doc[order], start[order]
-            copy = np.zeros(len(h), bool)
-            copy[1:] = h[1:] == h[:-1]
-            rows = by_part(doc[copy], start[copy])
+    def look_up(new: list[tuple]) -> list[dict]:
+        """Of a block's windows, the places of all but the first of each sequence."""
+        h = np.concatenate([np.frombuffer(x[0], np.uint64) for x in new])
+        places = [unpack_places(*x[1:]) for x in new]
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        several = np.zeros(len(h), bool)
+        several[1:] |= same
+        several[:-1] |= same
+        order = order[several]
+        h, doc, start = h[order], np.concatenate([p[0] for p in places])[order], np.concatenate([p[1] for p in places])[order]
+        order = np.lexsort((start, doc, h))
+        h, doc, start = h[order], doc[order], start[order]
+        copy = np.zeros(len(h), bool)
+        copy[1:] = h[1:] == h[:-1]
+        return by_part(doc[copy], start[copy])
+
+    def each_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, block, new = ["part", "docs", "counts", "gaps"], None, []
+        for b in batches:
+            known = b["part"] >= 0
+            rows = []
+            for k, *x in zip(b["block"][~known], *(b[c][~known] for c in ("hashes", *columns[1:]))):
+                if k != block:
+                    rows += look_up(new) if new else []
+                    block, new = k, []
+                new.append(x)
+            yield pd.concat([pd.DataFrame(rows, columns=columns), b.loc[known, columns]])
+        if new:
+            yield pd.DataFrame(look_up(new), columns=columns)
+        new = []
         release_memory()
-        return pd.concat([pd.DataFrame(rows, columns=["part", "docs", "counts", "gaps"]), known[["part", "docs", "counts", "gaps"]]])
 
+    # One block at a time is held, read in the order of blocks; what is known to be a copy passes through.
     rows = docs.mapInPandas(gather, "block int, part int, hashes binary, docs binary, counts binary, gaps binary")
-    return rows.groupBy("block").applyInPandas(look_up, "part int, docs binary, counts binary, gaps binary")
+    return rows.repartition("block").sortWithinPartitions("block").mapInPandas(each_block, "part int, docs binary, counts binary, gaps binary")
 
 
 def factors(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -174,27 +187,38 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = d.mapInPandas(part_of, f"doc_id long, text string{carried}, part int")
     schema = f"doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string, kept_sha256 string{carried}"
 
-    def put_together(texts: pd.DataFrame, copies: pd.DataFrame) -> pd.DataFrame:
-        found = [unpack_places(*x) for x in zip(copies["docs"], copies["counts"], copies["gaps"])]
-        doc = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-        start = np.concatenate([f[1] for f in found]) if found else doc
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        rows = []
-        for i, text in zip(texts["doc_id"], texts["text"]):
-            words = words_of(text, lower=False)
-            a, b = np.searchsorted(doc, (i, i + 1)) if not pd.isna(i) else (0, 0)
-            spans = factors(start[a:b], width)
-            kept, at = [], 0
-            for x, y in spans:
-                kept += words[at:x]
-                at = y
-            kept += words[at:]
-            data = b" ".join(kept)
-            rows.append((i, len(words), len(words) - len(kept), [{"start": x, "end": y} for x, y in spans], data.decode("utf-8", "surrogatepass"), hashlib.sha256(data).hexdigest()))
-        found = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "spans", "kept", "kept_sha256"]).astype({"doc_id": "Int64"})
+    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A part's copies come first, then its texts, of which only a batch is held."""
+        part, found, doc, start = None, [], None, None
+        for b in batches:
+            rows, at = [], []
+            for n, (p, i, text, *places) in enumerate(zip(b["part"], b["doc_id"], b["text"], b["docs"], b["counts"], b["gaps"])):
+                if p != part:
+                    part, found, doc = p, [], None
+                if places[0] is not None:
+                    found.append(unpack_places(*places))
+                    continue
+                if doc is None:
+                    doc = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+                    start = np.concatenate([f[1] for f in found]) if found else doc
+                    order = np.lexsort((start, doc))
+                    doc, start, found = doc[order], start[order], []
+                words = words_of(text, lower=False)
+                x, y = np.searchsorted(doc, (i, i + 1)) if not pd.isna(i) else (0, 0)
+                spans = factors(start[x:y], width)
+                kept, done = [], 0
+                for first, last in spans:
+                    kept += words[done:first]
+                    done = last
+                kept += words[done:]
+                data = b" ".join(kept)
+                at.append(n)
+                rows.append((i, len(words), len(words) - len(kept), [{"start": first, "end": last} for first, last in spans], data.decode("utf-8", "surrogatepass"), hashlib.sha256(data).hexdigest()))
+            made = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "spans", "kept", "kept_sha256"]).astype({"doc_id": "Int64"})
+            yield made.assign(**{k: b[k].to_numpy()[at] for k in own})
+        found, doc, start = [], None, None
         release_memory()
-        return found.assign(**{k: texts[k].to_numpy() for k in own})
 
-    out = texts.groupBy("part").cogroup(copies.groupBy("part")).applyInPandas(put_together, schema)
+    both = texts.unionByName(copies, allowMissingColumns=True)
+    out = both.repartition("part").sortWithinPartitions("part", F.col("docs").isNull()).mapInPandas(put_together, schema)
     return out.select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "spans", "kept", "kept_sha256", *(F.col(k).alias(c) for c, k in zip(carry, own)))
