@@ -6,24 +6,54 @@ log frequency of the longest known n-gram that starts there (n = max_n down to 1
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import regex
-import xxhash
+from xxhash import xxh3_64_intdigest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import each_text, release_memory, schema_and, small_batches
+from tidemark.llm.hashing import mix
 
 #: Letters with the marks that combine with them; a word has a letter.
 WORDS = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
+BASE = np.uint64(0x9E3779B97F4A7C15)
+PLAIN = re.compile("[a-z]+")
 
 
-def hashes(words) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64)
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    return PLAIN.findall(text) if text.isascii() else WORDS.findall(text)
+
+
+def hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxh3_64_intdigest, map(str.encode, words)), np.uint64, len(words))
+
+
+def characters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def gram_hashes(c: np.ndarray, m: int) -> np.ndarray:
+    """A hash of each m-gram of characters along the last axis."""
+    with np.errstate(over="ignore"):
+        h = np.zeros_like(c[..., : c.shape[-1] - m + 1])
+        for j in range(m):
+            h = h * BASE + c[..., j : c.shape[-1] - m + 1 + j] + np.uint64(1)
+        return mix(h)
+
+
+def hashes_of_grams(grams: list[str]) -> np.ndarray:
+    length, out = np.array([len(g) for g in grams]), np.zeros(len(grams), np.uint64)
+    for m in set(length.tolist()):
+        at = np.flatnonzero(length == m)
+        out[at] = gram_hashes(characters("".join([grams[k] for k in at.tolist()])).reshape(len(at), m), m)[:, 0]
+    return out
 
 
 @dataclass
@@ -69,7 +99,7 @@ def word_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             for lang, texts in b.groupby("lang")["text"]:
                 n = Counter()
                 for t in texts:
-                    n.update(WORDS.findall(t.lower()))
+                    n.update(words_of(t))
                 if n:
                     yield pd.DataFrame({"lang": [lang] * len(n), "word": list(n), "n": list(n.values())})
         release_memory()
@@ -78,9 +108,9 @@ def word_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def log_table(counts: DataFrame, key: str, languages: list[str]) -> Table:
+def log_table(counts: DataFrame, key: str, languages: list[str], hashes) -> Table:
     """The table of counts (lang, key, n): as many entries as the sample has, its strings as hashes."""
-    hashed = counts.mapInPandas(lambda batches: (pd.DataFrame({"lang": b["lang"], "h": hashes(b[key]).view(np.int64), "n": b["n"]}) for b in batches), "lang string, h long, n long")
+    hashed = counts.mapInPandas(lambda batches: (pd.DataFrame({"lang": b["lang"], "h": hashes(b[key].tolist()).view(np.int64), "n": b["n"]}) for b in batches), "lang string, h long, n long")
     found = hashed.toArrow()
     column = {x: i for i, x in enumerate(languages)}
     language = np.array([column[x] for x in found.column("lang").to_pylist()], np.int64)
@@ -121,32 +151,29 @@ def fit_language_model(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str
 
     grams = counts.mapInPandas(pieces, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    model = LanguageModel(languages, log_table(counts, "word", languages), log_table(grams, "gram", languages), max_n)
+    model = LanguageModel(languages, log_table(counts, "word", languages, hashes), log_table(grams, "gram", languages, hashes_of_grams), max_n)
     counts.unpersist()
     return model
 
 
 def backoff(model: LanguageModel, words: list[str], weights: list[int]) -> np.ndarray:
     """What unknown words add: for each position the longest known n-gram that starts there, averaged over a word's positions."""
-    grams, word, position = [], [], []
-    for k, w in enumerate(words):
-        w = f"<{w}>"
-        for i in range(len(w)):
-            own = [w[i : i + m] for m in range(min(model.max_n, len(w) - i), 0, -1)]
-            grams += own
-            position += [len(word)] * len(own)
-            word.append(k)
-    rows, position, word = model.grams.find(hashes(grams)), np.array(position), np.array(word)
-    known = np.flatnonzero(rows >= 0)
-    first = known[np.unique(position[known], return_index=True)[1]]  # the longest comes first
-    of = word[position[first]]
-    n = np.bincount(of, minlength=len(words))
-    return model.grams.add(rows[first], (np.array(weights, np.float64) / np.maximum(n, 1))[of])
+    c = characters("".join([f"<{w}>" for w in words]))
+    of = np.cumsum(c == ord("<")) - 1
+    end = np.append(np.flatnonzero(c == ord("<"))[1:], len(c))[of]  # of the word at each position
+    rows = np.full(len(c), -1)
+    for m in range(1, model.max_n + 1):
+        inside = np.flatnonzero(np.arange(len(c)) + m <= end)
+        found = model.grams.find(gram_hashes(c, m)[inside])
+        rows[inside[found >= 0]] = found[found >= 0]
+    first = np.flatnonzero(rows >= 0)
+    n = np.bincount(of[first], minlength=len(words))
+    return model.grams.add(rows[first], (np.asarray(weights, np.float64) / np.maximum(n, 1))[of[first]])
 
 
 def scores(model: LanguageModel, text: str | None) -> tuple[str, float]:
     """The language of a text and the model's share of belief in it; ("und", 0.0) without letters or languages."""
-    found = Counter(WORDS.findall(text.lower())) if text else None
+    found = Counter(words_of(text)) if text else None
     if not found or not model.languages:
         return "und", 0.0
     words, n = list(found), np.fromiter(found.values(), np.float64)
