@@ -127,7 +127,7 @@ def test_cell_classes(spark):
     raw = ["", None, "nan", "bad", "inf", "0", "-1", "5", "150", " 7.5 ", "1_000", "1e2"]
     cells = spark.createDataFrame([(i, r, 0.0, 100.0, True) for i, r in enumerate(raw)], "i int, raw_value string, minimum double, maximum double, zero_missing boolean")
     got = [r["status"] for r in quality.classify_cells(cells).orderBy("i").collect()]
-    assert got == ["MISSING", "MISSING", "MISSING", "INVALID_PARSE", "INVALID_PARSE", "MISSING_ZERO_SENTINEL", "INVALID_RANGE", "VALID", "INVALID_RANGE", "VALID", "INVALID_PARSE", "VALID"]
+    assert got == ["MISSING", "MISSING", "INVALID_PARSE", "INVALID_PARSE", "INVALID_PARSE", "MISSING_ZERO_SENTINEL", "INVALID_RANGE", "VALID", "INVALID_RANGE", "VALID", "INVALID_PARSE", "VALID"]
 
 
 def test_weights_sum_to_one(spark, sf):

@@ -96,7 +96,7 @@ def error_code(message) -> Column:
 
 def array_median(values: Column) -> Column:
     """Median of an array without nulls; null if it is empty."""
-    s, n = F.array_sort(values), F.size(values)
+    s, n = F.sort_array(values), F.size(values)
     middle = F.floor(n / 2).cast("int")
     return F.when(n % 2 == 1, F.get(s, middle)).when(n > 0, (F.get(s, middle - 1) + F.get(s, middle)) / 2)
 

@@ -79,6 +79,12 @@ def null_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.unpivot([], list(columns), "column", "null_share")
 
 
+def drop_sparse(df: DataFrame, columns: Sequence[str], most: float) -> DataFrame:
+    """df without those of the columns whose share of nulls lies above most; the shares are one aggregate row."""
+    shares = df.agg(*(F.avg(F.col(c).isNull().cast("int")).alias(c) for c in columns)).first()
+    return df.drop(*(c for c in columns if (shares[c] or 0.0) > most))
+
+
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [c for c, t in df.dtypes if c not in exclude and (t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal"))]
 

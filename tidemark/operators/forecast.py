@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,58 +41,77 @@ def kinetic_state(df: DataFrame, keys: Sequence[str], date: str, load: str, k: f
     return df.withColumn("state", F.when(F.col("coverage") >= LEAST_COVERAGE, F.try_divide("_s", "_w"))).drop("_h", "_w", "_s")
 
 
-def linear_fit(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """b0, b1 of y on x for each of keys; null without spread."""
-    return df.groupBy(*keys).agg(F.regr_intercept(y, x).alias("b0"), F.regr_slope(y, x).alias("b1"))
-
-
 def horizons(df: DataFrame, date: str, most: int = 7) -> DataFrame:
     """Each row for horizons 1 to most, with its target_date."""
     out = df.withColumn("horizon", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(most).cast("long"))))
     return out.withColumnRenamed(date, "origin_date").withColumn("target_date", F.date_add("origin_date", F.col("horizon").cast("int")))
 
 
-def experts(df: DataFrame, keys: Sequence[str], date: str, y: str, fit: DataFrame, *, tau: float = 5.0, more: dict[str, Column] | None = None) -> DataFrame:
-    """Long experts' predictions at each day: B10 the day's value, B11 the last one, M1F the fit on the state, M2 that with the day's
-    error fading over the horizon, and others by name. df has a state; rows without a prediction are left out."""
+def observed_ahead(df: DataFrame, keys: Sequence[str], date: str, y: str, most: int = 7) -> DataFrame:
+    """df, which has a row for each day, at each horizon, with y_true: the value that the target day turned out to have."""
     w = by(keys, [date])
-    df = df.withColumn("_last", F.last(y, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.join(fit, list(keys), "left").withColumn("_fit", F.col("b0") + F.col("b1") * F.col("state"))
+    ahead = F.array(*(F.lead(y, h).over(w) for h in range(1, most + 1)))
+    df = horizons(df.withColumn("_ahead", ahead), date, most)
+    return df.withColumn("y_true", F.get("_ahead", F.col("horizon").cast("int") - 1)).drop("_ahead")
+
+
+def fit_experts(rows: DataFrame, keys: Sequence[str], y: str, state: str, features: Sequence[str], penalty: float = 1.0) -> DataFrame:
+    """For each of keys and horizon, from one aggregate over training rows with y_true: f0, f1 (the truth on the state), b0, b1 (the day's
+    own value on it), and the ridge's intercept and coefficients on the features."""
+    own = [*keys, "horizon"]
+    lines = [F.regr_intercept("y_true", state).alias("f0"), F.regr_slope("y_true", state).alias("f1"), F.regr_intercept(y, state).alias("b0"), F.regr_slope(y, state).alias("b1")]
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*features, "y_true"]))
+    sums = rows.withColumn("_whole", whole).groupBy(*own).agg(*lines, *moments([*features, "y_true"], F.col("_whole")))
+    return ridge_fit(sums, own, features, "y_true", penalty, carry=("f0", "f1", "b0", "b1"))
+
+
+def experts(rows: DataFrame, keys: Sequence[str], y: str, state: str, fits: DataFrame, features: Sequence[str], *, tau: float = 5.0) -> DataFrame:
+    """Long experts' predictions for rows of observed_ahead(): B10 the day's value, B11 the last one (columns last and last_date), M1F the
+    fit on the state, M2 that with the day's error fading over the horizon, RIDGE the fit on the features. observed tells whether the day
+    has a value, age how many days old the last one is; rows without a prediction are left out."""
+    df = rows.join(fits, [*keys, "horizon"], "left")
     floor = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), c))
-    df = horizons(df.withColumns({f"_x_{k}": c for k, c in (more or {}).items()}), date)
-    m1f = floor(F.col("_fit"))
-    made = {"B10": F.col(y), "B11": F.col("_last"), "M1F": m1f, "M2": floor(m1f + (F.col(y) - F.col("_fit")) * F.exp(-F.col("horizon") / tau))}
-    made |= {k: floor(F.col(f"_x_{k}")) for k in (more or {})}
-    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("expert"), c.cast("double").alias("prediction")) for k, c in made.items())))
-    out = df.select(*keys, "origin_date", "horizon", "target_date", F.col(y).isNotNull().alias("observed"), rows.alias("e"))
-    return out.select(*keys, "origin_date", "horizon", "target_date", "observed", "e.expert", "e.prediction").filter(F.col("prediction").isNotNull())
+    m1f = floor(F.col("f0") + F.col("f1") * F.col(state))
+    now = F.col("b0") + F.col("b1") * F.col(state)
+    made = {"B10": F.col(y), "B11": F.col("last"), "M1F": m1f, "M2": floor(m1f + (F.col(y) - now) * F.exp(-F.col("horizon") / tau)), "RIDGE": ridge_score(features)}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("expert"), c.cast("double").alias("prediction")) for k, c in made.items())))
+    out = df.select(*keys, "origin_date", "horizon", "target_date", "y_true", F.col(y).isNotNull().alias("observed"), F.datediff("origin_date", "last_date").cast("long").alias("age"), each.alias("e"))
+    out = out.select("*", "e.expert", "e.prediction").drop("e").filter(F.col("prediction").isNotNull())
+    return out.withColumn("error", F.col("prediction") - F.col("y_true"))
 
 
-def past_errors(forecasts: DataFrame, errors: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """forecasts with n, mse and truth_var of the expert's errors whose target_date isn't behind the origin.
+def past_errors(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """forecasts with n, mse and last_target of the expert's errors whose target_date isn't behind the origin, and truth_var.
 
-    errors: keys, horizon, expert, target_date, error, y_true. Both are put in one order of days, arrivals before origins, and summed
-    along it.
+    forecasts: keys, horizon, expert, origin_date, target_date, error, y_true (null while the target day isn't known). Each row stands
+    twice in one order of days, as an arrival and, behind the day's arrivals, as a question; sums run along it. truth_var is the variance
+    of the horizon's truths that had arrived, each once however many experts met it; 1 below two.
     """
     part = [*keys, "horizon", "expert"]
-    arrived = errors.select(*part, F.col("target_date").alias("_day"), F.lit(0).alias("_kind"), (F.col("error") * F.col("error")).alias("_e2"), F.col("y_true").alias("_y"))
-    asked = forecasts.withColumns({"_day": F.col("origin_date"), "_kind": F.lit(1)})
-    w = Window.partitionBy(*part).orderBy("_day", "_kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    both = asked.unionByName(arrived, allowMissingColumns=True)
-    both = both.withColumns({"n": F.count("_e2").over(w), "mse": F.avg("_e2").over(w), "truth_var": F.when(F.count("_y").over(w) >= 2, F.var_pop("_y").over(w)).otherwise(1.0)})
-    return both.filter("_kind = 1").drop("_day", "_kind", "_e2", "_y")
+    once = Window.partitionBy(*keys, "horizon", "target_date").orderBy("expert")
+    rows = forecasts.withColumn("_first", F.row_number().over(once) == 1)
+    came = F.when(F.col("error").isNotNull(), F.struct(F.col("target_date").alias("day"), F.lit(0).alias("kind")))
+    asked = F.struct(F.col("origin_date").alias("day"), F.lit(1).alias("kind"))
+    rows = rows.withColumn("_e", F.explode(F.array_compact(F.array(came, asked)))).withColumns({"_day": F.col("_e.day"), "_kind": F.col("_e.kind")})
+    arrival = F.col("_kind") == 0
+    rows = rows.withColumns({"_e2": F.when(arrival, F.col("error") * F.col("error")), "_y": F.when(arrival & F.col("_first"), F.col("y_true")), "_t": F.when(arrival, F.col("target_date"))})
+    along = lambda *by: Window.partitionBy(*by).orderBy("_day", "_kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    w, all_experts = along(*part), along(*keys, "horizon")
+    rows = rows.withColumn("truth_var", F.when(F.count("_y").over(all_experts) >= 2, F.var_pop("_y").over(all_experts)).otherwise(1.0))
+    rows = rows.withColumns({"n": F.count("_e2").over(w), "mse": F.avg("_e2").over(w), "last_target": F.max("_t").over(w)})
+    return rows.filter("_kind = 1").drop("_first", "_e", "_day", "_kind", "_e2", "_y", "_t")
 
 
 def weights(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """weight of each expert at each origin and horizon: inverse to the mean square of at least LEAST_ERRORS past errors; where no expert
     has so many, all weight goes to the first of a fixed order that is there. method says which."""
-    eps = F.greatest(F.lit(1e-12), 1e-8 * F.col("truth_var"))
+    rows = rows.withColumn("epsilon", F.greatest(F.lit(1e-12), 1e-8 * F.col("truth_var")))
     usable = F.col("observed") | ~F.col("expert").isin("B10", "M2")
-    raw = F.when(usable & (F.col("n") >= LEAST_ERRORS), 1 / (F.col("mse") + eps)).otherwise(0.0)
+    raw = F.when(usable & (F.col("n") >= LEAST_ERRORS), 1 / (F.col("mse") + F.col("epsilon"))).otherwise(0.0)
     rank = lambda order: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for k, e in enumerate(order) for x in (e, k))), F.col("expert")), F.lit(None).cast("int"))
     place = F.when(F.col("observed"), rank(OBSERVED_ORDER)).otherwise(rank(UNOBSERVED_ORDER))
     one = Window.partitionBy(*keys, "origin_date", "horizon")
-    rows = rows.withColumns({"_raw": raw, "_place": F.when(usable, place)})
+    rows = rows.withColumns({"_raw": raw, "_place": F.when(usable, place), "available": usable})
     rows = rows.withColumns({"_sum": F.sum("_raw").over(one), "_first": F.min("_place").over(one)})
     weight = F.when(F.col("_sum") > 0, F.try_divide("_raw", "_sum")).otherwise(F.when(F.col("_place") == F.col("_first"), 1.0).otherwise(0.0))
     return rows.withColumns({"weight": weight, "method": F.when(F.col("_sum") > 0, "INVERSE_ERROR").when(F.col("_first").isNotNull(), "FALLBACK").otherwise("NONE")}).drop("_raw", "_place", "_sum", "_first")
@@ -108,6 +128,14 @@ def blend(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("prediction", F.when(F.col("_p").isNotNull(), F.greatest(F.lit(0.0), F.col("_p")))).drop("_p")
 
 
+def audit(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What stands behind each forecast: experts, a map from expert to its prediction, availability, weight and error statistics; whether
+    the origin day was observed, the last observation's age, epsilon and the method of the weights."""
+    own = F.struct("expert", F.struct("prediction", "available", "weight", "n", "mse", "last_target").alias("about"))
+    whole = [F.first(c).alias(c) for c in ("observed", "age", "epsilon", "method")]
+    return rows.groupBy(*keys, "origin_date", "horizon", "target_date").agg(F.map_from_entries(F.array_sort(F.collect_list(own))).alias("experts"), *whole)
+
+
 def origins(df: DataFrame, keys: Sequence[str], date: str, features: Sequence[str], has_expert: Column) -> DataFrame:
     """Each row as a candidate origin: ok, and reasons why not (array). One pass of running windows."""
     w = by(keys, [date]).rowsBetween(Window.unboundedPreceding, 0)
@@ -136,6 +164,16 @@ def rejected(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("error", F.when(F.col("_last").isNull(), F.when(short, "INSUFFICIENT_HISTORY").otherwise("NO_FORECASTABLE_ORIGIN"))).drop("_last", "ok")
 
 
+def unavailable(candidates: DataFrame, keys: Sequence[str], most: int = 10) -> DataFrame:
+    """For each of keys without a good origin: status (why), reason (its newest rejected days with their reasons), and no predictions."""
+    w = Window.partitionBy(*keys)
+    rows = candidates.withColumns({"_rows": F.count(F.lit(1)).over(w), "_ok": F.max(F.col("ok").cast("int")).over(w), "_n": F.row_number().over(w.orderBy(F.desc("origin_date")))})
+    rows = rows.filter((F.col("_ok") == 0) & (F.col("_n") <= most))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("_n", "origin_date", "reasons"))), lambda r: F.concat(r["origin_date"].cast("string"), F.lit(": "), F.array_join(r["reasons"], ",")))
+    out = rows.groupBy(*keys).agg(F.when(F.max("_rows") < LEAST_ROWS, "INSUFFICIENT_HISTORY").otherwise("NO_FORECASTABLE_ORIGIN").alias("status"), F.array_join(told, "; ").alias("reason"))
+    return out.withColumns({"origin_date": F.lit(None).cast("date"), "predictions": F.array().cast("array<struct<horizon:int,target_date:date,value:double>>")})
+
+
 def with_unavailable(wanted: DataFrame, forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A row for each wanted (keys, origin_date, horizon), available or not."""
     out = wanted.join(forecasts, [*keys, "origin_date", "horizon"], "left")
@@ -160,31 +198,48 @@ def headline(forecasts: DataFrame, actuals: DataFrame, keys: Sequence[str]) -> D
     return out.join(actuals, [*keys, "origin_date"], "left").withColumn("change", F.col("day7") - F.col("last_actual"))
 
 
+def bridge(forecasts: DataFrame, actuals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The segment that joins an origin's last observed value to its first forecast: from_date, from_value, to_date, to_value.
+
+    actuals: keys, origin_date, last_date, last_actual. Origins without either end have none.
+    """
+    first = forecasts.filter((F.col("horizon") == 1) & F.col("prediction").isNotNull())
+    out = first.join(actuals.filter(F.col("last_actual").isNotNull()), [*keys, "origin_date"])
+    return out.select(*keys, "origin_date", F.col("last_date").alias("from_date"), F.col("last_actual").alias("from_value"), F.col("target_date").alias("to_date"), F.col("prediction").alias("to_value"))
+
+
+def moments(names: Sequence[str], where: Column) -> list[Column]:
+    """n, the sums of the columns, and of their products, over rows where the condition holds."""
+    own = lambda x: F.sum(F.when(where, x))
+    return [F.count(F.when(where, 1)).alias("n"), *(own(F.col(a)).alias(f"s_{a}") for a in names), *(own(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for i, a in enumerate(names) for b in names[i:])]
+
+
 def ridge_sums(df: DataFrame, keys: Sequence[str], features: Sequence[str], y: str) -> DataFrame:
     """n, the sums of features and y, and of their products, over rows that have all."""
     names = [*features, y]
-    rows = df.dropna(subset=names)
-    sums = [F.sum(F.col(a)).alias(f"s_{a}") for a in names] + [F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+    return df.dropna(subset=names).groupBy(*keys).agg(*moments(names, F.lit(True)))
 
 
-def ridge_fit(sums: DataFrame, keys: Sequence[str], features: Sequence[str], y: str, penalty: float = 1.0) -> DataFrame:
-    """intercept and coefficients (array) from ridge_sums(): one small system for each row."""
-    names = [*features, y]
-    kinds = ", ".join(f"{k} {sums.schema[k].dataType.simpleString()}" for k in keys)
+def ridge_fit(sums: DataFrame, keys: Sequence[str], features: Sequence[str], y: str, penalty: float = 1.0, carry: Sequence[str] = ()) -> DataFrame:
+    """intercept and coefficients (array) from ridge_sums(), null without rows: the small systems of a batch are solved at once."""
+    names, k = [*features, y], len(features)
+    kept = [*keys, *carry]
+    kinds = ", ".join(f"{c} {sums.schema[c].dataType.simpleString()}" for c in kept)
 
     def solve(batches):
         for b in batches:
-            rows = []
-            for _, r in b.iterrows():
-                n, mean = r["n"], np.array([r[f"s_{a}"] for a in names]) / r["n"]
-                m = np.array([[r[f"s_{names[min(i, j)]}_{names[max(i, j)]}"] for j in range(len(names))] for i in range(len(names))], float) - n * np.outer(mean, mean)
-                k = len(features)
-                c = np.linalg.solve(m[:k, :k] + penalty * np.eye(k), m[:k, k])
-                rows.append((*(r[x] for x in keys), float(mean[k] - c @ mean[:k]), c.tolist()))
-            yield pd.DataFrame(rows, columns=[*keys, "intercept", "coefficients"])
-
-    return sums.mapInPandas(solve, f"{kinds}, intercept double, coefficients array<double>")
+            n = b["n"].to_numpy(float)
+            some = n > 0
+            one = np.where(some, n, 1.0)
+            mean = np.nan_to_num(b[[f"s_{a}" for a in names]].to_numpy(float)) / one[:, None]
+            m = np.array([[np.nan_to_num(b[f"s_{names[min(i, j)]}_{names[max(i, j)]}"].to_numpy(float)) for j in range(k + 1)] for i in range(k + 1)]).transpose(2, 0, 1)
+            m = m - one[:, None, None] * mean[:, :, None] * mean[:, None, :]
+            c = np.linalg.solve(m[:, :k, :k] + penalty * np.eye(k), m[:, :k, k:])[:, :, 0] if len(b) else np.zeros((0, k))
+            intercept = mean[:, k] - (c * mean[:, :k]).sum(axis=1)
+            yield b[kept].assign(intercept=np.where(some, intercept, np.nan), coefficients=[x.tolist() if ok else None for x, ok in zip(c, some)])
+
+    out = sums.mapInPandas(solve, f"{kinds}, intercept double, coefficients array<double>")
+    return out.withColumn("intercept", F.nanvl("intercept", F.lit(None).cast("double")))
 
 
 def ridge_score(features: Sequence[str]) -> Column:

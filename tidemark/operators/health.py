@@ -211,22 +211,41 @@ def telemetry(df: DataFrame, keys: Sequence[str], date: str, informational: dict
     return df.select(*keys, date, F.explode(F.array(*cells)).alias("c")).select(*keys, date, "c.*")
 
 
+def side_text(v: str, digits: int) -> Column:
+    """Both sides' readings in fixed digits, N/A for a side without one."""
+    show = lambda s: F.when(F.col(f"{v}_{s}").isNotNull(), F.format_string(f"%.{digits}f", F.col(f"{v}_{s}"))).otherwise("N/A")
+    return F.concat(F.lit("A "), show("A"), F.lit(" · B "), show("B"))
+
+
+def trend_line(c: str) -> Column:
+    """A notable move of a measure against its base, as a line; null without one."""
+    pct = F.col(f"{c}_change_pct")
+    way = F.when(F.col(f"{c}_direction") == "UP", dims.UP_TEXT).otherwise(dims.DOWN_TEXT)
+    return F.when(F.col(f"{c}_notable") & pct.isNotNull(), F.concat_ws(" ", F.lit(dims.MOVING[c]), F.lit(dims.TREND_TEXT), F.concat(F.format_string("%+.1f", pct), F.lit("%")), way))
+
+
 def actions(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
-    """Action cards by priority: one for each code of a row, or the normal card; position counts from 1."""
+    """Action cards by priority: one for each code of a row, or the normal card; position counts from 1. A card has its reason, code,
+    priority, title, verdict, what to do (array) and the readings of the variables behind it (array of variable, A and B)."""
     spark = df.sparkSession
-    cards = [(k, a, p, dims.PRIORITY[p]) for k, (_, _, a, p) in dims.FLAGS.items()] + [(k, a, p, dims.PRIORITY[p]) for k, (a, p) in dims.STATE_ACTIONS.items()]
-    library = F.broadcast(spark.createDataFrame(cards, "reason string, action string, priority string, _p int"))
-    rows = raised(df).select(*keys, date, F.posexplode("codes").alias("_i", "reason"))
-    found = rows.join(library, "reason", "left").withColumns({"action": F.coalesce("action", F.lit("OP-NORMAL-001")), "priority": F.coalesce("priority", F.lit("NORMAL")), "_p": F.coalesce("_p", F.lit(2))})
+    codes = {k: (a, p) for k, (_, _, a, p) in dims.FLAGS.items()} | dims.STATE_ACTIONS
+    library = F.broadcast(spark.createDataFrame([(k, *codes[k], dims.PRIORITY[codes[k][1]], title, verdict, list(steps)) for k, (title, verdict, steps) in dims.CARDS.items()], "reason string, action string, priority string, _p int, title string, verdict string, steps array<string>"))
+    readings = {k: F.array(*(F.struct(F.lit(v).alias("variable"), F.col(f"{v}_A").alias("A"), F.col(f"{v}_B").alias("B")) for v in vs)) for k, (_, vs, *_) in dims.FLAGS.items()}
+    none = F.array().cast("array<struct<variable:string,A:double,B:double>>")
+    behind = F.map_from_entries(F.array(*(F.struct(F.lit(k), x) for k, x in readings.items())))
+    rows = raised(df).select(*keys, date, behind.alias("_behind"), F.posexplode("codes").alias("_i", "reason"))
+    rows = rows.withColumn("readings", F.coalesce(F.try_element_at("_behind", "reason"), none))
+    found = rows.join(library, "reason")
     w = by([*keys, date], ["_p", "_i"])
-    return found.withColumn("position", F.row_number().over(w).cast("long")).select(*keys, date, "position", "reason", "action", "priority")
+    return found.withColumn("position", F.row_number().over(w).cast("long")).select(*keys, date, "position", "reason", "action", "priority", "title", "verdict", "steps", "readings")
 
 
 def recommendations(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
-    """code, priority, position of what is recommended for each row.
+    """position, code, priority, title, evidence (array), actions (array) and recheck of what is recommended for each row.
 
-    df has diagnose()'s columns and, from robust_trend(), direction and notability of feed, biogas, ch4, purity_A and purity_B. Feed and
-    gas rules form one chain, which only applies without an action; the normal one only without any other.
+    df has diagnose()'s columns and, from robust_trend(), direction, notability and change_pct of feed, biogas, ch4, purity_A and
+    purity_B. Feed and gas rules form one chain, which only applies without an action; the normal one only without any other. Texts are
+    rows of a dimension, joined by card.
     """
     codes = F.col("_codes")
     has = lambda *cs: reduce(lambda a, b: a | b, (F.array_contains(codes, c) for c in cs))
@@ -238,33 +257,42 @@ def recommendations(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
         known = F.array_compact(F.array(f"{v}_A_delta", f"{v}_B_delta"))
         return (F.size(known) > 0) & F.forall(known, lambda x: x > 0)
 
+    ratio = F.concat(F.lit("VFA/ALK "), side_text("VFA_TA", 3))
+    read = lambda v, digits, name=None: F.concat(F.lit(f"{name or v} "), side_text(v, digits))
+    heat = read("temperature", 2, "온도")
     acid, watch = has("ACID_SEVERE", "ACID_EARLY"), has("ACID_WATCH")
     thermal = has("THERMAL_ACTION_CANDIDATE")
+    cold = hit("temperature", "LOW") | _both(lambda x: x < dims.THERMAL_LOW, "temperature")
+    inhibiting = hit("pH", "HIGH") | hit("temperature", "HIGH")
     purity_down = moved("purity_A", "DOWN") | moved("purity_B", "DOWN")
+    none = F.lit(None).cast("string")
     rules = [
-        ("REC-ACID-002", "ACTION", acid),
-        ("REC-ACID-001", "WATCH", ~acid & watch),
-        ("REC-ALK-001", "WATCH", has("BUFFER_DEPLETION_CANDIDATE")),
-        ("REC-TEMP-001", "ACTION", thermal),
-        ("REC-TEMP-003", "WATCH", ~thermal & has("THERMAL_ONE_SIDED_ABNORMAL", "THERMAL_ONE_SIDED_INVALID")),
-        ("REC-TAN-001", "WATCH", has("AMMONIA_WATCH", "AMMONIA_ACTION_CANDIDATE") | off("TAN")),
-        ("REC-TS-001", "WATCH", hit("TS", "HIGH")),
-        ("REC-LOAD-001", "WATCH", hit("CODcr", "HIGH") | hit("VS", "HIGH")),
-        ("REC-PATTERN-001", "WATCH", (rises("VFA_TA") | watch) & hit("ALK", "LOW") & hit("pH", "LOW")),
-        ("REC-PATTERN-002", "WATCH", (rises("VFA") | watch) & purity_down & moved("ch4", "DOWN")),
-        ("REC-PATTERN-003", "WATCH", has("THERMAL_ACTION_CANDIDATE", "THERMAL_ONE_SIDED_ABNORMAL") & moved("biogas", "DOWN")),
+        (F.when(has("ACID_SEVERE"), "REC-ACID-002:severe").otherwise("REC-ACID-002:early"), acid, [ratio, F.lit(dims.ACID_AHEAD), trend_line("ch4")]),
+        ("REC-ACID-001", ~acid & watch, [ratio, F.when(rises("VFA"), dims.VFA_RISING), trend_line("feed")]),
+        ("REC-ALK-001", has("BUFFER_DEPLETION_CANDIDATE"), [read("ALK", 0), read("pH", 2)]),
+        (F.when(cold, "REC-TEMP-001:low").otherwise("REC-TEMP-001:high"), thermal, [heat, F.lit(dims.THERMAL_LEFT), trend_line("biogas")]),
+        ("REC-TEMP-003", ~thermal & has("THERMAL_ONE_SIDED_ABNORMAL", "THERMAL_ONE_SIDED_INVALID"), [heat]),
+        (F.when(inhibiting, "REC-TAN-001:inhibiting").otherwise("REC-TAN-001"), has("AMMONIA_WATCH", "AMMONIA_ACTION_CANDIDATE") | off("TAN"), [read("TAN", 0), F.when(inhibiting, dims.HOT_OR_BASIC)]),
+        ("REC-TS-001", hit("TS", "HIGH"), [read("TS", 2)]),
+        ("REC-LOAD-001", hit("CODcr", "HIGH") | hit("VS", "HIGH"), [read("CODcr", 0), read("VS", 2), trend_line("feed")]),
+        ("REC-PATTERN-001", (rises("VFA_TA") | watch) & hit("ALK", "LOW") & hit("pH", "LOW"), [ratio, F.concat(read("ALK", 0), F.lit(" · "), read("pH", 2))]),
+        ("REC-PATTERN-002", (rises("VFA") | watch) & purity_down & moved("ch4", "DOWN"), [trend_line("ch4"), trend_line("purity_A"), ratio]),
+        ("REC-PATTERN-003", has("THERMAL_ACTION_CANDIDATE", "THERMAL_ONE_SIDED_ABNORMAL") & moved("biogas", "DOWN"), [heat, trend_line("biogas")]),
     ]
     no_action = ~(acid | thermal)
     chain = [
-        ("REC-FEED-001", moved("feed", "UP") & (rises("VFA") | moved("biogas", "DOWN"))),
-        ("REC-FEED-002", moved("feed", "DOWN") & moved("biogas", "DOWN")),
-        ("REC-GAS-001", moved("biogas", "DOWN")),
-        ("REC-GAS-002", purity_down),
+        ("REC-FEED-001", moved("feed", "UP") & (rises("VFA") | moved("biogas", "DOWN")), [trend_line("feed"), trend_line("biogas")]),
+        ("REC-FEED-002", moved("feed", "DOWN") & moved("biogas", "DOWN"), [trend_line("feed"), trend_line("biogas")]),
+        ("REC-GAS-001", moved("biogas", "DOWN"), [trend_line("biogas")]),
+        ("REC-GAS-002", purity_down, [F.coalesce(trend_line("purity_A"), trend_line("purity_B"))]),
     ]
-    item = lambda code, priority: F.struct(F.lit(dims.PRIORITY[priority]).alias("p"), F.lit(code).alias("code"), F.lit(priority).alias("priority"))
-    first = reduce(lambda a, b: a.when(b[1], item(b[0], "WATCH")), chain[1:], F.when(chain[0][1], item(chain[0][0], "WATCH")))
-    listed = F.array_compact(F.array(*(F.when(c, item(code, p)) for code, p, c in rules), F.when(no_action, first)))
+    item = lambda card, lines: F.struct((card if isinstance(card, Column) else F.lit(card)).alias("card"), F.array_compact(F.array(*lines, none)).alias("evidence"))
+    first = reduce(lambda a, b: a.when(b[1], item(b[0], b[2])), chain[1:], F.when(chain[0][1], item(chain[0][0], chain[0][2])))
+    listed = F.array_compact(F.array(*(F.when(c, item(card, lines)) for card, c, lines in rules), F.when(no_action, first)))
     rows = df.withColumn("_codes", F.array_union(F.transform("flags", lambda f: f["code"]), F.array("code"))).select(*keys, date, listed.alias("_l"))
-    rows = rows.select(*keys, date, F.posexplode(F.when(F.size("_l") > 0, F.col("_l")).otherwise(F.array(item("REC-NORMAL-001", "NORMAL")))).alias("_i", "c"))
-    w = by([*keys, date], ["c.p", "_i"])
-    return rows.select(*keys, date, F.row_number().over(w).cast("long").alias("position"), "c.code", "c.priority")
+    rows = rows.select(*keys, date, F.posexplode(F.when(F.size("_l") > 0, F.col("_l")).otherwise(F.array(item("REC-NORMAL-001", [F.lit(dims.ALL_NORMAL)])))).alias("_i", "c"))
+    cards = [(k, code, p, dims.PRIORITY[p], title, list(steps), recheck) for k, (code, p, title, steps, recheck) in dims.RECOMMENDATIONS.items()]
+    library = F.broadcast(df.sparkSession.createDataFrame(cards, "card string, code string, priority string, _p int, title string, actions array<string>, recheck string"))
+    found = rows.select(*keys, date, "_i", "c.card", "c.evidence").join(library, "card")
+    w = by([*keys, date], ["_p", "_i"])
+    return found.select(*keys, date, F.row_number().over(w).cast("long").alias("position"), "code", "priority", "title", "evidence", "actions", "recheck")

@@ -75,6 +75,12 @@ def normalise(df: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     return df.withColumn("share", F.round(F.col(weight) / F.when(total == 0, 1.0).otherwise(total), 4))
 
 
+def prediction_table(df: DataFrame, keys: Sequence[str], target: str, prediction: Column, diagnostics: Sequence[str]) -> DataFrame:
+    """keys, true, predicted and the diagnostics of each held-out row that has both a truth and a prediction."""
+    out = df.select(*keys, F.col(target).alias("true"), prediction.alias("predicted"), *diagnostics)
+    return out.filter(F.col("true").isNotNull() & F.col("predicted").isNotNull())
+
+
 def model_table(df: DataFrame, predictions: Sequence[str], target: str) -> DataFrame:
     """model, n, r2, rmse, mae of several prediction columns in one pass."""
     from tidemark.operators.stats import regression_metrics

@@ -15,19 +15,23 @@ from tidemark.functions.scalars import array_mad, array_median, parse_number
 
 #: Fixed values of the robust tests.
 HISTORY, LEAST_HISTORY, FLAT_RUN, BOUND = 15, 7, 7, 3 * 1.4826
+STATUSES = ("VALID", "MISSING", "MISSING_ZERO_SENTINEL", "INVALID_PARSE", "INVALID_RANGE", "SUSPECT_SPIKE", "SUSPECT_TEMPORAL_OUTLIER", "SUSPECT_FLATLINE", "SUSPECT_CROSS_FIELD")
 UNUSABLE = ("MISSING", "MISSING_ZERO_SENTINEL", "INVALID_PARSE", "INVALID_RANGE")
 
 
 def classify_cells(cells: DataFrame, raw: str = "raw_value", *, minimum: str = "minimum", maximum: str = "maximum", zero_missing: str = "zero_missing") -> DataFrame:
-    """cells with status, reason and value (null for missing and invalid cells); the rule's columns stand in the row."""
+    """cells with status, reason and value (null for missing and invalid cells); the rule's columns stand in the row.
+
+    Raw cells are text: the word nan is a number that isn't finite, not an empty cell.
+    """
     text = F.trim(F.col(raw))
     number = parse_number(raw)
     word = F.lower(F.regexp_replace(text, r"^[+-]", ""))
-    not_finite = word.isin("inf", "infinity") | (F.abs(number) == float("inf"))
+    not_finite = word.isin("nan", "inf", "infinity") | (F.abs(number) == float("inf"))
     out_of_range = F.coalesce(number < F.col(minimum), F.lit(False)) | F.coalesce(number > F.col(maximum), F.lit(False))
     graded = lambda status, reason: F.struct(F.lit(status).alias("s"), F.lit(reason).alias("r"))
     status = (
-        F.when(text.isNull() | (text == "") | (word == "nan"), graded("MISSING", "EMPTY_CELL"))
+        F.when(text.isNull() | (text == ""), graded("MISSING", "EMPTY_CELL"))
         .when(not_finite, graded("INVALID_PARSE", "NON_FINITE"))
         .when(number.isNull(), graded("INVALID_PARSE", "NON_NUMERIC"))
         .when(F.col(zero_missing) & (number == 0), graded("MISSING_ZERO_SENTINEL", "ZERO_SENTINEL"))
@@ -38,10 +42,8 @@ def classify_cells(cells: DataFrame, raw: str = "raw_value", *, minimum: str = "
     return out.withColumn("value", F.when(F.col("status") == "VALID", number))
 
 
-def _robust(value: Column, history: Column) -> Column:
+def _robust(value: Column, history: Column, center: Column, spread: Column) -> Column:
     """value lies further from the history's median than the bound allows; false with too little history or no spread."""
-    center = array_median(history)
-    spread = array_mad(history, center)
     return F.coalesce((F.size(history) >= LEAST_HISTORY) & (spread > 0) & (F.abs(value - center) > BOUND * spread), F.lit(False))
 
 
@@ -58,9 +60,12 @@ def grade_history(cells: DataFrame, keys: Sequence[str], order: Sequence[str], *
     cells = cells.withColumns({"_h": F.collect_list("value").over(last), "_d": F.when(F.col("_rn") - F.lag("_rn").over(held) == 1, F.col("value") - F.lag("value").over(held))})
     moved = Window.partitionBy(*keys, F.col("_d").isNull()).orderBy(*order).rowsBetween(-HISTORY, -1)
     cells = cells.withColumn("_dh", F.collect_list("_d").over(moved))
+    # Each median is a column of its own, so that no array is sorted again inside another expression.
+    cells = cells.withColumns({"_hm": array_median(F.col("_h")), "_dm": array_median(F.col("_dh"))})
+    cells = cells.withColumns({"_hs": array_mad(F.col("_h"), F.col("_hm")), "_ds": array_mad(F.col("_dh"), F.col("_dm"))})
     valid = F.col("status") == "VALID"
-    spike = valid & F.col("_d").isNotNull() & _robust(F.col("_d"), F.col("_dh"))
-    outlier = valid & _robust(F.col("value"), F.col("_h"))
+    spike = valid & F.col("_d").isNotNull() & _robust(F.col("_d"), F.col("_dh"), F.col("_dm"), F.col("_ds"))
+    outlier = valid & _robust(F.col("value"), F.col("_h"), F.col("_hm"), F.col("_hs"))
     flat_run = valid & F.col(flat) & F.col("value").isNotNull() & (F.col("_run_n") >= FLAT_RUN)
     graded = cells.withColumns(
         {
@@ -68,7 +73,7 @@ def grade_history(cells: DataFrame, keys: Sequence[str], order: Sequence[str], *
             "_why": F.when(spike, "ROBUST_DELTA_WINDOW_15").when(outlier, "HAMPEL_WINDOW_15").when(flat_run, "EXACT_REPEAT_7_PLUS"),
         }
     )
-    return graded.withColumns({"status": F.coalesce("_new", "status"), "reason": F.coalesce("_why", "reason")}).drop("_rn", "_before", "_run", "_run_n", "_h", "_d", "_dh", "_new", "_why")
+    return graded.withColumns({"status": F.coalesce("_new", "status"), "reason": F.coalesce("_why", "reason")}).drop("_rn", "_before", "_run", "_run_n", "_h", "_d", "_dh", "_hm", "_dm", "_hs", "_ds", "_new", "_why")
 
 
 def cross_field(cells: DataFrame, keys: Sequence[str], *, field: str = "variable", side: str = "side", left: str = "VFA", right: str = "ALK") -> DataFrame:
@@ -94,9 +99,11 @@ def clean_frame(cells: DataFrame, keys: Sequence[str], fields: Sequence[str]) ->
 
 
 def summary(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Counts of valid, missing, suspect and invalid cells."""
+    """Counts of valid, missing, suspect and invalid cells, and by_status, a map from each status that occurs to its count."""
     n = lambda p: F.count(F.when(F.col("status").startswith(p), 1))
-    return cells.groupBy(*keys).agg(n("VALID").alias("valid"), n("MISSING").alias("missing"), n("SUSPECT").alias("suspect"), n("INVALID").alias("invalid"))
+    each = F.array(*(F.struct(F.lit(s).alias("key"), F.count(F.when(F.col("status") == s, 1)).alias("value")) for s in STATUSES))
+    out = cells.groupBy(*keys).agg(n("VALID").alias("valid"), n("MISSING").alias("missing"), n("SUSPECT").alias("suspect"), n("INVALID").alias("invalid"), each.alias("_each"))
+    return out.withColumn("by_status", F.map_from_entries(F.filter("_each", lambda e: e["value"] > 0))).drop("_each")
 
 
 def flagged(cells: DataFrame, order: Sequence[str], most: int = 500) -> DataFrame:

@@ -95,9 +95,20 @@ def b12_keep_last(spark, d):
     return B.keep_last(I.table(spark, d, "events").select("user_id", F.to_date("ts").alias("date"), "event_id"), ["user_id", "date"], ["event_id"])
 
 
-@query("b13_null_shares", f"with {I.PANEL} " + " union all ".join(f"select '{c}' as \"column\", round(avg(case when {c} is null then 1 else 0 end), 6) as null_share from panel" for c in ("temperature_A", "temperature_B", "VFA_TA_A")))
+@query("b13_null_shares", f"with {I.PANEL} " + " union all ".join(f"select '{c}' as \"column\", round(avg(case when {c} is null then 1 else 0 end), 6) as null_share from panel" for c in (f"{v}_{s}" for v in [*I.PANEL_FORMULAS, "VFA_TA"] for s in "AB")))
 def b13_null_shares(spark, d):
-    return B.null_shares(I.panel(spark, d), ["temperature_A", "temperature_B", "VFA_TA_A"]).withColumn("null_share", F.round("null_share", 6))
+    return B.null_shares(I.panel(spark, d), MEASURES).withColumn("null_share", F.round("null_share", 6))
+
+
+MEASURES = [f"{v}_{s}" for v in [*I.PANEL_FORMULAS, "VFA_TA"] for s in "AB"]
+
+
+@query("b13_drop_sparse", f"with {I.PANEL}, n as (select {', '.join(f'avg(case when {c} is null then 1 else 0 end) as {c}' for c in MEASURES)} from panel), l as (unpivot n on {', '.join(MEASURES)} into name field value share), u as (unpivot panel on {', '.join(MEASURES)} into name field value value) select series_id, date, field, value from u join l using (field) where share <= 0.5 and value is not null")
+def b13_drop_sparse(spark, d):
+    """The panel without the columns that are null in more than half of its rows, cell by cell."""
+    p = B.drop_sparse(I.panel(spark, d), MEASURES, 0.5)
+    kept = [c for c in MEASURES if c in p.columns]
+    return p.unpivot(["series_id", "date"], kept, "field", "value").select("series_id", "date", "field", "value").filter("value is not null")
 
 
 @query("b14_b15_columns", f"with {I.DAILY} select series_id, date, value, mean_value from daily")

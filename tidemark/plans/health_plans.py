@@ -171,12 +171,24 @@ def h21_telemetry(spark, d):
     return t.withColumns({"value": F.round("value", 6), "gap": F.round("gap", 4)})
 
 
-_CARDS = ", ".join([f"('{k}', '{a}', '{p}', {dims.PRIORITY[p]})" for k, (_, _, a, p) in dims.FLAGS.items()] + [f"('{k}', '{a}', '{p}', {dims.PRIORITY[p]})" for k, (a, p) in dims.STATE_ACTIONS.items()])
-
-
-@query("h22_actions", f"with {HEALTH}, c as (select series_id, date, unnest(codes) as reason, unnest(range(len(codes))) as i from health) select series_id, date, row_number() over (partition by series_id, date order by coalesce(p, 2), i) as position, c.reason, coalesce(action, 'OP-NORMAL-001') as action, coalesce(priority, 'NORMAL') as priority from c left join (values {_CARDS}) l(reason, action, priority, p) using (reason)")
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_ABOUT = {k: (a, p) for k, (_, _, a, p) in dims.FLAGS.items()} | dims.STATE_ACTIONS
+_CARDS = ", ".join("(" + ", ".join([*map(_quoted, (k, *_ABOUT[k], title, verdict, " | ".join(steps))), str(dims.PRIORITY[_ABOUT[k][1]])]) + ")" for k, (title, verdict, steps) in dims.CARDS.items())
+_READINGS = "case reason " + " ".join("when '" + k + "' then concat_ws(';', " + ", ".join(f"'{v}=' || coalesce(cast({v}_A as varchar), '-') || '/' || coalesce(cast({v}_B as varchar), '-')" for v in vs) + ")" for k, (_, vs, *_) in dims.FLAGS.items()) + " else '' end"
+
+
+@query(
+    "h22_actions",
+    f"""with {HEALTH}, c as (select *, unnest(codes) as reason, unnest(range(len(codes))) as i from health)
+select series_id, date, row_number() over (partition by series_id, date order by p, i) as position, c.reason, action, priority, title, verdict, steps, {_READINGS.replace("case reason", "case c.reason")} as readings
+from c join (values {_CARDS}) l(reason, action, priority, title, verdict, steps, p) on l.reason = c.reason""",
+)
 def h22_actions(spark, d):
-    return H.actions(diagnosed(spark, d), KEYS, "date")
+    """Cards with titles, verdicts, what to do, and the readings behind them."""
+    a = H.actions(diagnosed(spark, d), KEYS, "date")
+    side = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    shown = F.transform("readings", lambda r: F.concat(r["variable"], F.lit("="), side(r["A"]), F.lit("/"), side(r["B"])))
+    return a.withColumns({"steps": F.array_join("steps", " | "), "readings": F.array_join(shown, ";")})
 
 
 MOVES = ["feed", "biogas", "ch4", "purity_A", "purity_B"]
@@ -189,32 +201,45 @@ def _recommendation_sql() -> str:
     rises = lambda v: f"(({v}_A_delta is not null or {v}_B_delta is not null) and coalesce({v}_A_delta, 1) > 0 and coalesce({v}_B_delta, 1) > 0)"
     acid, watch, thermal = has("ACID_SEVERE", "ACID_EARLY"), has("ACID_WATCH"), has("THERMAL_ACTION_CANDIDATE")
     purity = f"({moved('purity_A', 'DOWN')} or {moved('purity_B', 'DOWN')})"
+    decimal = lambda c, digits: f"coalesce(cast(cast(cast({c} as decimal(18,4)) as decimal(18,{digits})) as varchar), 'N/A')"
+    text = lambda v, digits: f"'A ' || {decimal(v + '_A', digits)} || ' · B ' || {decimal(v + '_B', digits)}"
+    read = lambda v, digits, name=None: f"'{name or v} ' || {text(v, digits)}"
+    line = lambda c: f"case when {c}_notable and {c}_change_pct is not null then '{dims.MOVING[c]} {dims.TREND_TEXT} ' || case when {c}_change_pct < 0 then '-' else '+' end || cast(cast(round(abs({c}_change_pct), 1) as decimal(18,1)) as varchar) || '% ' || case when {c}_direction = 'UP' then '{dims.UP_TEXT}' else '{dims.DOWN_TEXT}' end end"
+    ratio, heat = read("VFA_TA", 3, "VFA/ALK"), read("temperature", 2, "온도")
+    cold = f"({hit('temperature', 'LOW')} or coalesce(temperature_A < 36.0 and temperature_B < 36.0, false))"
+    inhibiting = f"({hit('pH', 'HIGH')} or {hit('temperature', 'HIGH')})"
     rules = [
-        ("REC-ACID-002", "ACTION", acid),
-        ("REC-ACID-001", "WATCH", f"not {acid} and {watch}"),
-        ("REC-ALK-001", "WATCH", has("BUFFER_DEPLETION_CANDIDATE")),
-        ("REC-TEMP-001", "ACTION", thermal),
-        ("REC-TEMP-003", "WATCH", f"not {thermal} and {has('THERMAL_ONE_SIDED_ABNORMAL', 'THERMAL_ONE_SIDED_INVALID')}"),
-        ("REC-TAN-001", "WATCH", f"{has('AMMONIA_WATCH', 'AMMONIA_ACTION_CANDIDATE')} or TAN_A_band in ('ORANGE', 'RED') or TAN_B_band in ('ORANGE', 'RED')"),
-        ("REC-TS-001", "WATCH", hit("TS", "HIGH")),
-        ("REC-LOAD-001", "WATCH", f"{hit('CODcr', 'HIGH')} or {hit('VS', 'HIGH')}"),
-        ("REC-PATTERN-001", "WATCH", f"({rises('VFA_TA')} or {watch}) and {hit('ALK', 'LOW')} and {hit('pH', 'LOW')}"),
-        ("REC-PATTERN-002", "WATCH", f"({rises('VFA')} or {watch}) and {purity} and {moved('ch4', 'DOWN')}"),
-        ("REC-PATTERN-003", "WATCH", f"{has('THERMAL_ACTION_CANDIDATE', 'THERMAL_ONE_SIDED_ABNORMAL')} and {moved('biogas', 'DOWN')}"),
+        (f"case when {has('ACID_SEVERE')} then 'REC-ACID-002:severe' else 'REC-ACID-002:early' end", acid, [ratio, f"'{dims.ACID_AHEAD}'", line("ch4")]),
+        ("'REC-ACID-001'", f"not {acid} and {watch}", [ratio, f"case when {rises('VFA')} then '{dims.VFA_RISING}' end", line("feed")]),
+        ("'REC-ALK-001'", has("BUFFER_DEPLETION_CANDIDATE"), [read("ALK", 0), read("pH", 2)]),
+        (f"case when {cold} then 'REC-TEMP-001:low' else 'REC-TEMP-001:high' end", thermal, [heat, f"'{dims.THERMAL_LEFT}'", line("biogas")]),
+        ("'REC-TEMP-003'", f"not {thermal} and {has('THERMAL_ONE_SIDED_ABNORMAL', 'THERMAL_ONE_SIDED_INVALID')}", [heat]),
+        (f"case when {inhibiting} then 'REC-TAN-001:inhibiting' else 'REC-TAN-001' end", f"{has('AMMONIA_WATCH', 'AMMONIA_ACTION_CANDIDATE')} or TAN_A_band in ('ORANGE', 'RED') or TAN_B_band in ('ORANGE', 'RED')", [read("TAN", 0), f"case when {inhibiting} then '{dims.HOT_OR_BASIC}' end"]),
+        ("'REC-TS-001'", hit("TS", "HIGH"), [read("TS", 2)]),
+        ("'REC-LOAD-001'", f"{hit('CODcr', 'HIGH')} or {hit('VS', 'HIGH')}", [read("CODcr", 0), read("VS", 2), line("feed")]),
+        ("'REC-PATTERN-001'", f"({rises('VFA_TA')} or {watch}) and {hit('ALK', 'LOW')} and {hit('pH', 'LOW')}", [ratio, f"{read('ALK', 0)} || ' · ' || {read('pH', 2)}"]),
+        ("'REC-PATTERN-002'", f"({rises('VFA')} or {watch}) and {purity} and {moved('ch4', 'DOWN')}", [line("ch4"), line("purity_A"), ratio]),
+        ("'REC-PATTERN-003'", f"{has('THERMAL_ACTION_CANDIDATE', 'THERMAL_ONE_SIDED_ABNORMAL')} and {moved('biogas', 'DOWN')}", [heat, line("biogas")]),
     ]
-    chain = f"case when {acid} or {thermal} then null when {moved('feed', 'UP')} and ({rises('VFA')} or {moved('biogas', 'DOWN')}) then 'REC-FEED-001' when {moved('feed', 'DOWN')} and {moved('biogas', 'DOWN')} then 'REC-FEED-002' when {moved('biogas', 'DOWN')} then 'REC-GAS-001' when {purity} then 'REC-GAS-002' end"
-    items = ", ".join(f"case when {c} then '{code}' end" for code, p, c in rules)
-    acts = ", ".join(f"'{code}'" for code, p, _ in rules if p == "ACTION")
+    item = lambda card, lines: f"{{'card': {card}, 'evidence': concat_ws(' | ', {', '.join(lines)})}}"
+    both = [line("feed"), line("biogas")]
+    chain = f"""case when {acid} or {thermal} then null when {moved('feed', 'UP')} and ({rises('VFA')} or {moved('biogas', 'DOWN')}) then {item("'REC-FEED-001'", both)}
+  when {moved('feed', 'DOWN')} and {moved('biogas', 'DOWN')} then {item("'REC-FEED-002'", both)} when {moved('biogas', 'DOWN')} then {item("'REC-GAS-001'", [line('biogas')])}
+  when {purity} then {item("'REC-GAS-002'", [f"coalesce({line('purity_A')}, {line('purity_B')})"])} end"""
+    items = ",\n".join(f"case when {c} then {item(card, lines)} end" for card, c, lines in rules)
+    cards = ", ".join("(" + ", ".join([*map(_quoted, (k, code, p, title, " | ".join(steps), recheck)), str(dims.PRIORITY[p])]) + ")" for k, (code, p, title, steps, recheck) in dims.RECOMMENDATIONS.items())
+    normal = item("'REC-NORMAL-001'", [f"'{dims.ALL_NORMAL}'"])
     return f"""with {HEALTH}, base as (select * exclude (feed_A, feed_B, biogas_A, biogas_B), feed_A + feed_B as feed, biogas_A + biogas_B as biogas, round(biogas_A * purity_A / 100 + biogas_B * purity_B / 100, 6) as ch4, list_concat(flags, [code]) as cs from health),
 {trend_sql('base', MOVES)}, i as (select series_id, date, list_filter([{items}, {chain}], lambda x: x is not null) as found from trend),
-n as (select series_id, date, case when len(found) > 0 then found else ['REC-NORMAL-001'] end as found from i),
-e as (select series_id, date, unnest(found) as code, unnest(range(len(found))) as idx from n),
-q as (select *, case when code in ({acts}) then 'ACTION' when code = 'REC-NORMAL-001' then 'NORMAL' else 'WATCH' end as priority from e)
-select series_id, date, row_number() over (partition by series_id, date order by case priority when 'ACTION' then 0 when 'WATCH' then 1 else 2 end, idx) as position, code, priority from q"""
+n as (select series_id, date, case when len(found) > 0 then found else [{normal}] end as found from i),
+e as (select series_id, date, unnest(found) as r, unnest(range(len(found))) as idx from n)
+select series_id, date, row_number() over (partition by series_id, date order by p, idx) as position, code, priority, title, r.evidence as evidence, actions, recheck
+from e join (values {cards}) l(card, code, priority, title, actions, recheck, p) on l.card = r.card"""
 
 
 @query("h23_recommendations", _recommendation_sql())
 def h23_recommendations(spark, d):
     """Sixteen recommendation rules over flags, bands, changes and trends."""
     h = diagnosed(spark, d).withColumns({"feed": F.col("feed_A") + F.col("feed_B"), "biogas": F.col("biogas_A") + F.col("biogas_B"), "ch4": F.round(F.col("biogas_A") * F.col("purity_A") / 100 + F.col("biogas_B") * F.col("purity_B") / 100, 6)})
-    return H.recommendations(E.robust_trend(h, KEYS, ["date"], MOVES), KEYS, "date")
+    r = H.recommendations(E.robust_trend(h, KEYS, ["date"], MOVES), KEYS, "date")
+    return r.withColumns({"evidence": F.array_join("evidence", " | "), "actions": F.array_join("actions", " | ")})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import ratio_band
+from tidemark.functions.scalars import ratio, ratio_band
 from tidemark.operators import learning as L
 from tidemark.operators import series as E
 from tidemark.operators import stats as G
@@ -50,10 +50,13 @@ def j4_j5_random_forest(spark, d):
     return made[0].unionByName(made[1])
 
 
-@query("j6_gram_sums", f"with {ROWS} select series_id, count(*) as n, round(sum(p1 * p1) / 1e6, 4) as p1__p1, round(sum(p1 * p7) / 1e6, 4) as p1__p7, round(sum(pm * y) / 1e6, 4) as pm__y from train where p7 is not null group by 1")
+_PRODUCTS = [(a, b) for i, a in enumerate(MODELS) for b in MODELS[i:]]
+
+
+@query("j6_gram_sums", f"with {ROWS} select series_id, count(*) as n, {', '.join(f'round(sum({a} * {b}) / 1e6, 4) as {a}__{b}' for a, b in _PRODUCTS)}, {', '.join(f'round(sum({a} * y) / 1e6, 4) as {a}__y' for a in MODELS)} from train where p7 is not null group by 1")
 def j6_gram_sums(spark, d):
     g = L.gram(L.year_split(rows(spark, d), "date", HOLDOUT)[0], ["series_id"], MODELS, "y")
-    return g.select("series_id", "n", *(F.round(F.col(c) / 1e6, 4).alias(c) for c in ("p1__p1", "p1__p7", "pm__y")))
+    return g.select("series_id", "n", *(F.round(F.col(c) / 1e6, 4).alias(c) for c in g.columns if "__" in c))
 
 
 def stack(spark, d) -> dict[str, float]:
@@ -62,10 +65,46 @@ def stack(spark, d) -> dict[str, float]:
     return dict(zip(MODELS, L.nonnegative_weights(L.gram(meta, [], MODELS, "y").first().asDict(), MODELS)))
 
 
-@query("j6_j7_stacked_predictions")
+def _stack_sql() -> str:
+    """Weights by trying each support of the three models: determinants of the support's sums, and the least loss of those without a negative one."""
+    g = {(a, b): f"g{min(i, j)}{max(i, j)}" for i, a in enumerate(MODELS) for j, b in enumerate(MODELS)}
+    sums = ", ".join([f"sum({MODELS[i]} * {MODELS[j]}) as g{i}{j}" for i in range(3) for j in range(i, 3)] + [f"sum({m} * y) as y{i}" for i, m in enumerate(MODELS)])
+    at = lambda i, j: g[MODELS[i], MODELS[j]]
+    tries = [f"select {', '.join(f'y{i} / {at(i, i)}' if k == i else '0.0' for k in range(3))} from s" for i in range(3)]
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        det = f"({at(i, i)} * {at(j, j)} - {at(i, j)} * {at(i, j)})"
+        w = {i: f"(y{i} * {at(j, j)} - y{j} * {at(i, j)}) / {det}", j: f"(y{j} * {at(i, i)} - y{i} * {at(i, j)}) / {det}"}
+        tries.append(f"select {', '.join(w.get(k, '0.0') for k in range(3))} from s")
+    det3 = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+    whole = [[at(i, j) for j in range(3)] for i in range(3)]
+    part = lambda k: [[f"y{i}" if j == k else whole[i][j] for j in range(3)] for i in range(3)]
+    tries.append(f"select {', '.join(f'{det3(part(k))} / {det3(whole)}' for k in range(3))} from s")
+    loss = " + ".join(f"w{i} * w{j} * {at(i, j)}" for i in range(3) for j in range(3)) + " - 2 * (" + " + ".join(f"w{i} * y{i}" for i in range(3)) + ")"
+    return f"""s as (select {sums} from train where year(date) > {HOLDOUT - 3} and p1 is not null and p7 is not null and pm is not null and y is not null),
+tried(w0, w1, w2) as (select 0.0, 0.0, 0.0 union all {' union all '.join(tries)}),
+stack as (select w0, w1, w2 from tried, s where w0 >= 0 and w1 >= 0 and w2 >= 0 order by {loss} limit 1)"""
+
+
+STACK = _stack_sql()
+
+
+@query("j6_weights", f"with {ROWS}, {STACK} select unnest(['p1', 'p7', 'pm']) as model, unnest([round(w0, 6), round(w1, 6), round(w2, 6)]) as weight from stack")
+def j6_weights(spark, d):
+    """The stack's weights, least squares without negative ones, over all series of the meta block."""
+    return spark.createDataFrame([(k, round(w, 6)) for k, w in stack(spark, d).items()], "model string, weight double")
+
+
+@query("j6_j7_stacked_predictions", f"with {ROWS}, {STACK} select series_id, date, round(w0 * p1 + w1 * p7 + w2 * pm, 3) as prediction, y from holdout, stack")
 def j6_j7_stacked_predictions(spark, d):
     holdout = L.year_split(rows(spark, d), "date", HOLDOUT)[1]
-    return holdout.select("series_id", "date", F.round(L.combine(stack(spark, d)), 4).alias("prediction"), "y")
+    return holdout.select("series_id", "date", F.round(L.combine(stack(spark, d)), 3).alias("prediction"), "y")
+
+
+@query("j9_prediction_table", f"with {ROWS}, {STACK} select series_id, date, y as true, round(w0 * p1 + w1 * p7 + w2 * pm, 3) as predicted, x, round(y / x, 6) as yield from holdout, stack where y is not null and p1 is not null and p7 is not null and pm is not null")
+def j9_prediction_table(spark, d):
+    """Truth, the stack's prediction and diagnostics (load and yield) of each held-out row."""
+    holdout = L.year_split(rows(spark, d), "date", HOLDOUT)[1].withColumn("yield", F.round(ratio("y", "x"), 6))
+    return L.prediction_table(holdout, ["series_id", "date"], "y", F.round(L.combine(stack(spark, d)), 3), ["x", "yield"])
 
 
 @query("j7_combine", f"with {ROWS} select series_id, date, round(0.5 * p1 + 0.25 * p7 + 0.25 * pm, 6) as prediction from holdout")

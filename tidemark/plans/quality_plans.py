@@ -8,7 +8,7 @@ from tidemark.operators import quality as C
 from tidemark.plans import inputs as I
 from tidemark.plans.registry import query
 
-CLASSES = f"""{I.RAW_CELLS}, classed as (select series_id, event_id, raw_value, case when raw_value is null or trim(raw_value) in ('', 'nan') then 'MISSING' when try_cast(raw_value as double) is null then 'INVALID_PARSE'
+CLASSES = f"""{I.RAW_CELLS}, classed as (select series_id, event_id, raw_value, case when raw_value is null or trim(raw_value) = '' then 'MISSING' when try_cast(raw_value as double) is null or not isfinite(try_cast(raw_value as double)) then 'INVALID_PARSE'
   when try_cast(raw_value as double) = 0 then 'MISSING_ZERO_SENTINEL' when try_cast(raw_value as double) < 0 then 'INVALID_RANGE' else 'VALID' end as status from raw_cells),
 classes as (select *, case when status = 'VALID' then try_cast(raw_value as double) end as value from classed)"""
 
@@ -66,23 +66,35 @@ def c6_usable_values(spark, d):
     return graded(spark, d).select("event_id", C.usable_value().alias("clean_value"))
 
 
-@query("c7_ledger", f"with {I.PANEL} select series_id, date, unnest(['temperature_A', 'pH_A', 'VFA_B']) as field, unnest([temperature_A, pH_A, VFA_B]) as value from panel")
+PANEL_FIELDS = [f"{v}_{s}" for v in [*I.PANEL_FORMULAS, "VFA_TA"] for s in "AB"]
+
+
+@query("c7_ledger", f"with {I.PANEL} select series_id, date, unnest([{', '.join(map(repr, PANEL_FIELDS))}]) as field, unnest([{', '.join(PANEL_FIELDS)}]) as value from panel")
 def c7_ledger(spark, d):
-    l = C.ledger(I.panel(spark, d), ["series_id", "date"], ["temperature_A", "pH_A", "VFA_B"])
+    l = C.ledger(I.panel(spark, d), ["series_id", "date"], PANEL_FIELDS)
     return l.select("series_id", "date", "field", F.col("raw_value").cast("double").alias("value"))
 
 
-@query("c8_clean_frame", f"with {SIDED} select series_id, date, max(case when field = 'VFA_A' then value end) as VFA_A, max(case when field = 'ALK_B' then value end) as ALK_B from long group by all")
+SIDED_FIELDS = [f"{v}_{s}" for v in ("VFA", "ALK", "temperature") for s in "AB"]
+
+
+@query("c8_clean_frame", f"with {SIDED} select series_id, date, {', '.join(f"max(case when field = '{f}' then value end) as {f}" for f in SIDED_FIELDS)} from long group by all")
 def c8_clean_frame(spark, d):
-    return C.clean_frame(sided(spark, d), ["series_id", "date"], ["VFA_A", "ALK_B"])
+    return C.clean_frame(sided(spark, d), ["series_id", "date"], SIDED_FIELDS)
 
 
 SUMMARY = "select series_id, count(*) filter (where status = 'VALID') as valid, count(*) filter (where status like 'MISSING%') as missing, count(*) filter (where status like 'SUSPECT%') as suspect, count(*) filter (where status like 'INVALID%') as invalid from cells group by 1"
 
 
-@query("c9_summary", f"with {GRADED} {SUMMARY}")
+_BY_STATUS = """with each_status as (select series_id, status, count(*) as n from cells group by all),
+by_each as (select series_id, string_agg(status || '=' || n, ',' order by status) as by_status from each_status group by 1)"""
+
+
+@query("c9_summary", f"with {GRADED}, counted as ({SUMMARY}), {_BY_STATUS.removeprefix('with ')} select counted.*, by_status from counted join by_each using (series_id)")
 def c9_summary(spark, d):
-    return C.summary(graded(spark, d), ["series_id"])
+    s = C.summary(graded(spark, d), ["series_id"])
+    pairs = F.transform(F.map_entries("by_status"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return s.withColumn("by_status", F.array_join(F.array_sort(pairs), ","))
 
 
 @query("c10_flagged", f"with {GRADED} select event_id, status, (select count(*) from cells where status <> 'VALID') as total from cells where status <> 'VALID' order by event_id limit 500")

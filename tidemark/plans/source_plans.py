@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import contract as B
+from tidemark import dims
 from tidemark.operators import joins as J
 from tidemark.operators import quality as C
 from tidemark.plans import forecast_plans as FP
@@ -37,11 +41,21 @@ def a1_raw_json(spark, d):
     return raw.withColumn("value", F.col("value").try_cast("double"))
 
 
-@query("a2_imputation_log", "select distinct event_type as field, cast(ts as date) as date from events where event_id % 13 = 0 and event_id % 7 <> 0")
+_ALIASED = ", ".join(f"('{a}', '{c}')" for a, c in dims.FIELD_ALIASES.items())
+
+
+@query("a2_imputation_log", f"select distinct canonical as field, cast(ts as date) as date from events join (values {_ALIASED}) a(alias, canonical) on event_type = alias where event_id % 7 <> 0")
 def a2_imputation_log(spark, d):
-    """A2: cells named by a log, some of its dates unreadable."""
-    log = I.table(spark, d, "events").filter("event_id % 13 = 0").select(F.col("event_type").alias("field"), F.when(F.col("event_id") % 7 == 0, "?").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("date"))
-    return B.distinct_cells(log.withColumn("date", B.to_day("date")), ["field", "date"])
+    """A2: cells named by a log file under aliases, some of its dates unreadable and some of its fields unknown; a broken log adds none."""
+    path = A.work_folder(spark, "log")
+    i = F.col("event_id")
+    log = I.table(spark, d, "events").select(F.when(i % 7 == 0, "?").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias(" date"), F.when(i % 11 == 0, F.concat(F.lit(" "), "event_type")).otherwise(F.col("event_type")).alias("field "))
+    A.write_csv(log, path)
+    A.write_csv(log.withColumnRenamed("field ", "column"), f"{path}-broken")
+    aliases = spark.createDataFrame(list(dims.FIELD_ALIASES.items()), "alias string, canonical string")
+    known = sorted(set(dims.FIELD_ALIASES.values()))
+    broken = A.read_imputation_log(spark, f"{path}-broken", known, aliases).unionByName(A.read_imputation_log(spark, f"{path}-absent", known, aliases))
+    return A.read_imputation_log(spark, path, known, aliases).unionByName(broken)
 
 
 @query("a3_load_raw", f"with {I.DAILY} select m.series_id, m.date, m.n, t.value from daily m left join (select * from daily where n % 2 = 0) t on m.series_id = t.series_id and m.date = t.date order by m.date")
@@ -85,16 +99,52 @@ def a9_content_ids(spark, d):
     return A.new_content(rows, rows.filter("doc_id % 4 = 0"), "doc_id")
 
 
-@query("a10_a11_stored_predictions", f"with {FP.BLEND} select series_id as run_id, horizon, target_date, round(prediction, 4) as prediction from blended where day(origin_date) = 15")
-def a10_a11_stored_predictions(spark, d):
-    """All forecasts appended to a state table and read back; of these, the SQL names those of a month's 15th day."""
+def stored(spark, d):
+    """All five state tables after one round: datasets and their quality, the runs of all origins, their predictions, matured errors."""
     path = A.work_folder(spark, "state")
-    tables = A.create_tables(spark, path)
-    rows = FP.blended(spark, d).select(F.col("series_id").alias("run_id"), F.lit("y").alias("target"), F.col("horizon").cast("int").alias("horizon"), "target_date", "prediction", F.lit("AVAILABLE").alias("status"), F.lit(None).cast("string").alias("reason"))
-    rows.write.mode("append").parquet(f"{path}/predictions")
-    back = spark.read.schema(tables["predictions"].schema).parquet(f"{path}/predictions")
-    origin = F.date_sub("target_date", F.col("horizon"))
-    return back.filter(F.dayofmonth(origin) == 15).select("run_id", F.col("horizon").cast("long").alias("horizon"), "target_date", F.round("prediction", 4).alias("prediction"))
+    A.create_tables(spark, path)
+    summaries = C.summary(graded(spark, d), ["series_id"])
+    about = A.describe(I.daily(spark, d), summaries.drop("by_status"), ["series_id"], "date", "2024-01-28")
+    A.append(spark, path, "datasets", about.withColumn("dataset_id", F.col("series_id")))
+    A.append(spark, path, "dq_summary", summaries.withColumnsRenamed({"series_id": "dataset_id", "by_status": "counts"}))
+    made = FP.blended(spark, d).withColumnRenamed("series_id", "dataset_id")
+    A.save_forecasts(spark, path, made, "methane", "biogas", "v1", datetime.datetime(2024, 1, 31))
+    A.append(spark, path, "reliability_errors", FP.error_rows(spark, d).withColumnsRenamed({"series_id": "dataset_id", "expert": "expert_id"}))
+    return A.read_tables(spark, path)
+
+
+RUN_ID = "series_id || '/' || cast(origin_date as varchar)"
+PURITY = f"""first as (select series_id, origin_date, target_date, max(case when target = 'methane' then prediction end) as gas, max(case when target = 'biogas' then prediction end) as volume from blended where horizon = 1 and prediction is not null group by all),
+purity as (select {RUN_ID} as run_id, 'purity_derived' as target, 1 as horizon, target_date, 100 * gas / volume as prediction from first where volume > 0 and gas >= 0 and gas <= volume)"""
+
+
+@query("a10_a11_stored_predictions", f"with {FP.BLEND}, {PURITY} select {RUN_ID} as run_id, target, horizon, target_date, round(prediction, 5) as prediction from blended where prediction is not null union all select run_id, target, horizon, target_date, round(prediction, 5) from purity")
+def a10_a11_stored_predictions(spark, d):
+    """The measured targets' forecasts of all origins and the purity derived from them, appended to a state table and read back."""
+    return stored(spark, d)["predictions"].select("run_id", "target", F.col("horizon").cast("long").alias("horizon"), "target_date", F.round("prediction", 5).alias("prediction"))
+
+
+@query("a11_model_runs", f"with {FP.BLEND} select {RUN_ID} as run_id, series_id as dataset_id, origin_date, 'v1' as model_version, 'AVAILABLE' as status, count(*) as n from blended where prediction is not null group by all")
+def a11_model_runs(spark, d):
+    """One run row for each dataset and origin, its audit a JSON object with an entry for each target and horizon."""
+    n = F.size(F.from_json("audit", "map<string,double>")).cast("long").alias("n")
+    return stored(spark, d)["model_runs"].select("run_id", "dataset_id", "origin_date", "model_version", "status", n)
+
+
+_COUNTED = {
+    "datasets": "select count(distinct series_id) from daily",
+    "dq_summary": "select count(distinct series_id) from cells",
+    "model_runs": "select count(distinct (series_id, origin_date)) from blended where prediction is not null",
+    "predictions": "select (select count(*) from blended where prediction is not null) + (select count(*) from purity)",
+    "reliability_errors": "select count(*) from errors",
+}
+
+
+@query("a10_state_tables", f"with {FP.BLEND}, {PURITY}, {GRADED}, {I.DAILY} " + " union all ".join(f"select '{k}' as name, ({v}) as n" for k, v in _COUNTED.items()))
+def a10_state_tables(spark, d):
+    """A10: how many rows each of the five state tables has once a round is stored."""
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in stored(spark, d).items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("a13_merge_maps", "select event_id, case when event_id % 2 = 0 then 'new' else 'old' end as a, case when event_id % 3 = 0 then 'added' end as b from events")
@@ -107,5 +157,5 @@ def a13_merge_maps(spark, d):
 
 @query("a14_descriptor", f"with {GRADED}, s as ({SUMMARY}), {I.DAILY}, spans as (select series_id, min(date) as first_date, max(date) as latest_date, count(*) as row_count from daily group by 1) select spans.*, valid, missing, suspect, invalid, case when row_count >= 20 then 'READY' else 'INSUFFICIENT_HISTORY' end as status, array_to_string(list_filter([case when latest_date > date '2024-01-28' then 'FUTURE_DATED' end, case when suspect + invalid > 0 then 'QUALITY_REVIEW' end], lambda w: w is not null), ',') as warnings from spans left join s using (series_id)")
 def a14_descriptor(spark, d):
-    t = A.describe(I.daily(spark, d), C.summary(graded(spark, d), ["series_id"]), ["series_id"], "date", "2024-01-28")
+    t = A.describe(I.daily(spark, d), C.summary(graded(spark, d), ["series_id"]).drop("by_status"), ["series_id"], "date", "2024-01-28")
     return t.withColumn("warnings", F.array_join("warnings", ","))
