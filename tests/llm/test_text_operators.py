@@ -254,6 +254,12 @@ def check_removed(docs, texts):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got if r["doc_id"] is not None} == removed(texts)
     for r in got:
         assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] and len(r["kept"].encode().split()) == r["n_words"] - r["n_removed"]
+    words = {i: (t or "").split() for i, t in texts}
+    for r in got:
+        for f in r["factors"]:
+            at = f["source_start"]
+            assert (f["source"], at) < (r["doc_id"], f["start"])
+            assert words[f["source"]][at : at + f["end"] - f["start"]] == words[r["doc_id"]][f["start"] : f["end"]]
 
 
 def test_repeated_passages(documents, texts):
@@ -272,6 +278,29 @@ def test_windows_inside_one_text(spark):
     check_removed(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_factors_go_on_as_long_as_their_source(spark):
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(["x", *a[5:50], *b[10:40], "y"])), (4, " ".join([*a[:19], "z", *a[20:60]]))]
+    got = {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [], 3: [(1, 46, 1, 5), (46, 76, 2, 10)], 4: [(20, 60, 1, 20)]}
+
+
+def test_factors_with_other_words_at_an_end_are_dropped(spark, monkeypatch):
+    """All hashes of windows are equal, so that only the words tell copies."""
+    monkeypatch.setattr(substring_dedup, "window_hashes", lambda h, width, base: np.zeros(max(0, len(h) - width + 1), np.uint64))
+    docs = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(20))), (2, " ".join(f"b{i}" for i in range(20)))], "doc_id long, text string")
+    factors = spark.createDataFrame([(0, 2, 0, 20, 1, 0)], "part int, doc long, start long, length long, source long, source_start long")
+    first = substring_dedup.with_source_words(factors, docs, 20, 10).first()
+    assert bytes(first["first"]).decode() == docs.filter("doc_id = 1").first()["text"] and bytes(first["last"]) == bytes(first["first"])
+
+
+def test_passages_of_rows_that_share_an_id(spark):
+    own = [" ".join(f"{k}{i}" for i in range(40)) for k in "abc"]
+    rows = [(1, own[0]), (1, own[1]), (2, own[1] + " tail"), (3, own[0]), (3, own[2])]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got.filter("doc_id in (1, 2)").collect()) == [(1, 40, 0), (1, 40, 0), (2, 41, 40)]
+
+
 def holding(docs, items):
     words = lambda t: LICENSE_WORD.findall(lower(t))
     grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
