@@ -12,6 +12,7 @@ there have that one as their source. So a passage that a third of all documents
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -27,8 +28,8 @@ from tidemark.llm.hashing import window_hashes, word_hashes, words_of
 BASE, BLOCK_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Bytes of text for each block and part, so that a task's group stays as large with any number of documents.
 BLOCK_BYTES = 8 << 20
-#: Windows that a task gathers before it reduces and emits them: about 50 MB.
-FLUSH = 1 << 19
+#: Windows that a task gathers before it reduces and emits them: about 25 MB.
+FLUSH = 1 << 18
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -168,14 +169,30 @@ def places_as_runs(doc: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
     return [doc, start, none, none, none]
 
 
+def furthest(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[int]:
+    """Greedily, of the matches that start inside what is covered so far or right behind it, the one that reaches furthest: the fewest that
+    cover what all of them do. Matches are sorted by document and start; then their ends ascend too."""
+    out: list[int] = []
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
+    starts, ends = start.tolist(), end.tolist()
+    for a, b in zip(first, [*first[1:], len(doc)]):
+        k = int(a)
+        while k < b:
+            out.append(k)
+            k = max(k + 1, bisect.bisect_right(starts, ends[k], k + 1, b) - 1)
+    return out
+
+
 def parse(runs: DataFrame, width: int) -> DataFrame:
-    """The factors of each document: start, length (in words), source and source_start, greedily as long as the source goes on."""
+    """The factors of each document: start, length (in words), source and source_start, greedily: as long as a source goes on,
+    and of these matches the ones that reach furthest."""
 
     def factors(part: int, held: list[bytes]) -> pd.DataFrame:
         own = [np.concatenate(x) for x in zip(*map(unpack_runs, held))]
         order = np.lexsort((own[1], own[0]))
         doc, start, n, source, at = joined(*(x[order] for x in own))
-        return pd.DataFrame({"part": part, "doc": doc, "start": start, "length": n + (width - 1), "source": source, "source_start": at})
+        used = furthest(doc, start, start + n + (width - 1))
+        return pd.DataFrame({"part": part, "doc": doc[used], "start": start[used], "length": n[used] + (width - 1), "source": source[used], "source_start": at[used]})
 
     def each_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, held = None, []
