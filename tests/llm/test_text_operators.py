@@ -285,9 +285,8 @@ def test_factors_go_on_as_long_as_their_source(spark):
     assert got == {1: [], 2: [], 3: [(1, 46, 1, 5), (46, 76, 2, 10)], 4: [(20, 60, 1, 20)]}
 
 
-def test_factors_with_other_words_at_an_end_are_dropped(spark, monkeypatch):
-    """All hashes of windows are equal, so that only the words tell copies."""
-    monkeypatch.setattr(substring_dedup, "window_hashes", lambda h, width, base: np.zeros(max(0, len(h) - width + 1), np.uint64))
+def test_factors_get_the_words_of_their_sources(spark):
+    """A factor that a hash alone had found would be told from its source's words."""
     docs = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(20))), (2, " ".join(f"b{i}" for i in range(20)))], "doc_id long, text string")
     factors = spark.createDataFrame([(0, 2, 0, 20, 1, 0)], "part int, doc long, start long, length long, source long, source_start long")
     first = substring_dedup.with_source_words(factors, docs, 20, 10).first()

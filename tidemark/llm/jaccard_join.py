@@ -31,7 +31,7 @@ BASE = 0x9E3779B97F4A7C15
 #: Bytes of text for each bucket of counts and keys, so that a task's bucket stays as large with any number of documents.
 BUCKET_BYTES = 16 << 20
 #: Entries that a task gathers before it reduces and emits them.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -361,7 +361,7 @@ def jaccard_components(
     percent: int = 75,
     frequent: int = 256,
     table_tokens: int = 1_000_000,
-    bitmap_bits: int = 28,
+    bitmap_bits: int = 27,
     hot_groups: int = 100_000,
     broadcast_rows: int = 1_000_000,
     block_tokens: int = 2_000_000,
