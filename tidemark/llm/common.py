@@ -97,3 +97,18 @@ def release_memory() -> None:
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of all texts: one aggregate, by which blocks are sized."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+def by_block(df: DataFrame, blocks: int, column: str, make, schema: str) -> DataFrame:
+    """make(frame) of each block's rows. column numbers the blocks from 0; a partition holds one of them, so nothing is sorted."""
+
+    def each(batches):
+        import pandas as pd
+
+        held = list(batches)
+        if held:
+            yield make(pd.concat(held, ignore_index=True))
+        held = []
+        release_memory()
+
+    return df.repartitionById(blocks, F.col(column)).mapInPandas(each, schema)

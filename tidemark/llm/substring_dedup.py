@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, release_memory, small_batches, text_bytes
+from tidemark.llm.common import by_block, cut, release_memory, small_batches, text_bytes
 from tidemark.llm.hashing import window_hashes, word_hashes, words_of
 
 #: Two polynomials: the first gives 64 bits, the second chooses the block, which adds its own bits.
@@ -142,25 +142,13 @@ def copied_runs(docs: DataFrame, width: int, blocks: int, parts: int) -> DataFra
         first = np.maximum.accumulate(np.where(copy, 0, np.arange(len(h))))[copy]
         return by_part(doc[copy], start[copy], np.ones(len(first), np.int64), doc[first], start[first])
 
-    def each_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns, block, new = ["part", "runs"], None, []
-        for b in batches:
-            known = b["part"] >= 0
-            rows = []
-            for k, *x in zip(b["block"][~known], b["hashes"][~known], b["runs"][~known]):
-                if k != block:
-                    rows += look_up(new) if new else []
-                    block, new = k, []
-                new.append(x)
-            yield pd.concat([pd.DataFrame(rows, columns=columns), b.loc[known, columns]])
-        if new:
-            yield pd.DataFrame(look_up(new), columns=columns)
-        new = []
-        release_memory()
+    def each_block(b: pd.DataFrame) -> pd.DataFrame:
+        known = b["part"] >= 0
+        rows = look_up(list(zip(b["hashes"][~known], b["runs"][~known]))) if not known.all() else []
+        return pd.concat([pd.DataFrame(rows, columns=["part", "runs"]), b.loc[known, ["part", "runs"]]])
 
-    # One block at a time is held, read in the order of blocks; what is known to be a copy passes through.
-    rows = docs.mapInPandas(gather, "block int, part int, hashes binary, runs binary")
-    return rows.repartition("block").sortWithinPartitions("block").mapInPandas(each_block, "part int, runs binary")
+    # What is known to be a copy passes through.
+    return by_block(docs.mapInPandas(gather, "block int, part int, hashes binary, runs binary"), blocks, "block", each_block, "part int, runs binary")
 
 
 def places_as_runs(doc: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
@@ -183,32 +171,18 @@ def furthest(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[int]:
     return out
 
 
-def parse(runs: DataFrame, width: int) -> DataFrame:
+def parse(runs: DataFrame, width: int, parts: int) -> DataFrame:
     """The factors of each document: start, length (in words), source and source_start, greedily: as long as a source goes on,
     and of these matches the ones that reach furthest."""
 
-    def factors(part: int, held: list[bytes]) -> pd.DataFrame:
-        own = [np.concatenate(x) for x in zip(*map(unpack_runs, held))]
+    def factors(b: pd.DataFrame) -> pd.DataFrame:
+        own = [np.concatenate(x) for x in zip(*map(unpack_runs, b["runs"]))]
         order = np.lexsort((own[1], own[0]))
         doc, start, n, source, at = joined(*(x[order] for x in own))
         used = furthest(doc, start, start + n + (width - 1))
-        return pd.DataFrame({"part": part, "doc": doc[used], "start": start[used], "length": n[used] + (width - 1), "source": source[used], "source_start": at[used]})
-
-    def each_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, held = None, []
-        for b in batches:
-            for p, r in zip(b["part"], b["runs"]):
-                if p != part:
-                    if held:
-                        yield factors(part, held)
-                    part, held = p, []
-                held.append(r)
-        if held:
-            yield factors(part, held)
-        held = []
-        release_memory()
+        return pd.DataFrame({"part": b["part"].iat[0], "doc": doc[used], "start": start[used], "length": n[used] + (width - 1), "source": source[used], "source_start": at[used]})
 
-    return runs.repartition("part").sortWithinPartitions("part").mapInPandas(each_part, "part int, doc long, start long, length long, source long, source_start long")
+    return by_block(runs, parts, "part", factors, "part int, doc long, start long, length long, source long, source_start long")
 
 
 def with_source_words(factors: DataFrame, docs: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
@@ -270,7 +244,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for c, k in zip(carry, own_columns)))
     carried = "".join(f", {k} {d.schema[k].dataType.simpleString()}" for k in own_columns)
     known = d.select("doc_id", "text").filter("doc_id is not null")
-    factors = cut(parse(copied_runs(known, width, blocks, parts), width))
+    factors = cut(parse(copied_runs(known, width, blocks, parts), width, parts))
     copies = with_source_words(factors, known, width, broadcast_rows)
 
     def part_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,5 +288,5 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         release_memory()
 
     both = texts.unionByName(copies.withColumnRenamed("doc", "doc_id"), allowMissingColumns=True)
-    out = both.repartition("part").sortWithinPartitions("part", "doc_id", F.col("start").isNull(), "start").mapInPandas(put_together, schema)
+    out = both.repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", F.col("start").isNull(), "start").mapInPandas(put_together, schema)
     return out.select(F.col("doc_id").alias(id_col), "n_words", "n_removed", "spans", "factors", "kept", "kept_sha256", *(F.col(k).alias(c) for c, k in zip(carry, own_columns)))
