@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, partitions, release_memory, small_batches, text_bytes
+from tidemark.llm.common import by_block, cut, partitions, release_memory, small_batches, text_bytes
 from tidemark.llm.components import connected_components
 from tidemark.llm.hashing import mix, window_hashes, word_hashes, words_of
 
@@ -166,7 +166,7 @@ def frequent_tokens(docs: DataFrame, width: int, buckets: int, hot: dict, least:
         found = pd.DataFrame({"token": v[n >= least].astype(np.int64), "n": n[n >= least], "bits": None})
         return pd.concat([found, pd.DataFrame({"token": [first], "n": [0], "bits": [own.tobytes()]})])
 
-    counts = cut(docs.mapInPandas(gather, "bucket int, tokens binary").groupBy("bucket").applyInPandas(count, "token long, n long, bits binary"))
+    counts = cut(by_block(docs.mapInPandas(gather, "bucket int, tokens binary"), buckets, "bucket", count, "token long, n long, bits binary"))
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
     for r in counts.filter("n = 0").toLocalIterator():
         own = np.frombuffer(r["bits"], np.uint8)
@@ -251,10 +251,9 @@ def candidate_edges(docs: DataFrame, width: int, buckets: int, percent: int, hot
         u = np.concatenate([u, np.frombuffer(b"".join(rest["a"]), np.int64)])
         v = np.concatenate([v, np.frombuffer(b"".join(rest["b"]), np.int64)])
         u, v = forest(u, v) if len(u) else (u, v)
-        release_memory()
         return pd.DataFrame({"u": u, "v": v})
 
-    return docs.mapInPandas(gather, "bucket int, kind int, a binary, b binary, c binary").groupBy("bucket").applyInPandas(link, "u long, v long").distinct()
+    return by_block(docs.mapInPandas(gather, "bucket int, kind int, a binary, b binary, c binary"), buckets, "bucket", link, "u long, v long").distinct()
 
 
 def similar_pairs(sets: list[np.ndarray], other: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
