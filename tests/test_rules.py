@@ -133,7 +133,7 @@ def test_cell_classes(spark):
 def test_weights_sum_to_one(spark, sf):
     from tidemark.plans.forecast_plans import weighted
 
-    sums = weighted(spark, sf).groupBy("series_id", "origin_date", "horizon").agg(F.sum("weight").alias("w")).agg(F.min("w"), F.max("w")).first()
+    sums = weighted(spark, sf).groupBy("series_id", "target", "origin_date", "horizon").agg(F.sum("weight").alias("w")).agg(F.min("w"), F.max("w")).first()
     assert abs(sums[0] - 1) < 1e-9 and abs(sums[1] - 1) < 1e-9
 
 
