@@ -227,7 +227,7 @@ def united(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 20, carry: tuple[str, ...] = (), broadcast_rows: int = 200_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 20, carry: tuple[str, ...] = (), broadcast_rows: int = 0) -> DataFrame:
     """One row for each row of docs: id, n_words, n_removed, spans (word ranges removed, end exclusive), factors (those that cover them,
     with their source's id and start), kept (words joined by a space), kept_sha256, and the columns of carry.
 
