@@ -208,11 +208,12 @@ def with_source_words(factors: DataFrame, docs: DataFrame, width: int, broadcast
             yield pd.DataFrame(rows, columns=["source", "at", "words"])
         release_memory()
 
-    sources = docs.withColumnRenamed("doc_id", "source").join(F.broadcast(wanted) if few else wanted, "source").select("source", "text", "at")
+    # Beyond broadcast_rows all joins are shuffles, whatever Spark's own threshold is, so that small and large tables have the same plan.
+    sources = docs.withColumnRenamed("doc_id", "source").join(F.broadcast(wanted) if few else wanted.hint("merge"), "source").select("source", "text", "at")
     found = cut(sources.mapInPandas(words_at, "source long, at long, words binary"))
     for name, at in (("first", F.col("source_start")), ("last", F.col("source_start") + F.col("length") - width)):
         own = found.select(F.col("source").alias("_s"), F.col("at").alias("_at"), F.col("words").alias(name))
-        factors = factors.join(F.broadcast(own) if few and found.count() <= broadcast_rows else own, (F.col("source") == F.col("_s")) & (at == F.col("_at")), "left").drop("_s", "_at")
+        factors = factors.join(F.broadcast(own) if few and found.count() <= broadcast_rows else own.hint("merge"), (F.col("source") == F.col("_s")) & (at == F.col("_at")), "left").drop("_s", "_at")
     return factors
 
 
