@@ -116,8 +116,23 @@ reach as (select doc_id, doc_id as root from doc union select e.b, reach.root fr
 select doc_id, cast(coalesce(max(n), 0) as bigint) as n_shingles, min(root) as component_id from reach left join n using (doc_id) group by doc_id
 """
 
+#: All pairs of one label; components by reachability.
+VECTOR_SQL = r"""
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+n as (select *, list_dot_product(e, e) as m from v),
+e as (select a.vec_id as a, b.vec_id as b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where a.m > 0 and b.m > 0 and list_dot_product(a.e, b.e) / sqrt(a.m * b.m) >= 0.93),
+reach as (select vec_id, vec_id as root from embeddings union select e.b, reach.root from reach join e on e.a = reach.vec_id),
+c as (select vec_id, min(root) as component_id from reach group by vec_id),
+l as (select a as vec_id, count(*) as n_links from e group by a)
+select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id, vec_id = component_id as kept
+from embeddings left join l using (vec_id) join c using (vec_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     from tidemark.llm.decontamination import CONTAMINATED_SQL
 
-    return {"op1_decontamination": CONTAMINATED_SQL, "op9_jaccard_join": JACCARD_SQL, "op10_substring_dedup": SUBSTRING_SQL}
+    return {"op1_decontamination": CONTAMINATED_SQL, "op4_vector_dedup": VECTOR_SQL, "op9_jaccard_join": JACCARD_SQL, "op10_substring_dedup": SUBSTRING_SQL}
