@@ -370,6 +370,31 @@ def test_added_tokens_have_the_ids_of_the_library():
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts] and 50256 in got[0]
 
 
+def test_random_white_space_has_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(5)
+    parts = np.array([" ", " ", " ", "  ", "\t", "\n", "\n", "\n\n", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "a", "b", "word", "naïve", "e\u0301.", "don't", "x.", "y,", "!?", "12", "3,4", "…", "漢字", "<|endoftext|>"], dtype=object)
+    weights = np.array([6.0] * 3 + [1] * 12 + [4] * 13 + [0.2])
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = token_files.Encoder(path, 2), Tokenizer.from_file(path)
+    texts = ["a\tb  c", "a\xa0b  c", "tab\there two  spaces", "one\u3000two  three", "a\tb \t c"]
+    texts += ["".join(parts[rng.choice(len(parts), rng.integers(1, 14), p=weights / weights.sum())]) for _ in range(100_000)]
+    for at in range(0, len(texts), 512):
+        chunk = texts[at : at + 512]
+        want = [np.asarray(e.ids, own.kind).tobytes() for e in library.encode_batch(chunk, add_special_tokens=False)]
+        assert own(chunk) == want
+
+
+def test_rows_of_one_id_are_dealt_to_several_files(spark):
+    docs = spark.range(400).selectExpr("7 as doc_id", "concat('text ', id) as text")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = token_files.token_files(docs, path, files=4).collect()
+    assert len({r["file"] for r in got}) > 1 and sorted(r["start"] for r in got)[0] == 0
+    ends = {r["start"] + r["n_tokens"] for r in got}
+    assert len(got) == 400 and {r["start"] for r in got} - {0} == ends - {max(ends)}
+
+
 def test_frames_decompress_alone_and_are_checked(tmp_path):
     import zstandard
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_folder, partitions, schema_and, small_batches
+from tidemark.llm.common import new_folder, partitions, schema_and, small_batches, text_bytes
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
@@ -97,8 +97,8 @@ class Encoder:
     """Packed ids of whole texts, with what the tokenizer gave for a word kept for the next time.
 
     A byte-level BPE never joins a piece of text with what follows behind a space, nor with a single line break between two words, so
-    that a text whose words have one space or line break between them is the sum of its words, each with what stands before it. Other
-    texts, and those that hold an added token such as ``<|endoftext|>``, are encoded as they are. ``most`` bounds the words kept.
+    that a text whose words have one space or line break between them is the sum of its words, each with what stands before it. Texts
+    with any other white space, and those that hold an added token such as ``<|endoftext|>``, are encoded as they are. ``most`` bounds the words kept.
     """
 
     def __init__(self, tokenizer: str, end_id: int, most: int = 1_000_000):
@@ -124,8 +124,9 @@ class Encoder:
         """The text's words, but for the first with the line break before them, if they have one; None where they don't tell the text."""
         if not self.by_words or any(t in text for t in self.added):
             return None
-        words = text.replace("\n", " \n").split(" ")
-        return words if len(words) == len(text.split()) else None
+        if text.replace("\n", " ").split(" ") != text.split():
+            return None  # other white space, or several blanks in a row
+        return text.replace("\n", " \n").split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | tuple] = []
@@ -181,18 +182,21 @@ class Encoder:
 ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, files: int | None = None, frame_bytes: int = 1 << 20, level: int = 1) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, files: int | None = None, file_bytes: int = 1 << 28, frame_bytes: int = 1 << 20, level: int = 1) -> DataFrame:
     """Encodes whole texts and writes them under folder; returns the table of places, itself written there.
 
     The table has id, start (ids of all documents before), n_tokens (end id included), file, frame, place. Null texts count as empty:
-    end_id alone. Documents with the same id stand in the order of their texts; null ids come first. An empty table gives an empty
-    result. A task writes under a name of its own attempt and renames it at its end, so that attempts of lost executors or
+    end_id alone. Documents with the same id stand in the order of a hash of their texts, so that one id's rows can be dealt to
+    several files; null ids come first. An empty table gives an empty result. There are as many files as ``files`` says, else one for
+    each ``file_bytes`` of text, and at least one for each shuffle partition. A very long text is held whole in its task, in one frame
+    of its own size, which must stay below 4 GB. A task writes under a name of its own attempt and renames it at its end, so that attempts of lost executors or
     speculative ones do no harm; only files that the table names count.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(files or partitions(spark), "id").sortWithinPartitions("id", "text")
+    files = files or max(partitions(spark), -(-text_bytes(docs, text_col) // file_bytes))
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(files, "id", "h").sortWithinPartitions("id", "h", "text").drop("h")
     kind = rows.schema["id"].dataType.simpleString()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
