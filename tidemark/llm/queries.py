@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, table
+from tidemark.llm.common import LOWER, UPPER, ascii_lower, crc_mod, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +87,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of all documents with their proofs; where 3 divides the id's crc32, a leaf of the lower-cased text is folded instead."""
+    from tidemark.llm.merkle import fold, leaf_hash, merkle_manifest, proof_hash
+
+    docs = table(spark, sf_dir, "documents")
+    rest, text = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.col("text")
+    changed = F.when(crc_mod(F.col("doc_id"), 3) == 0, leaf_hash([*rest, ascii_lower(text)]))
+    leaves = docs.select("doc_id", "lang", leaf_hash([*rest, text]).alias("leaf"), changed.alias("changed"))
+    found = merkle_manifest(leaves, ["doc_id"])
+    found = found.select("doc_id", "leaf", "subroot", "root", proof_hash(F.col("proof")).alias("proof_sha256"), fold(F.coalesce("changed", "leaf"), F.col("proof")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_license_scan, op4_vector_dedup, op5_url_filter, op6_best_fit_packing, op7_token_files, op8_toxicity, op9_jaccard_join, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_license_scan, op4_vector_dedup, op5_url_filter, op6_best_fit_packing, op7_token_files, op8_toxicity, op9_jaccard_join, op10_substring_dedup, op13_merkle_manifest)}
 
 
 #: Words of a document and a running list of its 20-word windows; the first place of each window stays.
@@ -132,7 +145,63 @@ from embeddings left join l using (vec_id) join c using (vec_id)
 """
 
 
+#: Levels of a tree, more than any table here has at a fanout of 8; a level of one node is the one below.
+TREE_LEVELS = 8
+
+
+def _levels_sql(name: str, group: str, levels: int) -> str:
+    """CTEs {name}1 to {name}{levels} above {name}0 (group, i, h): a run's siblings left and right of each node, then the next level's nodes."""
+    parts = []
+    for k in range(levels):
+        run = f"partition by {group}, i // 8 order by i"
+        many = f"count(*) over (partition by {group}) > 1"
+        parts.append(
+            f"""{name}p{k} as (select {group}, i, h, {many} as many,
+  coalesce(string_agg(h, '') over ({run} rows between unbounded preceding and 1 preceding), '') as l,
+  coalesce(string_agg(h, '') over ({run} rows between 1 following and unbounded following), '') as r from {name}{k}),
+{name}{k + 1} as (select {group}, i // 8 as i, case when bool_or(many) then sha256(string_agg(h, '' order by i)) else min(h) end as h from {name}p{k} group by 1, 2)"""
+        )
+    return ",\n".join(parts)
+
+
+def _climb_sql(name: str, group: str, levels: int, at: str) -> tuple[str, str, str]:
+    """Joins of a row (group, at) with its node at each level, its siblings' hashes, and the folding of column f{name}0."""
+    joins = "\n".join(f"  join {name}p{k} {name}s{k} on {name}s{k}.{group} = b.{group} and {name}s{k}.i = {at} // {8**k}" for k in range(levels))
+    siblings = ", ".join(f"case when {name}s{k}.many then {name}s{k}.l || {name}s{k}.r else '' end" for k in range(levels))
+    return joins, f"concat({siblings})", ", ".join(f"struct_pack(m := {name}s{k}.many, l := {name}s{k}.l, r := {name}s{k}.r)" for k in range(levels))
+
+
+def _merkle_sql() -> str:
+    """Levels unrolled; groups are numbered, as nulls don't join; crc32 bit by bit, over the digits of an id."""
+    field = "coalesce(strlen({0}) || ':' || {0}, '-')"
+    fields = " || ".join(field.format(f"cast({c} as varchar)") for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = f"translate(text, '{UPPER}', '{LOWER}')"
+    low_joins, low_siblings, low_steps = _climb_sql("n", "g", TREE_LEVELS, "b.p")
+    top_joins, top_siblings, top_steps = _climb_sql("t", "a", 4, "b.g")
+    return f"""
+with digits as (select *, cast(doc_id as varchar) as id from documents),
+crc as (select distinct id, xor(list_reduce(flatten(list_transform(range(1, length(id) + 1), lambda k: [ascii(id[k]), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: case when x >= 0 then xor(c, cast(x as bigint)) when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, 4294967295::bigint), 4294967295::bigint) as crc
+  from digits where id is not null),
+leaves as (select doc_id, lang, sha256({fields} || {field.format("text")}) as leaf,
+    sha256({fields} || {field.format(f"case when crc % 3 = 0 then {lower} else text end")}) as changed from digits left join crc using (id)),
+base as (select *, dense_rank() over (order by lang nulls first) - 1 as g, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as p, 0 as a from leaves),
+n0 as (select g, p as i, leaf as h from base),
+{_levels_sql("n", "g", TREE_LEVELS)},
+t0 as (select 0 as a, g as i, h from n{TREE_LEVELS}),
+{_levels_sql("t", "a", 4)},
+climbed as (select b.doc_id, b.leaf, b.changed, sub.h as subroot, top.h as root, sha256({low_siblings} || {top_siblings}) as proof_sha256, [{low_steps}, {top_steps}] as steps
+  from base b
+{low_joins}
+{top_joins}
+  join n{TREE_LEVELS} sub on sub.g = b.g join t4 top on top.a = b.a),
+folded as (select *, list_reduce(list_transform(steps, lambda s: struct_pack(m := s.m, l := s.l, r := s.r, h := '')),
+    lambda x, s: struct_pack(m := s.m, l := s.l, r := s.r, h := case when s.m then sha256(s.l || x.h || s.r) else x.h end), struct_pack(m := false, l := '', r := '', h := changed)).h as folded_root from climbed)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from folded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from tidemark.llm.decontamination import CONTAMINATED_SQL
 
-    return {"op1_decontamination": CONTAMINATED_SQL, "op4_vector_dedup": VECTOR_SQL, "op9_jaccard_join": JACCARD_SQL, "op10_substring_dedup": SUBSTRING_SQL}
+    return {"op1_decontamination": CONTAMINATED_SQL, "op4_vector_dedup": VECTOR_SQL, "op9_jaccard_join": JACCARD_SQL, "op10_substring_dedup": SUBSTRING_SQL, "op13_merkle_manifest": _merkle_sql()}
