@@ -87,6 +87,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives all pages, finds each by its url and id in the capture index, and reads its record."""
+    from tidemark.llm.warc import archive_pages, read_pages
+
+    pages = table(spark, sf_dir, "pages")
+    found = read_pages(spark, archive_pages(pages), pages.select("url", "page_id"), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves of all documents with their proofs; where 3 divides the id's crc32, a leaf of the lower-cased text is folded instead."""
     from tidemark.llm.merkle import fold, leaf_hash, merkle_manifest, proof_hash
@@ -101,7 +110,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_license_scan, op4_vector_dedup, op5_url_filter, op6_best_fit_packing, op7_token_files, op8_toxicity, op9_jaccard_join, op10_substring_dedup, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_license_scan, op4_vector_dedup, op5_url_filter, op6_best_fit_packing, op7_token_files, op8_toxicity, op9_jaccard_join, op10_substring_dedup, op11_warc_index, op13_merkle_manifest)}
 
 
 #: Words of a document and a running list of its 20-word windows; the first place of each window stays.
@@ -145,6 +154,17 @@ from embeddings left join l using (vec_id) join c using (vec_id)
 """
 
 
+#: Base32 of a SHA-1: eight groups of five bytes, each as a number of forty bits.
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html) as payload_bytes, sha1(html) as hex, max(page_id) over (partition by sha1(html)) as best from p),
+b as (select *, list_transform(range(0, 32), lambda k: cast(('0x' || hex[k // 8 * 10 + 1 : k // 8 * 10 + 10]) as bigint) >> (35 - k % 8 * 5) & 31) as fives from d)
+select page_id, payload_bytes, array_to_string(list_transform(fives, lambda v: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[v + 1]), '') as payload_digest,
+  case when page_id is not distinct from best then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from best then best end as refers_to
+from b
+"""
+
 #: Levels of a tree, more than any table here has at a fanout of 8; a level of one node is the one below.
 TREE_LEVELS = 8
 
@@ -204,4 +224,4 @@ select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
 def oracle_sql() -> dict[str, str]:
     from tidemark.llm.decontamination import CONTAMINATED_SQL
 
-    return {"op1_decontamination": CONTAMINATED_SQL, "op4_vector_dedup": VECTOR_SQL, "op9_jaccard_join": JACCARD_SQL, "op10_substring_dedup": SUBSTRING_SQL, "op13_merkle_manifest": _merkle_sql()}
+    return {"op1_decontamination": CONTAMINATED_SQL, "op4_vector_dedup": VECTOR_SQL, "op9_jaccard_join": JACCARD_SQL, "op10_substring_dedup": SUBSTRING_SQL, "op11_warc_index": WARC_SQL, "op13_merkle_manifest": _merkle_sql()}
