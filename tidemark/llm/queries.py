@@ -96,6 +96,12 @@ def op11_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves of all documents with their proofs; where 3 divides the id's crc32, a leaf of the lower-cased text is folded instead."""
     from tidemark.llm.merkle import fold, leaf_hash, merkle_manifest, proof_hash
@@ -110,7 +116,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_license_scan, op4_vector_dedup, op5_url_filter, op6_best_fit_packing, op7_token_files, op8_toxicity, op9_jaccard_join, op10_substring_dedup, op11_warc_index, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_license_scan, op4_vector_dedup, op5_url_filter, op6_best_fit_packing, op7_token_files, op8_toxicity, op9_jaccard_join, op10_substring_dedup, op11_warc_index, op12_phrase_mining, op13_merkle_manifest)}
 
 
 #: Words of a document and a running list of its 20-word windows; the first place of each window stays.
@@ -165,6 +171,27 @@ select page_id, payload_bytes, array_to_string(list_transform(fives, lambda v: '
 from b
 """
 
+#: All phrases of 1 to 3 words, counted one by one; products in 128 bits.
+PHRASE_SQL = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+w as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+k as (select unnest([1, 2, 3]) as k),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as g from w, k where len(w) >= k),
+f as (select lang, k, g, count(*) as f from g group by all),
+n as (select lang, sum(f) as n from f where k = 1 group by lang),
+cand as (select lang, k, g, f as a from f where k > 1 and f >= 10),
+cuts as (select lang, k, g, a, unnest(range(1, k)) as j from cand),
+parts as (select *, array_to_string((string_split(g, ' '))[1:j], ' ') as x, array_to_string((string_split(g, ' '))[j + 1:k], ' ') as y from cuts),
+scored as (select c.lang, c.k, c.g, c.a, c.j, x.f as l, y.f as r, 1000000::hugeint * c.a * c.a // (x.f::hugeint * y.f) as score
+  from parts c join f x on x.lang = c.lang and x.g = c.x and x.k = c.j join f y on y.lang = c.lang and y.g = c.y and y.k = c.k - c.j),
+lowest as (select * from scored qualify row_number() over (partition by lang, g order by score, j) = 1),
+longer as (select lang, part, max(a) as best from (
+  select lang, a, unnest([array_to_string((string_split(g, ' '))[1:2], ' '), array_to_string((string_split(g, ' '))[2:3], ' ')]) as part from cand where k = 3) group by all),
+kept as (select b.* from lowest b left join longer o on o.lang = b.lang and o.part = b.g and b.k = 2 where o.best is null or 100 * o.best < 50 * b.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(g)) as rank from kept)
+select lang, rank, g as phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked join n using (lang) where rank <= 2000
+"""
+
 #: Levels of a tree, more than any table here has at a fanout of 8; a level of one node is the one below.
 TREE_LEVELS = 8
 
@@ -224,4 +251,4 @@ select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
 def oracle_sql() -> dict[str, str]:
     from tidemark.llm.decontamination import CONTAMINATED_SQL
 
-    return {"op1_decontamination": CONTAMINATED_SQL, "op4_vector_dedup": VECTOR_SQL, "op9_jaccard_join": JACCARD_SQL, "op10_substring_dedup": SUBSTRING_SQL, "op11_warc_index": WARC_SQL, "op13_merkle_manifest": _merkle_sql()}
+    return {"op1_decontamination": CONTAMINATED_SQL, "op4_vector_dedup": VECTOR_SQL, "op9_jaccard_join": JACCARD_SQL, "op10_substring_dedup": SUBSTRING_SQL, "op11_warc_index": WARC_SQL, "op12_phrase_mining": PHRASE_SQL, "op13_merkle_manifest": _merkle_sql()}
