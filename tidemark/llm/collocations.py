@@ -22,7 +22,7 @@ from tidemark.llm.common import LOWER, UPPER, cut, partitions, small_batches
 COMMON = 0.001
 SAMPLE, SALTS = 2_000, 32
 #: Bytes of text of which a task counts edges before it sends them on.
-FLUSH = 8 << 20
+FLUSH = 16 << 20
 BREAK, BLANK = 0, 1
 
 
@@ -67,9 +67,7 @@ class Counter:
         for lang, held in self.texts.items():
             w = np.concatenate(held)
             word = w != BREAK
-            # ok[k]: whether k words or more stand from here on in the piece.
-            codes, rows = w, [w]
-            here = word
+            codes, here = w, word  # of k words from each place on, and whether they are in one piece
             for k in range(1, self.n + 1):
                 if k > 1:
                     if len(w) < k:
@@ -94,32 +92,35 @@ class Counter:
 
 
 def count_sequences(docs: DataFrame, words: int, common: list[str]) -> DataFrame:
-    """Partial counts c of lang, node (an edge's words but the last), next (its last; null where a piece ends with node); salt: 1 for a node of common words."""
+    """Partial counts c of grams: an edge's words but the last (its node), a tab, its last word (none where a piece ends with the node), a tab, lang.
+
+    One short text for each, since these rows are most of what is shuffled. spread is -1, or the part of its edges for a node of common words.
+    """
     small_batches(docs.sparkSession, 500)
     usual = set(x.encode("utf-8", "surrogatepass") for x in common)
 
     def each(batches: Iterator) -> Iterator:
+        import zlib
+
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
         counter = Counter(words)
-        schema = pa.schema([("lang", pa.string()), ("node", pa.string()), ("next", pa.string()), ("salt", pa.int32()), ("c", pa.int64())])
 
         def flush() -> Iterator:
             names = pa.array(list(counter.ids), pa.binary())
             special = np.fromiter((x in usual for x in counter.ids), bool, len(counter.ids))
-            for lang, rows, counts in counter.taken():
+            salts = np.fromiter((zlib.crc32(x) % SALTS for x in counter.ids), np.int64, len(counter.ids))
+            for lang, sequence, counts in counter.taken():
                 for at in range(0, len(counts), 1 << 17):
-                    part = [r[at : at + (1 << 17)] for r in rows]
-                    n = len(part[0])
-                    head = part[: words - 1]
-                    node = names.take(pa.array(head[0]))
-                    for r in head[1:]:
-                        node = pc.binary_join_element_wise(node, names.take(pa.array(r)), pa.scalar(b" ", pa.binary()))
-                    last = names.take(pa.array(part[-1])).cast(pa.string()) if len(part) == words else pa.nulls(n, pa.string())
-                    salt = np.all([special[r] for r in head], axis=0).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), node.cast(pa.string()), last, pa.array(salt), pa.array(counts[at : at + n], pa.int64())], schema=schema)
+                    part = [r[at : at + (1 << 17)] for r in sequence]
+                    head, edge = part[: words - 1], len(part) == words
+                    node = pc.binary_join_element_wise(*(names.take(pa.array(r)) for r in head), pa.scalar(b" ", pa.binary()))
+                    last = names.take(pa.array(part[-1])) if edge else pa.scalar(b"", pa.binary())
+                    gram = pc.binary_join_element_wise(node, last, pa.scalar(lang.encode("utf-8", "surrogatepass"), pa.binary()), pa.scalar(b"\t", pa.binary()))
+                    spread = np.where(np.all([special[r] for r in head], axis=0), salts[part[-1]] if edge else 0, -1)
+                    yield pa.RecordBatch.from_arrays([gram.cast(pa.string()), pa.array(spread, pa.int32()), pa.array(counts[at : at + len(part[0])], pa.int64())], names=["gram", "spread", "c"])
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
@@ -128,7 +129,7 @@ def count_sequences(docs: DataFrame, words: int, common: list[str]) -> DataFrame
                     yield from flush()
         yield from flush()
 
-    return docs.mapInArrow(each, "lang string, node string, next string, salt int, c long")
+    return docs.mapInArrow(each, "gram string, spread int, c long")
 
 
 def common_words(docs: DataFrame, bound: int = SAMPLE) -> list[str]:
@@ -176,19 +177,19 @@ def linked_paths(edges: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 def counted(docs: DataFrame, words: int, least: int, lang_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Edges (lang, node, next, c) with c >= least, and the flow of every node (lang, node, c), shorter piece ends among them."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = count_sequences(rows, words, common_words(rows))
-    salt = F.when(F.col("salt") == 1, F.pmod(F.xxhash64("next"), F.lit(SALTS))).otherwise(F.lit(0))
-    dealt = counts.withColumn("spread", salt.cast("int")).repartition(partitions(docs.sparkSession), "lang", "node", "spread")
-    # Both aggregates use the same columns of one exchange and leave filters to their ends, so that it is made once.
-    own = F.sum("c").alias("c"), F.max("salt").alias("salt"), F.count("next").alias("edges")
-    edges = dealt.groupBy("lang", "node", "spread", "next").agg(*own).filter((F.col("edges") > 0) & (F.col("c") >= least))
-    flows = dealt.groupBy("lang", "node", "spread").agg(*own).withColumn("next", F.lit(None).cast("string"))
-    columns = ["lang", "node", "next", "c", "salt", "edges"]
-    both = cut(edges.select(*columns).unionByName(flows.select(*columns)))
+    node = F.substring_index("gram", "\t", 1)
+    dealt = count_sequences(rows, words, common_words(rows)).repartition(partitions(docs.sparkSession), node, "spread").withColumn("node", node)
+    # Both aggregates use all columns of one exchange, and its partitioning, so that it is made once and is the only one.
+    lang = F.expr("substr(gram, length(substring_index(gram, '\t', 2)) + 2)")
+    edges = dealt.groupBy("node", "spread", "gram").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+    edges = edges.select(lang.alias("lang"), "node", F.substring_index(F.substring_index("gram", "\t", 2), "\t", -1).alias("next"), "c", "spread")
+    flows = dealt.groupBy("node", "spread", lang.alias("lang")).agg(F.sum("c").alias("c"))
+    columns = ["lang", "node", "next", "c", "spread"]
+    both = cut(edges.select(*columns).unionByName(flows.withColumn("next", F.lit(None).cast("string")).select(*columns)))
     flow = both.filter("next is null")
-    split = flow.filter("salt = 1").groupBy("lang", "node").agg(F.sum("c").alias("c"))
-    whole = flow.filter("salt = 0").select("lang", "node", "c")
-    return both.filter("next is not null").select("lang", "node", "next", "c"), cut(whole.unionByName(split))
+    split = flow.filter("spread >= 0").groupBy("lang", "node").agg(F.sum("c").alias("c"))
+    whole = flow.filter("spread < 0").select("lang", "node", "c")
+    return both.filter("next <> ''").select("lang", "node", "next", "c"), cut(whole.unionByName(split))
 
 
 def shorter(nodes: DataFrame, ends: DataFrame, k: int) -> DataFrame:
