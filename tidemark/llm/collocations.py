@@ -187,9 +187,9 @@ def counted(docs: DataFrame, words: int, least: int, lang_col: str, text_col: st
     columns = ["lang", "node", "next", "c", "spread"]
     both = cut(edges.select(*columns).unionByName(flows.withColumn("next", F.lit(None).cast("string")).select(*columns)))
     flow = both.filter("next is null")
-    split = flow.filter("spread >= 0").groupBy("lang", "node").agg(F.sum("c").alias("c"))
+    split = cut(flow.filter("spread >= 0").groupBy("lang", "node").agg(F.sum("c").alias("c")))
     whole = flow.filter("spread < 0").select("lang", "node", "c")
-    return both.filter("next <> ''").select("lang", "node", "next", "c"), cut(whole.unionByName(split))
+    return both.filter("next <> ''").select("lang", "node", "next", "c"), whole.unionByName(split)
 
 
 def shorter(nodes: DataFrame, ends: DataFrame, k: int) -> DataFrame:
