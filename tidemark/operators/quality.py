@@ -60,6 +60,11 @@ def grade_history(cells: DataFrame, keys: Sequence[str], order: Sequence[str], *
     cells = cells.withColumns({"_h": F.collect_list("value").over(last), "_d": F.when(F.col("_rn") - F.lag("_rn").over(held) == 1, F.col("value") - F.lag("value").over(held))})
     moved = Window.partitionBy(*keys, F.col("_d").isNull()).orderBy(*order).rowsBetween(-HISTORY, -1)
     cells = cells.withColumn("_dh", F.collect_list("_d").over(moved))
+    return grade(cells.drop("_rn", "_before", "_run"), flat)
+
+
+def grade(cells: DataFrame, flat: str) -> DataFrame:
+    """Grades from _h (values before), _d and _dh (change, and changes before) and _run_n (length of the run of equal cells), which go."""
     # Each median is a column of its own, so that no array is sorted again inside another expression.
     cells = cells.withColumns({"_hm": array_median(F.col("_h")), "_dm": array_median(F.col("_dh"))})
     cells = cells.withColumns({"_hs": array_mad(F.col("_h"), F.col("_hm")), "_ds": array_mad(F.col("_dh"), F.col("_dm"))})
@@ -73,7 +78,7 @@ def grade_history(cells: DataFrame, keys: Sequence[str], order: Sequence[str], *
             "_why": F.when(spike, "ROBUST_DELTA_WINDOW_15").when(outlier, "HAMPEL_WINDOW_15").when(flat_run, "EXACT_REPEAT_7_PLUS"),
         }
     )
-    return graded.withColumns({"status": F.coalesce("_new", "status"), "reason": F.coalesce("_why", "reason")}).drop("_rn", "_before", "_run", "_run_n", "_h", "_d", "_dh", "_hm", "_dm", "_hs", "_ds", "_new", "_why")
+    return graded.withColumns({"status": F.coalesce("_new", "status"), "reason": F.coalesce("_why", "reason")}).drop("_run_n", "_h", "_d", "_dh", "_hm", "_dm", "_hs", "_ds", "_new", "_why")
 
 
 def cross_field(cells: DataFrame, keys: Sequence[str], *, field: str = "variable", side: str = "side", left: str = "VFA", right: str = "ALK") -> DataFrame:

@@ -55,18 +55,19 @@ def rolling_std(c: str, w: WindowSpec, rows: int) -> Column:
     return F.coalesce(F.stddev_samp(c).over(w.rowsBetween(-(rows - 1), 0)), F.lit(0.0))
 
 
-def lagged(c: str, w: WindowSpec, rows: int) -> Column:
-    """The value rows before; at the head the first value, null in series of at most that many rows."""
-    n = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return F.coalesce(F.lag(c, rows).over(w), F.when(n > rows, F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+def lagged(c: str, w: WindowSpec, rows: int, head: tuple[Column, Column] | None = None) -> Column:
+    """The value rows before; at the head the first value, null in series of at most that many rows. head: the series' length and first value, where known."""
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n, first = head or (F.count(F.lit(1)).over(whole), F.first(c).over(whole))
+    return F.coalesce(F.lag(c, rows).over(w), F.when(n > rows, first))
 
 
-def features(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], *, loads: Sequence[str] = (), windows: Sequence[int] = (7, 14, 30), lags: Sequence[int] = (1, 7, 14), retention: Sequence[int] = (5, 10)) -> DataFrame:
-    """All rolling, lag and retention-load features in one projection."""
+def features(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], *, loads: Sequence[str] = (), windows: Sequence[int] = (7, 14, 30), lags: Sequence[int] = (1, 7, 14), retention: Sequence[int] = (5, 10), heads: Mapping[str, tuple[Column, Column]] | None = None) -> DataFrame:
+    """All rolling, lag and retention-load features in one projection. heads: length and first value of the series, for each column, where known."""
     w = by(keys, order)
     new = {f"{c}_rmean{n}": rolling_mean(c, w, n) for c in columns for n in windows}
     new |= {f"{c}_rstd{n}": rolling_std(c, w, n) for c in columns for n in windows}
-    new |= {f"{c}_lag{n}": lagged(c, w, n) for c in columns for n in lags}
+    new |= {f"{c}_lag{n}": lagged(c, w, n, (heads or {}).get(c)) for c in columns for n in lags}
     new |= {f"{c}_load{n}": rolling_mean(c, w, n) for c in loads for n in retention}
     return df.select("*", *(e.alias(k) for k, e in new.items()))
 

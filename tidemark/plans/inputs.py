@@ -39,6 +39,17 @@ def order_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER_DAILY = "order_daily as (select o_orderpriority as series_id, cast(o_orderdate as date) as date, cast(count(*) as double) as x, round(sum(o_totalprice) / 1000.371, 4) as y from orders group by 1, 2)"
 
 
+def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series in order of event_id, one row a day, with values missing in short and long gaps; load is always there."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    gap = (i % 5).isin(1, 2) | (i % 1000).between(300, 460)
+    return e.select(F.lit("all").alias("series_id"), "event_id", F.date_add(F.lit("1970-01-01").cast("date"), (i + F.floor(i / 50)).cast("int")).alias("date"), F.when(~gap, F.col("value")).alias("value"), (F.col("value") * 1.000371937193).alias("load"))
+
+
+ONE_SERIES = """one_series as (select 'all' as series_id, event_id, date '1970-01-01' + cast(event_id + event_id // 50 as integer) as date,
+  case when event_id % 5 in (1, 2) or event_id % 1000 between 300 and 460 then null else value end as value, value * 1.000371937193 as load from events)"""
+
+
 def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series_id, event_id, raw_value and a cell rule: event values as raw text, with blanks, words, zeros, negatives and flat runs."""
     e = table(spark, sf_dir, "events")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import contract_plans, forecast_plans, health_plans, learning_plans, quality_plans, series_plans, source_plans  # noqa: F401
+from tidemark.plans import contract_plans, forecast_plans, health_plans, learning_plans, long_plans, quality_plans, series_plans, source_plans  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL
 
 
