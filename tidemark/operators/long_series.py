@@ -15,19 +15,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import forecast, quality, series
 from tidemark.operators.series import by
-from tidemark.sources.store import work_folder
+from tidemark.sources.store import written
 
 #: Rows of a range.
 ROWS = 100_000
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, so that what reads it twice reads the same rows and partitions."""
-    spark, path, schema = df.sparkSession, work_folder(df.sparkSession, "series"), df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def joined(df: DataFrame, few: DataFrame, on: Sequence[str]) -> DataFrame:
     """df with the other columns of few, which has a row for each of on; nulls match nulls."""
     names = {c: f"_on_{i}" for i, c in enumerate(on)}

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import dims
+from tidemark.operators import forecast as P
 from tidemark.operators import joins as J
 from tidemark.operators import quality as C
 from tidemark.plans import forecast_plans as FP
 from tidemark.plans import inputs as I
 from tidemark.plans.quality_plans import GRADED, SUMMARY, graded
 from tidemark.plans.registry import query
+from tidemark.sources import state as S
 from tidemark.sources import store as A
 
 
@@ -99,51 +101,63 @@ def a9_content_ids(spark, d):
     return A.new_content(rows, rows.filter("doc_id % 4 = 0"), "doc_id")
 
 
-def stored(spark, d):
-    """All five state tables after one round: datasets and their quality, the runs of all origins, their predictions, matured errors."""
-    path = A.work_folder(spark, "state")
-    A.create_tables(spark, path)
-    summaries = C.summary(graded(spark, d), ["series_id"])
-    about = A.describe(I.daily(spark, d), summaries.drop("by_status"), ["series_id"], "date", "2024-01-28")
-    A.append(spark, path, "datasets", about.withColumn("dataset_id", F.col("series_id")))
-    A.append(spark, path, "dq_summary", summaries.withColumnsRenamed({"series_id": "dataset_id", "by_status": "counts"}))
-    made = FP.blended(spark, d).withColumnRenamed("series_id", "dataset_id")
-    A.save_forecasts(spark, path, made, "methane", "biogas", "v1", datetime.datetime(2024, 1, 31))
-    A.append(spark, path, "reliability_errors", FP.error_rows(spark, d).withColumnsRenamed({"series_id": "dataset_id", "expert": "expert_id"}))
-    return A.read_tables(spark, path)
+def forecasts(spark, d):
+    return FP.blended(spark, d).withColumnRenamed("series_id", "dataset_id")
 
 
+def save_round(tables, made, about, summaries, errors) -> None:
+    """All five state tables after a round: datasets and their quality, the runs of all origins, their predictions, matured errors."""
+    tables["datasets"].upsert(about)
+    tables["dq_summary"].upsert(summaries)
+    S.save_runs(tables["model_runs"], made, "v1", CREATED)
+    S.save_predictions(tables["predictions"], made, "methane", "biogas")
+    S.mature_errors(tables["reliability_errors"], errors)
+
+
+CREATED = datetime.datetime(2024, 1, 31)
 RUN_ID = "series_id || '/' || cast(origin_date as varchar)"
 PURITY = f"""first as (select series_id, origin_date, target_date, max(case when target = 'methane' then prediction end) as gas, max(case when target = 'biogas' then prediction end) as volume from blended where horizon = 1 and prediction is not null group by all),
 purity as (select {RUN_ID} as run_id, 'purity_derived' as target, 1 as horizon, target_date, 100 * gas / volume as prediction from first where volume > 0 and gas >= 0 and gas <= volume)"""
 
 
-@query("a10_a11_stored_predictions", f"with {FP.BLEND}, {PURITY} select {RUN_ID} as run_id, target, horizon, target_date, round(prediction, 5) as prediction from blended where prediction is not null union all select run_id, target, horizon, target_date, round(prediction, 5) from purity")
+@query("a10_a11_stored_predictions", f"with {FP.BLEND}, {PURITY} select {RUN_ID} as run_id, target, horizon, target_date, round(prediction, 5) as prediction from blended where prediction is not null and target = 'methane' union all select run_id, target, horizon, target_date, round(prediction, 5) from purity")
 def a10_a11_stored_predictions(spark, d):
-    """The measured targets' forecasts of all origins and the purity derived from them, appended to a state table and read back."""
-    return stored(spark, d)["predictions"].select("run_id", "target", F.col("horizon").cast("long").alias("horizon"), "target_date", F.round("prediction", 5).alias("prediction"))
+    """The gas's forecasts of all origins and the purity derived from them, stored in a state table and read back."""
+    table = S.state_tables(A.work_folder(spark, "state"))["predictions"]
+    S.save_predictions(table, forecasts(spark, d), "methane", "biogas")
+    return table.read(spark).select("run_id", "target", F.col("horizon").cast("long").alias("horizon"), "target_date", F.round("prediction", 5).alias("prediction"))
 
 
 @query("a11_model_runs", f"with {FP.BLEND} select {RUN_ID} as run_id, series_id as dataset_id, origin_date, 'v1' as model_version, 'AVAILABLE' as status, count(*) as n from blended where prediction is not null group by all")
 def a11_model_runs(spark, d):
     """One run row for each dataset and origin, its audit a JSON object with an entry for each target and horizon."""
     n = F.size(F.from_json("audit", "map<string,double>")).cast("long").alias("n")
-    return stored(spark, d)["model_runs"].select("run_id", "dataset_id", "origin_date", "model_version", "status", n)
+    table = S.state_tables(A.work_folder(spark, "state"))["model_runs"]
+    S.save_runs(table, forecasts(spark, d), "v1", CREATED)
+    return table.read(spark).select("run_id", "dataset_id", "origin_date", "model_version", "status", n)
 
 
 _COUNTED = {
     "datasets": "select count(distinct series_id) from daily",
     "dq_summary": "select count(distinct series_id) from cells",
     "model_runs": "select count(distinct (series_id, origin_date)) from blended where prediction is not null",
-    "predictions": "select (select count(*) from blended where prediction is not null) + (select count(*) from purity)",
+    "predictions": "select (select count(*) from blended where prediction is not null and target = 'methane') + (select count(*) from purity)",
     "reliability_errors": "select count(*) from errors",
 }
 
 
 @query("a10_state_tables", f"with {FP.BLEND}, {PURITY}, {GRADED}, {I.DAILY} " + " union all ".join(f"select '{k}' as name, ({v}) as n" for k, v in _COUNTED.items()))
 def a10_state_tables(spark, d):
-    """A10: how many rows each of the five state tables has once a round is stored."""
-    counts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in stored(spark, d).items()]
+    """A10: how many rows each of the five state tables has once a round is stored, and stored again, as after a restart."""
+    tables = S.state_tables(A.work_folder(spark, "state"))
+    summaries = A.written(C.summary(graded(spark, d), ["series_id"]))
+    about = A.describe(I.daily(spark, d), summaries.drop("by_status"), ["series_id"], "date", "2024-01-28").withColumn("dataset_id", F.col("series_id"))
+    experts = A.written(FP.expert_rows(spark, d))
+    made = A.written(P.blend(P.weights(P.past_errors(experts, FP.KEYS), FP.KEYS), FP.KEYS).withColumnRenamed("series_id", "dataset_id"))
+    errors = experts.filter("y_true is not null").withColumn("sq_error", F.col("error") * F.col("error")).withColumnsRenamed({"series_id": "dataset_id", "expert": "expert_id"})
+    for _ in range(2):
+        save_round(tables, made, about, summaries.withColumnsRenamed({"series_id": "dataset_id", "by_status": "counts"}), errors)
+    counts = [t.read(spark).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()]
     return reduce(DataFrame.unionByName, counts)
 
 

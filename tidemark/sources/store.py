@@ -1,4 +1,4 @@
-"""Reading raw tables as text, writing results, and the state tables between runs."""
+"""Reading raw tables as text, writing results, and ids by content."""
 
 from __future__ import annotations
 
@@ -21,6 +21,13 @@ def work_folder(spark: SparkSession, kind: str) -> str:
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, kind: str = "table") -> DataFrame:
+    """df as a table in the shared folder, so that what reads it twice reads the same rows and partitions."""
+    spark, path, schema = df.sparkSession, work_folder(df.sparkSession, kind), df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_raw(spark: SparkSession, path: str, columns: Sequence[str], kind: str = "csv") -> DataFrame:
     """All columns of the contract as text, whatever the file holds; columns that it lacks are null, others are left out."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -89,51 +96,6 @@ def new_content(rows: DataFrame, registry: DataFrame, order: str) -> DataFrame:
     return first.join(registry.select("content_id").distinct(), "content_id", "left_anti")
 
 
-#: The state tables between runs.
-TABLES = {
-    "datasets": "dataset_id string, file_name string, first_date date, latest_date date, row_count long, status string, created_at timestamp, warnings array<string>",
-    "dq_summary": "dataset_id string, valid long, missing long, suspect long, invalid long, counts map<string,long>",
-    "model_runs": "run_id string, dataset_id string, model_version string, origin_date date, status string, created_at timestamp, audit string",
-    "predictions": "run_id string, dataset_id string, target string, horizon int, target_date date, prediction double, status string, reason string",
-    "reliability_errors": "dataset_id string, target string, horizon int, origin_date date, target_date date, expert_id string, y_true double, error double, sq_error double",
-}
-
-
-def create_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Empty state tables under path."""
-    for name, schema in TABLES.items():
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/{name}")
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()}
-
-
-def append(spark: SparkSession, path: str, name: str, rows: DataFrame) -> None:
-    """Appends rows to a state table; columns that they lack are null."""
-    schema = T._parse_datatype_string(TABLES[name])
-    rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields)).write.mode("append").parquet(f"{path}/{name}")
-
-
-def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()}
-
-
-def save_forecasts(spark: SparkSession, path: str, forecasts: DataFrame, gas: str, volume: str, version: str, created_at) -> None:
-    """One run row for each dataset and origin, its measured targets' predictions, and purity_derived for the day after the origin.
-
-    forecasts: dataset_id, target, origin_date, horizon, target_date, prediction. The purity is that of the first horizon's gas in its
-    volume, and has no row where the two are out of proportion.
-    """
-    from tidemark.functions.scalars import next_day_purity
-
-    run = F.concat_ws("/", F.col("dataset_id"), F.col("origin_date").cast("string"))
-    rows = forecasts.filter(F.col("prediction").isNotNull()).withColumn("run_id", run)
-    runs = rows.groupBy("run_id", "dataset_id", "origin_date").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("__h", "target", F.col("horizon").cast("string")), "prediction"))))).alias("audit"))
-    append(spark, path, "model_runs", runs.withColumns({"model_version": F.lit(version), "status": F.lit("AVAILABLE"), "created_at": F.lit(created_at)}))
-    first = rows.filter("horizon = 1").groupBy("run_id", "dataset_id", "target_date").agg(*(F.max(F.when(F.col("target") == t, F.col("prediction"))).alias(c) for t, c in ((gas, "_gas"), (volume, "_volume"))))
-    purity = first.select("run_id", "dataset_id", "target_date", F.lit("purity_derived").alias("target"), F.lit(1).alias("horizon"), next_day_purity("_gas", "_volume")[0].alias("prediction")).filter(F.col("prediction").isNotNull())
-    kept = rows.select("run_id", "dataset_id", "target", "horizon", "target_date", "prediction").unionByName(purity.withColumn("horizon", F.col("horizon").cast("long")))
-    append(spark, path, "predictions", kept.withColumn("status", F.lit("AVAILABLE")))
-
-
 def describe(rows: DataFrame, summaries: DataFrame, keys: Sequence[str], date: str, as_of) -> DataFrame:
     """A descriptor of each dataset: dates, rows, quality counts, status, warnings."""
     base = rows.groupBy(*keys).agg(F.min(date).alias("first_date"), F.max(date).alias("latest_date"), F.count("*").alias("row_count"))
