@@ -171,3 +171,29 @@ def grade_history(cells: DataFrame, keys: Sequence[str], order: Sequence[str], *
     run_n = F.when(F.col("_run") == 0, F.col("_head_n")).when(F.col("_run") == F.col("_runs"), F.col("_tail_n")).otherwise(F.col("_run_n"))
     local = local.withColumns({"_dh": _last(F.concat("_carry", "_dh"), n), "_run_n": run_n})
     return quality.grade(local.drop("_dhi", "_before", "_new", "_run", "_runs", "_carry", "_head_n", "_tail_n", "_at", "_range"), flat)
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, right_at: str, columns: Sequence[str], *, tie: Sequence[str] = (), strict: bool = True, rows: int = ROWS) -> DataFrame:
+    """left with the columns of the last row of right of the same keys before its time (with strict=False: not after it).
+
+    The two tables may have clocks of their own. Their rows are put in one order and cut into ranges, so that a busy key is worked on by
+    many tasks; the last row of right is carried over ranges. Of rows of right at one time the last by ``tie`` counts. Rows of left
+    without one, or without a time, get nulls; nulls in keys match each other.
+    """
+    own = [c for c in left.columns if c not in keys]
+    # At one time, rows of left stand before those of right if these don't count for them, else behind.
+    side = 0 if strict else 2
+    cells = F.struct(*(F.col(c).alias(f"l{i}") for i, c in enumerate(own)))
+    brought = F.struct(F.col(right_at).alias("at"), *(F.col(c).alias(f"r{i}") for i, c in enumerate(columns)))
+    ties = F.struct(F.lit(0).alias("none"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(tie)))
+    events = right.filter(F.col(right_at).isNotNull()).select(*keys, F.col(right_at).alias("_t"), F.lit(1).alias("_side"), ties.alias("_tie"), F.lit(None).cast(left.select(cells).schema[0].dataType).alias("_left"), brought.alias("_right"))
+    asked = left.select(*keys, F.col(at).cast(right.schema[right_at].dataType).alias("_t"), F.lit(side).alias("_side"), F.lit(None).cast(events.schema["_tie"].dataType).alias("_tie"), cells.alias("_left"), F.lit(None).cast(events.schema["_right"].dataType).alias("_right"))
+    order = ["_t", "_side", "_tie"]
+    both = in_ranges(asked.unionByName(events), keys, order, rows)
+    ends = both.groupBy(*keys, "_range").agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_at"))).alias("_end"))
+    back = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    both = joined(both, ends.select(*keys, "_range", F.last("_end", ignorenulls=True).over(back).alias("_carry")), [*keys, "_range"])
+    past = by([*keys, "_range"], ["_at"]).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_found", F.coalesce(F.last("_right", ignorenulls=True).over(past), F.col("_carry"))).filter(F.col("_left").isNotNull())
+    taken = {c: (F.col(c) if c in keys else F.col(f"_left.l{own.index(c)}")) for c in left.columns}
+    return found.select(*(e.alias(c) for c, e in taken.items()), *(F.col(f"_found.r{i}").alias(c) for i, c in enumerate(columns)))

@@ -86,3 +86,17 @@ def c2_c4_long_series(spark, d):
     """C2 to C4 by ranges, with histories and flat runs carried over their ends."""
     cells = C.classify_cells(I.raw_cells(spark, d).withColumn("series_id", F.lit("all")))
     return L.grade_history(cells, KEYS, ORDER, rows=ROWS).select("event_id", "status", "value")
+
+
+@query(
+    "f5_as_of_join",
+    """with r as (select user_id % 3 as k, date '1995-01-01' + cast(event_id * 7 % 2400 as integer) as day, event_id, value from events),
+last as (select * from r qualify row_number() over (partition by k, day order by event_id desc) = 1),
+l as (select o_orderkey, o_custkey % 4 as k, cast(o_orderdate as date) as day from orders)
+select l.o_orderkey, l.k, last.event_id, last.value from l asof left join last on l.k = last.k and l.day > last.day""",
+)
+def f5_as_of_join(spark, d):
+    """for each order the last event of its group before it, of another table and clock."""
+    orders = I.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("k"), F.to_date("o_orderdate").alias("at"))
+    events = I.table(spark, d, "events").select((F.col("user_id") % 3).alias("k"), F.date_add(F.lit("1995-01-01").cast("date"), (F.col("event_id") * 7 % 2400).cast("int")).alias("happened"), "event_id", "value")
+    return L.as_of(orders, events, ["k"], "at", "happened", ["event_id", "value"], tie=["event_id"], rows=ROWS).drop("at")

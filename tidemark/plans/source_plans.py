@@ -16,6 +16,7 @@ from tidemark.plans import forecast_plans as FP
 from tidemark.plans import inputs as I
 from tidemark.plans.quality_plans import GRADED, SUMMARY, graded
 from tidemark.plans.registry import query
+from tidemark.sources import files as N
 from tidemark.sources import state as S
 from tidemark.sources import store as A
 
@@ -101,6 +102,36 @@ def a9_content_ids(spark, d):
     return A.new_content(rows, rows.filter("doc_id % 4 = 0"), "doc_id")
 
 
+def by_type(spark, d, lines) -> str:
+    """Text files of events, a folder for each type, in order of event_id; lines: their text, and the files' first line."""
+    path = A.work_folder(spark, "types")
+    e = I.table(spark, d, "events")
+    rows = e.select("event_type", "event_id", lines.alias("line"))
+    rows = rows.unionByName(e.select("event_type").distinct().select("event_type", F.lit(-1).cast("long").alias("event_id"), F.lit("event_id, note,value").alias("line")))
+    rows.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "line").write.partitionBy("event_type").text(path)
+    return path
+
+
+@query("b3_file_rows", "select event_type, event_id, cast(row_number() over (partition by event_type order by event_id) + 1 as bigint) as source_row from events qualify event_id % 6 <> 0")
+def b3_file_rows(spark, d):
+    """Rows of CSV files by the number of their line, blank lines counted and then left out."""
+    i = F.col("event_id").cast("string")
+    path = by_type(spark, d, F.when(F.col("event_id") % 6 == 0, F.lit("")).otherwise(F.concat(i, F.lit(',"a, b",'), F.col("value").cast("string"))))
+    rows = N.read_numbered_csv(spark, path, ["event_id", "value", "absent"])
+    return rows.filter("event_id is not null").select("event_type", F.col("event_id").cast("long").alias("event_id"), "source_row")
+
+
+@query("a9_file_ids", """select event_type, substring(sha256('event_id, note,value' || chr(10) || string_agg(cast(event_id as varchar) || chr(10), '' order by event_id)), 1, 16) as content_id,
+  strlen('event_id, note,value' || chr(10) || string_agg(cast(event_id as varchar) || chr(10), '' order by event_id)) as bytes, 'first' as run from events group by event_type""")
+def a9_file_ids(spark, d):
+    """Files by what they hold; a second run over them, and over a copy of each, claims none."""
+    path = by_type(spark, d, F.col("event_id").cast("string"))
+    known = N.registry(A.work_folder(spark, "registry"))
+    files = N.file_ids(spark, path).filter(F.col("path").endswith(".txt"))
+    claimed = [N.claim_files(known, rows, run).withColumn("run", F.lit(run)) for run, rows in (("first", files), ("second", files.unionByName(files.withColumn("path", F.concat("path", F.lit("-copy"))))))]
+    return reduce(DataFrame.unionByName, claimed).select(F.regexp_extract("path", "event_type=([^/]+)", 1).alias("event_type"), "content_id", "bytes", "run")
+
+
 def forecasts(spark, d):
     return FP.blended(spark, d).withColumnRenamed("series_id", "dataset_id")
 
