@@ -32,7 +32,8 @@ def test_rows_of_several_splits_count_from_two(spark, tmp_path, small_splits):
 
 
 def test_files_are_known_by_what_they_hold(spark, tmp_path):
-    texts = {"a": b"one", "b": b"two" * 5000, "c": b"one", "d": b""}
+    texts = {"a": b"one", "b": b"two" * 5000, "c": b"one", "d": b"\x00"}
+    (tmp_path / "empty").write_bytes(b"")
     for name, data in texts.items():
         (tmp_path / name).write_bytes(data)
     files = N.file_ids(spark, f"file://{tmp_path}", chunk=1000)

@@ -58,7 +58,7 @@ def read_numbered_csv(spark: SparkSession, path: str, columns: Sequence[str]) ->
 
 
 def file_ids(spark: SparkSession, path: str, *, chunk: int = 4 << 20) -> DataFrame:
-    """path, bytes and content_id of each file under path: the first 16 hex digits of its SHA-256, read a chunk at a time."""
+    """path, bytes and content_id of each file under path: the first 16 hex digits of its SHA-256, read a chunk at a time. Empty files aren't listed."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
 
     def hashed(batches: Iterator) -> Iterator:
