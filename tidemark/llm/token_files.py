@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -93,6 +94,12 @@ class FrameReader:
         return np.frombuffer(data, dtype=self.kind)
 
 
+#: White space but for blanks and line breaks, and two of these in a row.
+ODD_SPACE = [chr(c) for c in range(0x10000) if chr(c).isspace() and chr(c) not in " \n"]
+ODD_ASCII = [c for c in ODD_SPACE if c.isascii()]
+DOUBLE = ("  ", " \n", "\n ", "\n\n")
+
+
 class Encoder:
     """Packed ids of whole texts, with what the tokenizer gave for a word kept for the next time.
 
@@ -124,14 +131,15 @@ class Encoder:
         """The text's words, but for the first with the line break before them, if they have one; None where they don't tell the text."""
         if not self.by_words or any(t in text for t in self.added):
             return None
-        if text.replace("\n", " ").split(" ") != text.split():
-            return None  # other white space, or several blanks in a row
+        if text[0] in " \n" or text[-1] in " \n" or any(two in text for two in DOUBLE) or any(c in text for c in (ODD_ASCII if text.isascii() else ODD_SPACE)):
+            return None
         return text.replace("\n", " \n").split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | tuple] = []
+        out: list[bytes] = []
+        waiting: list[tuple[int, bytes, list[str]]] = []
         new: set[str] = set()
-        get = self.known.get
+        own, there = self.known.__getitem__, self.known.__contains__
         for text in texts:
             words = self.words(text) if text else []
             if not words:
@@ -139,14 +147,19 @@ class Encoder:
                 continue
             head = self.whole(words[0])
             del words[0]
-            packed = list(map(get, words))
-            if None in packed:
-                new.update([w for w, p in zip(words, packed) if p is None])
-                out.append((head, words, packed))
-            else:
-                out.append(head + b"".join(packed))
+            try:
+                out.append(head + b"".join(map(own, words)))
+            except KeyError:
+                new.update(filterfalse(there, words))
+                waiting.append((len(out), head, words))
+                out.append(b"")
         found = self.learn(new)
-        return [x if isinstance(x, bytes) else x[0] + b"".join([found[w] if p is None else p for w, p in zip(x[1], x[2])]) for x in out]
+        for i, head, words in waiting:
+            try:
+                out[i] = head + b"".join(map(own, words))
+            except KeyError:  # there was no room for all
+                out[i] = head + b"".join([found.get(w) or own(w) for w in words])
+        return out
 
     def learn(self, new: set[str]) -> dict[str, bytes]:
         """Packed ids of the words; they are kept while there is room, which frequent words take first.
