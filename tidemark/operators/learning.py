@@ -30,13 +30,22 @@ def tail_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], share:
 
 
 def forest_predictions(train: DataFrame, rows: DataFrame, features: Sequence[str], target: str, prediction: str, *, trees: int = 400, least_leaf: int = 2, seed: int = 42) -> DataFrame:
-    """rows with a random forest's predictions, its trees as deep as Spark allows (30); rows lacking a feature are left out of both."""
+    """rows with a random forest's predictions, its trees as deep as Spark allows (30); rows lacking a feature are left out of both.
+
+    Each row's node in each tree is kept with the rows, so that a level sends the nodes it splits and not all trees so far; many nodes are
+    split in one pass over the rows, which are assembled once.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     assemble = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
-    forest = RandomForestRegressor(featuresCol="_x", labelCol=target, predictionCol=prediction, numTrees=trees, minInstancesPerNode=least_leaf, maxDepth=30, seed=seed)
-    return forest.fit(assemble.transform(train.dropna(subset=[target]))).transform(assemble.transform(rows)).drop("_x")
+    forest = RandomForestRegressor(featuresCol="_x", labelCol=target, predictionCol=prediction, numTrees=trees, minInstancesPerNode=least_leaf, maxDepth=30, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024)
+    fitted = assemble.transform(train.dropna(subset=[target])).select("_x", target).persist()
+    try:
+        model = forest.fit(fitted)
+    finally:
+        fitted.unpersist()
+    return model.transform(assemble.transform(rows)).drop("_x")
 
 
 def gram(df: DataFrame, keys: Sequence[str], predictions: Sequence[str], target: str) -> DataFrame:
