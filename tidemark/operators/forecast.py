@@ -136,20 +136,36 @@ def audit(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys, "origin_date", "horizon", "target_date").agg(F.map_from_entries(F.array_sort(F.collect_list(own))).alias("experts"), *whole)
 
 
-def origins(df: DataFrame, keys: Sequence[str], date: str, features: Sequence[str], has_expert: Column) -> DataFrame:
-    """Each row as a candidate origin: ok, and reasons why not (array). One pass of running windows."""
+def experts_at(made: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, origin_date and have: the targets and horizons (`methane:h1`) for which an expert that may be asked gives a prediction."""
+    asked = F.col("prediction").isNotNull() & (F.col("observed") | ~F.col("expert").isin("B10", "M2"))
+    name = F.concat("target", F.lit(":h"), F.col("horizon").cast("string"))
+    return made.groupBy(*keys, "origin_date").agg(F.collect_set(F.when(asked, name)).alias("have"))
+
+
+def origins(df: DataFrame, keys: Sequence[str], date: str, features: Sequence[str], has_expert: Column | None = None, *, required: Sequence[tuple[str, int]] = (), have: str = "have") -> DataFrame:
+    """Each row as a candidate origin: ok, and reasons why not (array). One pass of running windows.
+
+    Experts are asked for each required target and horizon, by the names in the column ``have`` (see experts_at), and only where the rows
+    so far and the features are sufficient: `NO_EXPERT:target:h1`. has_expert tells for all of them at once.
+    """
     w = by(keys, [date]).rowsBetween(Window.unboundedPreceding, 0)
     rows, span = F.count(F.lit(1)).over(w), F.datediff(F.col(date), F.min(date).over(w))
     whole = F.array_compact(F.array(*features))
-    reasons = F.array_compact(
-        F.array(
-            F.when(rows < LEAST_ROWS, "INSUFFICIENT_ROWS"),
-            F.when((rows >= LEAST_ROWS) & (span < LEAST_SPAN), "INSUFFICIENT_SPAN"),
-            F.when(F.size(whole) < len(features), "NON_FINITE_FEATURE"),
-            F.when(~F.coalesce(has_expert, F.lit(False)), "NO_EXPERT"),
-        )
-    )
-    return df.select(*keys, F.col(date).alias("origin_date"), reasons.alias("reasons")).withColumn("ok", F.size("reasons") == 0)
+    checks = [
+        F.when(rows < LEAST_ROWS, "INSUFFICIENT_ROWS"),
+        F.when((rows >= LEAST_ROWS) & (span < LEAST_SPAN), "INSUFFICIENT_SPAN"),
+        F.when(F.size(whole) < len(features), "NON_FINITE_FEATURE"),
+    ]
+    if has_expert is not None:
+        checks.append(F.when(~F.coalesce(has_expert, F.lit(False)), "NO_EXPERT"))
+    reasons = F.array_compact(F.array(*checks))
+    out = df.withColumn("_reasons", reasons)
+    if required:
+        names = F.array(*(F.lit(f"{t}:h{h}") for t, h in required))
+        missing = F.transform(F.array_except(names, F.coalesce(F.col(have), F.array().cast("array<string>"))), lambda r: F.concat(F.lit("NO_EXPERT:"), r))
+        out = out.withColumn("_reasons", F.when(F.size("_reasons") == 0, missing).otherwise(F.col("_reasons")))
+    return out.select(*keys, F.col(date).alias("origin_date"), F.col("_reasons").alias("reasons")).withColumn("ok", F.size("reasons") == 0)
 
 
 def latest_origin(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -154,25 +154,42 @@ ORIGINS = f"""{I.USER_DAILY}, run as (select series_id, date, value, n, count(*)
 cand as (select series_id, date as origin_date, list_filter([case when rows < 20 then 'INSUFFICIENT_ROWS' end, case when rows >= 20 and days < 19 then 'INSUFFICIENT_SPAN' end, case when v2 is null then 'NON_FINITE_FEATURE' end, case when not (n > 1) then 'NO_EXPERT' end], lambda r: r is not null) as reasons from run)"""
 
 
+#: The same, with what is read more than once made once.
+MADE_ONCE = EXPERTS.replace("dense as (", "dense as materialized (").replace("st as (", "st as materialized (").replace("h as (select h0", "h as materialized (select h0").replace("ex as (", "ex as materialized (")
+
+#: Targets and horizons that an origin needs an expert for.
+REQUIRED = [*(("methane", h) for h in range(1, 8)), ("biogas", 1)]
+_NEEDED = ", ".join(f"'{t}:h{h}'" for t, h in REQUIRED)
+#: Days of orders as candidates, whose load is known late in some series.
+CANDIDATES = f"""{MADE_ONCE},
+feats as (select series_id, date, x, lag(x, 1) {_BY} as x1, lag(x, 7) {_BY} as x7, case when date_diff('day', date, max(date) over (partition by series_id)) >= length(series_id) % 5 then x end as late from dense where target = 'methane'),
+run as (select *, count(*) {_BY} as rows, date_diff('day', min(date) {_BY}, date) as days from feats where x is not null),
+have as (select series_id, origin_date, list(distinct target || ':h' || horizon) as hs from ex where prediction is not null and (observed or expert not in ('B10', 'M2')) group by all),
+first as (select r.series_id, r.date as origin_date, list_filter([case when rows < 20 then 'INSUFFICIENT_ROWS' end, case when rows >= 20 and days < 19 then 'INSUFFICIENT_SPAN' end, case when x1 is null or x7 is null or late is null then 'NON_FINITE_FEATURE' end], lambda r: r is not null) as reasons,
+  list_transform(list_filter([{_NEEDED}], lambda k: not list_contains(coalesce(hs, []), k)), lambda k: 'NO_EXPERT:' || k) as missing from run r left join have h on h.series_id = r.series_id and h.origin_date = r.date),
+cand as (select series_id, origin_date, case when len(reasons) = 0 then missing else reasons end as reasons from first)"""
+
+
 def candidates(spark, d):
-    u = I.user_daily(spark, d).withColumn("v2", F.lag("value", 2).over(E.by(SERIES, ["date"])))
-    return P.origins(u, SERIES, "date", ["value", "v2"], F.col("n") > 1)
+    w = E.by(SERIES, ["date"])
+    days = states(spark, d).filter("target = 'methane'")
+    late = F.when(F.datediff(F.max("date").over(Window.partitionBy(*SERIES)), F.col("date")) >= F.length("series_id") % 5, F.col("x"))
+    days = days.withColumns({"x1": F.lag("x", 1).over(w), "x7": F.lag("x", 7).over(w), "late": late}).filter("x is not null")
+    have = P.experts_at(expert_rows(spark, d), SERIES).withColumnRenamed("origin_date", "date")
+    return P.origins(days.join(have, [*SERIES, "date"], "left"), SERIES, "date", ["x1", "x7", "late"], required=REQUIRED)
 
 
-@query("i11_latest_origin", f"with {ORIGINS} select series_id, max(case when len(reasons) = 0 then origin_date end) as origin_date from cand group by 1")
+@query("i11_latest_origin", f"with {CANDIDATES} select series_id, max(case when len(reasons) = 0 then origin_date end) as origin_date from cand group by 1")
 def i11_latest_origin(spark, d):
+    """The newest day with rows, span, features, and an expert for every required target and horizon."""
     return P.latest_origin(candidates(spark, d), SERIES)
 
 
-@query("i12_rejected_origins", f"with {ORIGINS}, l as (select series_id, max(case when len(reasons) = 0 then origin_date end) as last from cand group by 1) select series_id, origin_date, array_to_string(reasons, ',') as reasons, case when last is null then case when len(list_filter(reasons, lambda r: starts_with(r, 'INSUFFICIENT'))) > 0 then 'INSUFFICIENT_HISTORY' else 'NO_FORECASTABLE_ORIGIN' end end as error from cand join l using (series_id) where last is null or origin_date > last")
+@query("i12_rejected_origins", f"with {CANDIDATES}, l as (select series_id, max(case when len(reasons) = 0 then origin_date end) as last from cand group by 1) select series_id, origin_date, array_to_string(reasons, ',') as reasons, case when last is null then case when len(list_filter(reasons, lambda r: starts_with(r, 'INSUFFICIENT'))) > 0 then 'INSUFFICIENT_HISTORY' else 'NO_FORECASTABLE_ORIGIN' end end as error from cand join l using (series_id) where last is null or origin_date > last")
 def i12_rejected_origins(spark, d):
     return P.rejected(candidates(spark, d), SERIES).withColumn("reasons", F.array_join("reasons", ","))
 
 
-#: The same, with what is read more than once made once.
-MADE_ONCE = EXPERTS.replace("dense as (", "dense as materialized (").replace("st as (", "st as materialized (").replace("h as (select h0", "h as materialized (select h0").replace("ex as (", "ex as materialized (")
-
-
 @query("i13_unavailable", f"with {MADE_ONCE}, m as materialized (select series_id, target, origin_date, horizon, prediction from experts where expert = 'M2'), w as (select series_id, target, date as origin_date, unnest(range(1, 8)) as horizon from dense) select series_id, target, origin_date, horizon, case when prediction is null then 'UNAVAILABLE' else 'AVAILABLE' end as status from w left join m using (series_id, target, origin_date, horizon)")
 def i13_unavailable(spark, d):
     wanted = P.horizons(states(spark, d).select(*KEYS, "date"), "date").drop("target_date")
