@@ -117,6 +117,59 @@ def weights(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.withColumns({"weight": weight, "method": F.when(F.col("_sum") > 0, "INVERSE_ERROR").when(F.col("_first").isNotNull(), "FALLBACK").otherwise("NONE")}).drop("_raw", "_place", "_sum", "_first")
 
 
+#: What error states hold besides their keys, horizon and expert; the row of all experts, "*", is of the truths.
+ERROR_STATE = "n long, s double, mean double, m2 double, through date"
+TRUTHS = "*"
+
+
+def error_sums(errors: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A batch of errors (keys, horizon, expert, target_date, error, y_true) as a state: n and sum of squares for each expert, and n, mean
+    and summed squares about it of the truths, each once."""
+    none = F.lit(None).cast("double")
+    each = errors.groupBy(*keys, "horizon", "expert").agg(F.count("error").alias("n"), F.sum(F.col("error") * F.col("error")).alias("s"), none.alias("mean"), none.alias("m2"), F.max("target_date").alias("through"))
+    truths = errors.groupBy(*keys, "horizon", "target_date").agg(F.min("y_true").alias("y"))
+    moments = truths.groupBy(*keys, "horizon").agg(F.lit(TRUTHS).alias("expert"), F.count("y").alias("n"), none.alias("s"), F.avg("y").alias("mean"), (F.var_pop("y") * F.count("y")).alias("m2"), F.max("target_date").alias("through"))
+    return each.unionByName(moments)
+
+
+def merged_sums(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """States of several batches, put together in the order of their days; the truths' moments as parts of one sample."""
+    part = F.struct("through", "n", "mean", "m2")
+
+    def both(a: Column, b: Column) -> Column:
+        n, step = a["n"] + b["n"], b["mean"] - a["mean"]
+        joint = F.struct(b["through"].alias("through"), n.alias("n"), (a["mean"] + step * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + step * step * a["n"] * b["n"] / n).alias("m2"))
+        return F.when(a["n"] == 0, b).when(b["n"] == 0, a).otherwise(joint)
+
+    parts = F.array_sort(F.collect_list(part))
+    out = states.groupBy(*keys, "horizon", "expert").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("through").alias("through"), parts.alias("_parts"))
+    first = F.get("_parts", F.lit(0))
+    whole = F.aggregate(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))), first, both)
+    truths = F.col("expert") == TRUTHS
+    return out.select(*keys, "horizon", "expert", "n", "s", F.when(truths, whole["mean"]).alias("mean"), F.when(truths, whole["m2"]).alias("m2"), "through")
+
+
+def advance(table, errors: DataFrame, keys: Sequence[str]) -> None:
+    """Adds errors to a StateTable of keys, horizon and expert; those of days that it has already are left out, so a batch may be repeated.
+
+    Experts' sums and the truths' moments change in one version.
+    """
+    state = table.read(errors.sparkSession)
+    seen = state.filter(F.col("expert") == TRUTHS).select(*keys, "horizon", F.col("through").alias("_seen"))
+    new = errors.filter(F.col("error").isNotNull()).join(seen, [*keys, "horizon"], "left").filter(F.col("_seen").isNull() | (F.col("target_date") > F.col("_seen"))).drop("_seen")
+    sums = error_sums(new, keys)
+    touched = state.join(sums.select(*keys, "horizon", "expert"), [*keys, "horizon", "expert"], "left_semi")
+    table.upsert(merged_sums(touched.select(*sums.columns).unionByName(sums), keys))
+
+
+def errors_so_far(rows: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows (of origins at the state's last day) with n, mse, last_target and truth_var as past_errors has them, without the history."""
+    own = state.filter(F.col("expert") != TRUTHS).select(*keys, "horizon", "expert", "n", (F.col("s") / F.col("n")).alias("mse"), F.col("through").alias("last_target"))
+    truths = state.filter(F.col("expert") == TRUTHS).select(*keys, "horizon", F.when(F.col("n") >= 2, F.col("m2") / F.col("n")).otherwise(1.0).alias("truth_var"))
+    out = rows.join(own, [*keys, "horizon", "expert"], "left").join(truths, [*keys, "horizon"], "left")
+    return out.withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "truth_var": F.coalesce("truth_var", F.lit(1.0))})
+
+
 def blend(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """prediction: the weighted sum, not below zero, with maps of the experts' predictions and weights."""
     used = F.when(F.col("weight") > 0, F.col("weight") * F.col("prediction"))

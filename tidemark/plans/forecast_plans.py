@@ -10,6 +10,8 @@ from tidemark.operators import joins as J
 from tidemark.operators import series as E
 from tidemark.plans import inputs as I
 from tidemark.plans.registry import query
+from tidemark.sources.state import StateTable
+from tidemark.sources.store import work_folder, written
 
 KEYS = ["series_id", "target"]
 FEATURES = ["x", "x7"]
@@ -143,6 +145,22 @@ def i7_i8_weights(spark, d):
     return weighted(spark, d).select(*KEYS, "origin_date", "horizon", "expert", F.round("weight", 6).alias("weight"), "method")
 
 
+#: The day whose weights come from stored sums, and the ends of the batches before it.
+STATE_DAY, BATCHES = "2001-07-15", ("1997-12-31", "2000-06-30", "2001-07-15", "2001-07-15")
+
+
+@query("i7_i16_stored_sums", f"with {BLEND} select series_id, target, origin_date, horizon, expert, round(weight, 6) as weight, method from weighted where origin_date = date '{STATE_DAY}'")
+def i7_i16_stored_sums(spark, d):
+    """G8, I7, I16 as state: errors are added batch by batch, the last one twice, and a day's weights need no history."""
+    made = written(expert_rows(spark, d))
+    table = StateTable(work_folder(spark, "errors"), f"series_id string, target string, horizon long, expert string, {P.ERROR_STATE}", (*KEYS, "horizon", "expert"))
+    for end in BATCHES:
+        P.advance(table, made.filter(F.col("target_date") <= F.lit(end).cast("date")), KEYS)
+    rows = made.filter(F.col("origin_date") == F.lit(STATE_DAY).cast("date"))
+    w = P.weights(P.errors_so_far(rows, table.read(spark), KEYS), KEYS)
+    return w.select(*KEYS, "origin_date", "horizon", "expert", F.round("weight", 6).alias("weight"), "method")
+
+
 @query("i9_blend", f"with {BLEND} select series_id, target, origin_date, horizon, target_date, round(prediction, 5) as prediction from blended")
 def i9_blend(spark, d):
     return blended(spark, d).select(*KEYS, "origin_date", "horizon", "target_date", F.round("prediction", 5).alias("prediction"))
