@@ -149,7 +149,8 @@ VECTOR_SQL = r"""
 with recursive v as (
   select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
   where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-n as (select *, list_dot_product(e, e) as m from v),
+big as (select * replace (list_transform(e, lambda x: x / s) as e) from (select *, pow(2, floor(log2(greatest(list_max(e), -list_min(e))))) as s from v where list_max(e) > 0 or list_min(e) < 0)),
+n as (select *, list_dot_product(e, e) as m from big),
 e as (select a.vec_id as a, b.vec_id as b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
   where a.m > 0 and b.m > 0 and list_dot_product(a.e, b.e) / sqrt(a.m * b.m) >= 0.93),
 reach as (select vec_id, vec_id as root from embeddings union select e.b, reach.root from reach join e on e.a = reach.vec_id),

@@ -162,7 +162,9 @@ class SmallWorld:
 
 
 def unit(v: np.ndarray) -> np.ndarray:
+    """Rows at length 1. They are brought near 1 by a power of two first, which is exact, so that no square is lost or grows too large."""
     v = v.astype(np.float64)
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True, initial=0.0))[1])
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
