@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.stacking import solve_nonnegative
+
 
 def year_split(df: DataFrame, date: str, holdout: int) -> tuple[DataFrame, DataFrame]:
     """Rows before the year and rows of it."""
@@ -56,18 +57,10 @@ def gram(df: DataFrame, keys: Sequence[str], predictions: Sequence[str], target:
 
 
 def nonnegative_weights(sums: dict, predictions: Sequence[str]) -> list[float]:
-    """Weights of least squares without intercept and not below zero, from one row of gram(); a few models, so each support is tried."""
-    k = len(predictions)
-    g = np.array([[sums[f"{predictions[min(i, j)]}__{predictions[max(i, j)]}"] for j in range(k)] for i in range(k)], float)
-    y = np.array([sums[f"{a}__y"] for a in predictions], float)
-    best, found = 0.0, np.zeros(k)
-    for n in range(1, k + 1):
-        for own in map(list, combinations(range(k), n)):
-            w = np.linalg.lstsq(g[np.ix_(own, own)], y[own], rcond=None)[0]
-            if (w >= 0).all() and (loss := w @ g[np.ix_(own, own)] @ w - 2 * w @ y[own]) < best - 1e-9:
-                best, found = loss, np.zeros(k)
-                found[own] = w
-    return found.tolist()
+    """Weights of least squares without intercept and not below zero, from one row of gram(); stacking.py has them for many keys and targets."""
+    k = range(len(predictions))
+    g = np.array([[sums[f"{predictions[min(i, j)]}__{predictions[max(i, j)]}"] for j in k] for i in k], float)
+    return solve_nonnegative(g[None], np.array([[sums[f"{a}__y"] for a in predictions]], float))[0][0].tolist()
 
 
 def combine(weights: dict[str, float]) -> Column:
