@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import long_series as L
 from tidemark.operators import quality as C
+from tidemark.operators import ranks as R
 from tidemark.plans import inputs as I
 from tidemark.plans import quality_plans as Q
 from tidemark.plans.registry import query
@@ -100,3 +101,20 @@ def f5_as_of_join(spark, d):
     orders = I.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("k"), F.to_date("o_orderdate").alias("at"))
     events = I.table(spark, d, "events").select((F.col("user_id") % 3).alias("k"), F.date_add(F.lit("1995-01-01").cast("date"), (F.col("event_id") * 7 % 2400).cast("int")).alias("happened"), "event_id", "value")
     return L.as_of(orders, events, ["k"], "at", "happened", ["event_id", "value"], tie=["event_id"], rows=ROWS).drop("at")
+
+
+MEASURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query(
+    "g3_spearman_ranges",
+    f"""with u as (unpivot (select l_linestatus, l_extendedprice as y, {', '.join(MEASURES)} from lineitem) on {', '.join(MEASURES)} into name variable value x),
+k as (select * from u where x is not null and y is not null),
+r as (select *, rank() over (partition by l_linestatus, variable order by x) + (count(*) over (partition by l_linestatus, variable, x) - 1) / 2 as rx,
+  rank() over (partition by l_linestatus, variable order by y) + (count(*) over (partition by l_linestatus, variable, y) - 1) / 2 as ry from k)
+select l_linestatus, variable, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 6) as r from r group by all""",
+)
+def g3_spearman_ranges(spark, d):
+    """G3 over all line items: a few large groups with long ties, ranked in more ranges than there are groups."""
+    r = R.spearman(I.table(spark, d, "lineitem"), ["l_linestatus"], "l_extendedprice", MEASURES, parts=16)
+    return r.withColumn("r", F.round("r", 6))
