@@ -7,7 +7,7 @@ previous row's state as that row alone would give it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -224,20 +224,27 @@ def trend_line(c: str) -> Column:
     return F.when(F.col(f"{c}_notable") & pct.isNotNull(), F.concat_ws(" ", F.lit(dims.MOVING[c]), F.lit(dims.TREND_TEXT), F.concat(F.format_string("%+.1f", pct), F.lit("%")), way))
 
 
+def places(priorities: dict[str, int]) -> Callable[[Column], Column]:
+    """The number that a code or card is sorted by; null for others."""
+    known = F.create_map(*(F.lit(x) for pair in priorities.items() for x in pair))
+    return lambda c: F.try_element_at(known, c)
+
+
 def actions(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
     """Action cards by priority: one for each code of a row, or the normal card; position counts from 1. A card has its reason, code,
     priority, title, verdict, what to do (array) and the readings of the variables behind it (array of variable, A and B)."""
     spark = df.sparkSession
     codes = {k: (a, p) for k, (_, _, a, p) in dims.FLAGS.items()} | dims.STATE_ACTIONS
-    library = F.broadcast(spark.createDataFrame([(k, *codes[k], dims.PRIORITY[codes[k][1]], title, verdict, list(steps)) for k, (title, verdict, steps) in dims.CARDS.items()], "reason string, action string, priority string, _p int, title string, verdict string, steps array<string>"))
+    library = F.broadcast(spark.createDataFrame([(k, *codes[k], title, verdict, list(steps)) for k, (title, verdict, steps) in dims.CARDS.items()], "reason string, action string, priority string, title string, verdict string, steps array<string>"))
     readings = {k: F.array(*(F.struct(F.lit(v).alias("variable"), F.col(f"{v}_A").alias("A"), F.col(f"{v}_B").alias("B")) for v in vs)) for k, (_, vs, *_) in dims.FLAGS.items()}
     none = F.array().cast("array<struct<variable:string,A:double,B:double>>")
     behind = F.map_from_entries(F.array(*(F.struct(F.lit(k), x) for k, x in readings.items())))
-    rows = raised(df).select(*keys, date, behind.alias("_behind"), F.posexplode("codes").alias("_i", "reason"))
-    rows = rows.withColumn("readings", F.coalesce(F.try_element_at("_behind", "reason"), none))
-    found = rows.join(library, "reason")
-    w = by([*keys, date], ["_p", "_i"])
-    return found.withColumn("position", F.row_number().over(w).cast("long")).select(*keys, date, "position", "reason", "action", "priority", "title", "verdict", "steps", "readings")
+    place = places({k: dims.PRIORITY[codes[k][1]] for k in dims.CARDS})
+    listed = F.transform("codes", lambda c, i: F.struct(place(c).alias("p"), i.alias("i"), c.alias("reason")))
+    listed = F.array_sort(F.filter(listed, lambda c: c["p"].isNotNull()))
+    rows = raised(df).select(*keys, date, behind.alias("_behind"), F.posexplode(listed).alias("_i", "c"))
+    rows = rows.select(*keys, date, (F.col("_i") + 1).cast("long").alias("position"), "c.reason", F.coalesce(F.try_element_at("_behind", "c.reason"), none).alias("readings"))
+    return rows.join(library, "reason").select(*keys, date, "position", "reason", "action", "priority", "title", "verdict", "steps", "readings")
 
 
 def recommendations(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
@@ -286,13 +293,19 @@ def recommendations(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
         ("REC-GAS-001", moved("biogas", "DOWN"), [trend_line("biogas")]),
         ("REC-GAS-002", purity_down, [F.coalesce(trend_line("purity_A"), trend_line("purity_B"))]),
     ]
-    item = lambda card, lines: F.struct((card if isinstance(card, Column) else F.lit(card)).alias("card"), F.array_compact(F.array(*lines, none)).alias("evidence"))
-    first = reduce(lambda a, b: a.when(b[1], item(b[0], b[2])), chain[1:], F.when(chain[0][1], item(chain[0][0], chain[0][2])))
-    listed = F.array_compact(F.array(*(F.when(c, item(card, lines)) for card, c, lines in rules), F.when(no_action, first)))
+    place = places({k: dims.PRIORITY[p] for k, (_, p, *_) in dims.RECOMMENDATIONS.items()})
+
+    def item(i: int, card: Column | str, lines: Sequence[Column]) -> Column:
+        card = card if isinstance(card, Column) else F.lit(card)
+        return F.struct(place(card).alias("p"), F.lit(i).alias("i"), card.alias("card"), F.array_compact(F.array(*lines, none)).alias("evidence"))
+
+    last = len(rules)
+    first = reduce(lambda a, b: a.when(b[1], item(last, b[0], b[2])), chain[1:], F.when(chain[0][1], item(last, chain[0][0], chain[0][2])))
+    listed = F.array_compact(F.array(*(F.when(c, item(i, card, lines)) for i, (card, c, lines) in enumerate(rules)), F.when(no_action, first)))
     rows = df.withColumn("_codes", F.array_union(F.transform("flags", lambda f: f["code"]), F.array("code"))).select(*keys, date, listed.alias("_l"))
-    rows = rows.select(*keys, date, F.posexplode(F.when(F.size("_l") > 0, F.col("_l")).otherwise(F.array(item("REC-NORMAL-001", [F.lit(dims.ALL_NORMAL)])))).alias("_i", "c"))
-    cards = [(k, code, p, dims.PRIORITY[p], title, list(steps), recheck) for k, (code, p, title, steps, recheck) in dims.RECOMMENDATIONS.items()]
-    library = F.broadcast(df.sparkSession.createDataFrame(cards, "card string, code string, priority string, _p int, title string, actions array<string>, recheck string"))
-    found = rows.select(*keys, date, "_i", "c.card", "c.evidence").join(library, "card")
-    w = by([*keys, date], ["_p", "_i"])
-    return found.select(*keys, date, F.row_number().over(w).cast("long").alias("position"), "code", "priority", "title", "evidence", "actions", "recheck")
+    normal = F.array(item(0, "REC-NORMAL-001", [F.lit(dims.ALL_NORMAL)]))
+    rows = rows.select(*keys, date, F.posexplode(F.when(F.size("_l") > 0, F.array_sort("_l")).otherwise(normal)).alias("_i", "c"))
+    cards = [(k, code, p, title, list(steps), recheck) for k, (code, p, title, steps, recheck) in dims.RECOMMENDATIONS.items()]
+    library = F.broadcast(df.sparkSession.createDataFrame(cards, "card string, code string, priority string, title string, actions array<string>, recheck string"))
+    found = rows.select(*keys, date, (F.col("_i") + 1).cast("long").alias("position"), "c.card", "c.evidence").join(library, "card")
+    return found.select(*keys, date, "position", "code", "priority", "title", "evidence", "actions", "recheck")
