@@ -7,7 +7,7 @@ windows over errors in the order in which their truth arrived; no join compares
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -47,11 +47,14 @@ def horizons(df: DataFrame, date: str, most: int = 7) -> DataFrame:
     return out.withColumnRenamed(date, "origin_date").withColumn("target_date", F.date_add("origin_date", F.col("horizon").cast("int")))
 
 
-def observed_ahead(df: DataFrame, keys: Sequence[str], date: str, y: str, most: int = 7) -> DataFrame:
-    """df, which has a row for each day, at each horizon, with y_true: the value that the target day turned out to have."""
+def observed_ahead(df: DataFrame, keys: Sequence[str], date: str, y: str, most: int = 7, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """df, which has a row for each day, at each horizon, with y_true: the value that the target day turned out to have.
+
+    keep: what is done with the days before they are multiplied by the horizons, such as writing them where they are read twice.
+    """
     w = by(keys, [date])
     ahead = F.array(*(F.lead(y, h).over(w) for h in range(1, most + 1)))
-    df = horizons(df.withColumn("_ahead", ahead), date, most)
+    df = horizons(keep(df.withColumn("_ahead", ahead)), date, most)
     return df.withColumn("y_true", F.get("_ahead", F.col("horizon").cast("int") - 1)).drop("_ahead")
 
 

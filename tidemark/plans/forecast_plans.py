@@ -67,11 +67,14 @@ def states(spark, d):
 
 
 def origin_rows(spark, d):
-    """Each day at each horizon, with the last observed value, the features, and what the target day turned out to be."""
+    """Each day at each horizon, with the last observed value, the features, and what the target day turned out to be.
+
+    Days are written once, since the fit and the forecasts both read them; a horizon's rows are made in reading.
+    """
     w = E.by(KEYS, ["date"])
     past = w.rowsBetween(Window.unboundedPreceding, 0)
     s = states(spark, d).withColumns({"last": F.last("y", ignorenulls=True).over(past), "last_date": F.last(F.when(F.col("y").isNotNull(), F.col("date")), ignorenulls=True).over(past), "x7": F.lag("x", 7).over(w)})
-    return P.observed_ahead(s, KEYS, "date", "y")
+    return P.observed_ahead(s, KEYS, "date", "y", keep=written)
 
 
 def expert_rows(spark, d):
