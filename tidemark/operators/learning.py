@@ -30,18 +30,22 @@ def tail_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], share:
     return df.withColumn("tail", at > n - F.greatest(F.lit(1), F.floor(n * share)))
 
 
-def forest_predictions(train: DataFrame, rows: DataFrame, features: Sequence[str], target: str, prediction: str, *, trees: int = 400, least_leaf: int = 2, seed: int = 42) -> DataFrame:
+def forest_predictions(train: DataFrame, rows: DataFrame, features: Sequence[str], target: str, prediction: str, *, trees: int = 400, least_leaf: int = 2, seed: int = 42, part_rows: int = 2000) -> DataFrame:
     """rows with a random forest's predictions, its trees as deep as Spark allows (30); rows lacking a feature are left out of both.
 
     Each row's node in each tree is kept with the rows, so that a level sends the nodes it splits and not all trees so far; many nodes are
-    split in one pass over the rows, which are assembled once.
+    split in one pass over the rows, which are assembled once. A task of a level makes and sends the statistics of all the nodes that are
+    split, whether it has rows of them or none, so rows are dealt to few partitions, of ``part_rows`` rows or one for each core.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     assemble = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
     forest = RandomForestRegressor(featuresCol="_x", labelCol=target, predictionCol=prediction, numTrees=trees, minInstancesPerNode=least_leaf, maxDepth=30, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024)
-    fitted = assemble.transform(train.dropna(subset=[target])).select("_x", target).persist()
+    used = train.dropna(subset=[*features, target]).select(*features, target)
+    parts = min(-(-used.count() // part_rows) or 1, used.sparkSession.sparkContext.defaultParallelism)
+    dealt = used.repartition(parts, F.xxhash64(*features, target)).sortWithinPartitions(*features, target)  # in one order, so that the trees are the same again
+    fitted = assemble.transform(dealt).select("_x", target).persist()
     try:
         model = forest.fit(fitted)
     finally:
