@@ -130,6 +130,30 @@ def test_cell_classes(spark):
     assert got == ["MISSING", "MISSING", "INVALID_PARSE", "INVALID_PARSE", "INVALID_PARSE", "MISSING_ZERO_SENTINEL", "INVALID_RANGE", "VALID", "INVALID_RANGE", "VALID", "INVALID_PARSE", "VALID"]
 
 
+def test_medians_of_histories_are_taken_in_batches(spark):
+    """Each history is sorted once, outside the row's expressions; short, null and spreadless ones flag nothing."""
+    import pyarrow as pa
+
+    cells = spark.createDataFrame([("s", i, str(10 + i % 5)) for i in range(20)], "series_id string, i int, raw_value string")
+    cells = cells.selectExpr("*", "0d minimum", "cast(null as double) maximum", "true zero_missing", "true flatline")
+    plan = quality.grade_history(quality.classify_cells(cells), ["series_id"], ["i"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" not in plan and "ArrowEvalPython" in plan
+    rng = random.Random(3)
+    histories = [[rng.choice([1.0, 2.0, 3.5, -4.0, 1e6]) for _ in range(rng.randint(0, 15))] for _ in range(300)] + [None, [1.0] * 9, [1e308, -1e308] * 5]
+    values = [rng.choice([2.0, 30.0, -1e7, None]) for _ in histories]
+
+    def plain(x, h):
+        if x is None or not h or len(h) < 7:
+            return False
+        m = statistics.median(h)
+        d = statistics.median(abs(v - m) for v in h)
+        return d > 0 and abs(x - m) > 3 * 1.4826 * d
+
+    got = quality._robust(pa.array(values, pa.float64()), pa.array(histories, pa.list_(pa.float64()))).to_pylist()
+    assert got == [plain(x, h) for x, h in zip(values, histories)] and True in got
+    assert quality._robust(pa.array([], pa.float64()), pa.array([], pa.list_(pa.float64()))).to_pylist() == []
+
+
 def test_weights_sum_to_one(spark, sf):
     from tidemark.plans.forecast_plans import weighted
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import array_mad, array_median, parse_number
+from tidemark.functions.scalars import parse_number
 
 #: Fixed values of the robust tests.
 HISTORY, LEAST_HISTORY, FLAT_RUN, BOUND = 15, 7, 7, 3 * 1.4826
@@ -42,9 +44,33 @@ def classify_cells(cells: DataFrame, raw: str = "raw_value", *, minimum: str = "
     return out.withColumn("value", F.when(F.col("status") == "VALID", number))
 
 
-def _robust(value: Column, history: Column, center: Column, spread: Column) -> Column:
+def _above(a: np.ndarray, b) -> np.ndarray:
+    """a > b as Spark has it: NaN is above all numbers."""
+    return np.where(np.isnan(a), ~np.isnan(b), a > b)
+
+
+def _medians(rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The median of each row's first n numbers in order; what is behind them is NaN."""
+    rows, at = np.sort(rows, axis=1), np.arange(len(rows))
+    low, high = rows[at, np.maximum(n - 1, 0) // 2], rows[at, n // 2]
+    return np.where(n % 2 == 1, low, (low + high) / 2)
+
+
+def _robust(value: pa.Array, history: pa.Array) -> pa.Array:
     """value lies further from the history's median than the bound allows; false with too little history or no spread."""
-    return F.coalesce((F.size(history) >= LEAST_HISTORY) & (spread > 0) & (F.abs(value - center) > BOUND * spread), F.lit(False))
+    n = np.nan_to_num(history.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    x = value.to_numpy(zero_copy_only=False).astype(float)
+    out = np.zeros(len(n), dtype=bool)
+    use = (n >= LEAST_HISTORY) & value.is_valid().to_numpy(zero_copy_only=False)
+    if use.any():
+        rows = np.full((len(n), n.max() + 1), np.nan)
+        rows[np.arange(rows.shape[1]) < n[:, None]] = history.flatten().to_numpy()
+        rows, n, x = rows[use], n[use], x[use]
+        with np.errstate(all="ignore"):  # differences of numbers that are very far apart
+            center = _medians(rows, n)
+            spread = _medians(np.abs(rows - center[:, None]), n)
+            out[use] = _above(spread, 0.0) & _above(np.abs(x - center), BOUND * spread)
+    return pa.array(out)
 
 
 def grade_history(cells: DataFrame, keys: Sequence[str], order: Sequence[str], *, flat: str = "flatline") -> DataFrame:
@@ -65,12 +91,11 @@ def grade_history(cells: DataFrame, keys: Sequence[str], order: Sequence[str], *
 
 def grade(cells: DataFrame, flat: str) -> DataFrame:
     """Grades from _h (values before), _d and _dh (change, and changes before) and _run_n (length of the run of equal cells), which go."""
-    # Each median is a column of its own, so that no array is sorted again inside another expression.
-    cells = cells.withColumns({"_hm": array_median(F.col("_h")), "_dm": array_median(F.col("_dh"))})
-    cells = cells.withColumns({"_hs": array_mad(F.col("_h"), F.col("_hm")), "_ds": array_mad(F.col("_dh"), F.col("_dm"))})
+    # Medians are taken of batches of histories, each history once.
+    robust = F.arrow_udf(_robust, "boolean")
+    cells = cells.withColumns({"_spike": robust("_d", "_dh"), "_outlier": robust("value", "_h")})
     valid = F.col("status") == "VALID"
-    spike = valid & F.col("_d").isNotNull() & _robust(F.col("_d"), F.col("_dh"), F.col("_dm"), F.col("_ds"))
-    outlier = valid & _robust(F.col("value"), F.col("_h"), F.col("_hm"), F.col("_hs"))
+    spike, outlier = valid & F.col("_spike"), valid & F.col("_outlier")
     flat_run = valid & F.col(flat) & F.col("value").isNotNull() & (F.col("_run_n") >= FLAT_RUN)
     graded = cells.withColumns(
         {
@@ -78,7 +103,7 @@ def grade(cells: DataFrame, flat: str) -> DataFrame:
             "_why": F.when(spike, "ROBUST_DELTA_WINDOW_15").when(outlier, "HAMPEL_WINDOW_15").when(flat_run, "EXACT_REPEAT_7_PLUS"),
         }
     )
-    return graded.withColumns({"status": F.coalesce("_new", "status"), "reason": F.coalesce("_why", "reason")}).drop("_run_n", "_h", "_d", "_dh", "_hm", "_dm", "_hs", "_ds", "_new", "_why")
+    return graded.withColumns({"status": F.coalesce("_new", "status"), "reason": F.coalesce("_why", "reason")}).drop("_run_n", "_h", "_d", "_dh", "_spike", "_outlier", "_new", "_why")
 
 
 def cross_field(cells: DataFrame, keys: Sequence[str], *, field: str = "variable", side: str = "side", left: str = "VFA", right: str = "ALK") -> DataFrame:
