@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import parse_number
+from tidemark.sources.store import written
 
 #: Fixed values of the robust tests.
 HISTORY, LEAST_HISTORY, FLAT_RUN, BOUND = 15, 7, 7, 3 * 1.4826
@@ -137,8 +138,8 @@ def summary(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def flagged(cells: DataFrame, order: Sequence[str], most: int = 500) -> DataFrame:
-    """The first cells that aren't VALID, in order, with how many there are."""
-    bad = cells.filter(F.col("status") != "VALID")
+    """The first cells that aren't VALID, in order, with how many there are; they are written once, so that cells are made once."""
+    bad = written(cells.filter(F.col("status") != "VALID"))
     total = bad.agg(F.count("*").alias("total"), F.lit(1).alias("_one"))  # one row
     return bad.orderBy(*order).limit(most).withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
 
