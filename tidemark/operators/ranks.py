@@ -52,15 +52,19 @@ def mean_ranks(df: DataFrame, keys: Sequence[str], value: str, spread: Sequence[
 def spearman(df: DataFrame, keys: Sequence[str], y: str, variables: Sequence[str], *, parts: int | None = None) -> DataFrame:
     """stats.spearman for groups of any size: variable and r, the rank correlation with y over rows that have both, ties at their mean.
 
-    Rows of the same pair of values are counted first, wherever they are, so that a pair that repeats is one row. Groups without a row
-    that has both are left out; r is null without spread.
+    Sums over rows need no pair's own row: the mean ranks of x are those of its distinct values with their counts; added up by y they
+    leave a row for each distinct y, whose rank follows. Values that repeat are added up before they are sent. Groups without a row that
+    has both are left out; r is null without spread.
     """
     rows = df.select(*keys, F.col(y).cast("double").alias("y"), *(F.col(v).cast("double").alias(f"x{i}") for i, v in enumerate(variables)))
     cells = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(f"x{i}").alias("x")) for i, v in enumerate(variables))))
     part = [*keys, "variable"]
-    pairs = rows.select(*keys, "y", cells.alias("_c")).select(*keys, "_c.variable", "_c.x", "y").dropna(subset=["x", "y"]).groupBy(*part, "x", "y").agg(F.count("*").alias("times"))
-    by_x = mean_ranks(pairs, part, "x", ["y"], "rx", weight="times", parts=parts)
-    both = mean_ranks(by_x, part, "y", ["rx"], "ry", weight="times", parts=parts)
-    x, z, n = F.col("rx"), F.col("ry"), F.col("times")
-    sums = both.groupBy(*part).agg(F.sum(n * x * z).alias("_xy"), F.sum(n * x * x).alias("_xx"), F.sum(n * z * z).alias("_yy"))
-    return sums.select(*part, F.try_divide("_xy", F.sqrt("_xx") * F.sqrt("_yy")).alias("r"))
+    there = rows.select(*keys, "y", cells.alias("_c")).select(*keys, "_c.variable", "_c.x", "y").dropna(subset=["x", "y"])
+    xs = written(mean_ranks(there.groupBy(*part, "x").agg(F.count("*").alias("times")), part, "x", [], "rx", weight="times", parts=parts))
+    ranked = joined(there, xs.drop("times"), [*part, "x"])
+    ys = ranked.groupBy(*part, "y").agg(F.count("*").alias("times"), F.sum("rx").alias("s"))
+    both = mean_ranks(ys, part, "y", [], "ry", weight="times", parts=parts)
+    n, z = F.col("times"), F.col("ry")
+    sums = both.groupBy(*part).agg(F.sum(F.col("s") * z).alias("_xy"), F.sum(n * z * z).alias("_yy"))
+    spread = xs.groupBy(*part).agg(F.sum(n * F.col("rx") * F.col("rx")).alias("_xx"))
+    return joined(sums, spread, part).select(*part, F.try_divide("_xy", F.sqrt("_xx") * F.sqrt("_yy")).alias("r"))
