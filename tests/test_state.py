@@ -74,3 +74,10 @@ def test_two_writers_of_one_version(spark, table, monkeypatch):
     assert table.upsert(rows(spark, ("c", 1, 4.0))) == 3
     assert seen(table.read(spark)) == [("a", 1, 3.0), ("b", 1, 2.0), ("c", 1, 4.0)]
     assert not own(table, spark, 3, {}) and table.versions(spark) == [1, 2, 3]
+
+
+def test_stored_predictions_hold_both_targets_at_every_horizon(spark, sf):
+    from tidemark.plans.source_plans import a10_a11_stored_predictions
+
+    found = {(r["target"], r["horizon"]) for r in a10_a11_stored_predictions(spark, sf).select("target", "horizon").distinct().collect()}
+    assert found == {(t, h) for t in ("methane", "biogas") for h in range(1, 8)} | {("purity_derived", 1)}

@@ -151,12 +151,13 @@ PURITY = f"""first as (select series_id, origin_date, target_date, max(case when
 purity as (select {RUN_ID} as run_id, 'purity_derived' as target, 1 as horizon, target_date, 100 * gas / volume as prediction from first where volume > 0 and gas >= 0 and gas <= volume)"""
 
 
-@query("a10_a11_stored_predictions", f"with {FP.BLEND}, {PURITY} select {RUN_ID} as run_id, target, horizon, target_date, round(prediction, 5) as prediction from blended where prediction is not null and target = 'methane' union all select run_id, target, horizon, target_date, round(prediction, 5) from purity")
+@query("a10_a11_stored_predictions", f"with {FP.BLEND}, {PURITY} select {RUN_ID} as run_id, target, horizon, target_date, round(prediction, 5) as prediction from blended where prediction is not null union all select run_id, target, horizon, target_date, round(prediction, 5) from purity")
 def a10_a11_stored_predictions(spark, d):
-    """The gas's forecasts of all origins and the purity derived from them, stored in a state table and read back."""
-    table = S.state_tables(A.work_folder(spark, "state"))["predictions"]
-    S.save_predictions(table, forecasts(spark, d), "methane", "biogas")
-    return table.read(spark).select("run_id", "target", F.col("horizon").cast("long").alias("horizon"), "target_date", F.round("prediction", 5).alias("prediction"))
+    """Both targets' forecasts of all origins and the purity derived from them, stored as rows and audits and read back."""
+    tables, made = S.state_tables(A.work_folder(spark, "state")), A.written(forecasts(spark, d))
+    S.save_runs(tables["model_runs"], made, "v1", CREATED)
+    S.save_predictions(tables["predictions"], made, "methane", "biogas")
+    return S.read_predictions(tables, spark).withColumn("prediction", F.round("prediction", 5))
 
 
 @query("a11_model_runs", f"with {FP.BLEND} select {RUN_ID} as run_id, series_id as dataset_id, origin_date, 'v1' as model_version, 'AVAILABLE' as status, count(*) as n from blended where prediction is not null group by all")

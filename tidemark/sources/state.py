@@ -156,6 +156,15 @@ def save_predictions(table: StateTable, forecasts: DataFrame, gas: str, volume:
     table.upsert(kept.unionByName(purity).withColumn("status", F.lit("AVAILABLE")))
 
 
+def read_predictions(tables: dict[str, StateTable], spark: SparkSession) -> DataFrame:
+    """All predictions that are stored: run_id, target, horizon, target_date, prediction; the volume's come from their runs' audits."""
+    rows = tables["predictions"].read(spark).select("run_id", "target", F.col("horizon").cast("long").alias("horizon"), "target_date", "prediction")
+    entries = tables["model_runs"].read(spark).select("run_id", "origin_date", F.explode(F.from_json("audit", "map<string,double>")).alias("name", "prediction"))
+    horizon = F.substring_index("name", "__h", -1).cast("int")
+    entries = entries.select("run_id", F.regexp_extract("name", "^(.*)__h", 1).alias("target"), horizon.cast("long").alias("horizon"), F.date_add("origin_date", horizon).alias("target_date"), "prediction")
+    return rows.unionByName(entries.join(rows.select("run_id", "target", "horizon"), ["run_id", "target", "horizon"], "left_anti").select(*rows.columns))
+
+
 def mature_errors(table: StateTable, errors: DataFrame) -> None:
     """Errors whose truth has arrived; one that is stored already stays as it is."""
     table.upsert(errors, ignore=True)
