@@ -173,14 +173,15 @@ _COUNTED = {
     "datasets": "select count(distinct series_id) from daily",
     "dq_summary": "select count(distinct series_id) from cells",
     "model_runs": "select count(distinct (series_id, origin_date)) from blended where prediction is not null",
-    "predictions": "select (select count(*) from blended where prediction is not null and target = 'methane') + (select count(*) from purity)",
+    "predictions": "select (select count(*) from blended where prediction is not null) + (select count(*) from purity)",
     "reliability_errors": "select count(*) from errors",
 }
 
 
 @query("a10_state_tables", f"with {FP.BLEND}, {PURITY}, {GRADED}, {I.DAILY} " + " union all ".join(f"select '{k}' as name, ({v}) as n" for k, v in _COUNTED.items()))
 def a10_state_tables(spark, d):
-    """A10: how many rows each of the five state tables has once a round is stored, and stored again, as after a restart."""
+    """A10: how many rows each of the five state tables has once a round is stored, and stored again, as after a restart; predictions
+    count those in the runs' audits too."""
     tables = S.state_tables(A.work_folder(spark, "state"))
     summaries = A.written(C.summary(graded(spark, d), ["series_id"]))
     about = A.describe(I.daily(spark, d), summaries.drop("by_status"), ["series_id"], "date", "2024-01-28").withColumn("dataset_id", F.col("series_id"))
@@ -189,7 +190,8 @@ def a10_state_tables(spark, d):
     errors = experts.filter("y_true is not null").withColumn("sq_error", F.col("error") * F.col("error")).withColumnsRenamed({"series_id": "dataset_id", "expert": "expert_id"})
     for _ in range(2):
         save_round(tables, made, about, summaries.withColumnsRenamed({"series_id": "dataset_id", "by_status": "counts"}), errors)
-    counts = [t.read(spark).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()]
+    stored = {name: t.read(spark) for name, t in tables.items()} | {"predictions": S.read_predictions(tables, spark)}
+    counts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, rows in stored.items()]
     return reduce(DataFrame.unionByName, counts)
 
 
