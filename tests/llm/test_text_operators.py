@@ -388,6 +388,59 @@ def test_random_white_space_has_the_ids_of_the_library():
             assert token_files.Encoder(path, 2, most=100)(chunk) == want
 
 
+def test_random_words_of_letters_have_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(6)
+    letters = np.array([*"abcdefghinorst" * 6, *"ABÀÖØÞßàöøÿĀĠġĳĸŉſƀμяª×÷ñ'’-.,1"], dtype=object)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = token_files.Encoder(path, 2), Tokenizer.from_file(path)
+    words = ["".join(letters[rng.integers(0, len(letters), n)]) for n in rng.integers(1, 15, 60_000)]
+    texts = [" ".join(words[i : i + 9]) + "\n" + " ".join(words[i + 9 : i + 20]) for i in range(0, len(words), 20)]
+    want = [np.asarray(e.ids, own.kind).tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert own(texts) == want and own(texts) == want
+
+
+def test_words_kept_are_bounded_in_number_and_length():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = token_files.Encoder(path, 2, most=50)
+    texts = [f"x {'漢字' * 20}{i} w{chr(97 + i % 26)}{'o' * (i // 26 + 1)}." for i in range(200)]
+    assert own(texts) == own(texts) == [own.whole(t) for t in texts]
+    assert len(own.known) == 50 and max(map(len, own.known)) <= token_files.LONGEST
+
+
+def test_workers_keep_their_encoder_from_task_to_task(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, f"plain words of text {i}") for i in range(40)], "doc_id long, text string")
+    assert token_files.token_files(docs, path, files=4).count() == 40
+
+    def kept(batches):
+        import pandas as pd
+
+        for _ in batches:
+            yield pd.DataFrame({"n": [token_files.encoder.cache_info().currsize and len(token_files.encoder(path, 2).known)]})
+
+    assert max(r["n"] for r in spark.range(0, 8, 1, 8).mapInPandas(kept, "n long").collect()) >= 4
+
+
+def test_ids_beside_null_ids_stay_exact(spark):
+    docs = spark.createDataFrame([(None, "a"), (2**53 + 1, "b c"), (5, None)], "doc_id long, text string")
+    got = token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), files=1).collect()
+    assert {(r["doc_id"], r["start"], r["n_tokens"]) for r in got} == {(None, 0, 2), (5, 2, 1), (2**53 + 1, 3, 3)}
+
+
+@pytest.mark.parametrize("most", [1, 100, 1_000, 1 << 20])
+def test_batches_by_bytes_keep_all_rows(most):
+    import pyarrow as pa
+
+    texts = ["", "x" * 300, "é" * 50, "", "y"] * 30 + ["z" * 5_000, ""]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    got = list(token_files.by_bytes(iter([rows.slice(0, 7), rows.slice(7, 0), rows.slice(7)]), "text", most))
+    assert pa.concat_batches(got).equals(rows) and all(b.num_rows for b in got)
+    assert all(sum(len(t.encode()) + 64 for t in b.column("text").to_pylist()[:-1]) < most for b in got)
+    assert not list(token_files.by_bytes(iter([rows.slice(0, 0)]), "text", most))
+
+
 def test_rows_of_one_id_are_dealt_to_several_files(spark):
     docs = spark.range(400).selectExpr("7 as doc_id", "concat('text ', id) as text")
     path = public_tokenizers.path("byte_bpe_50k.json")

@@ -10,12 +10,16 @@ frame and place in it each document has.
 from __future__ import annotations
 
 import os
+import re
 import struct
+from codecs import charmap_decode
 from collections.abc import Iterator
-from itertools import filterfalse
+from functools import cache
+from itertools import filterfalse, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,10 +98,13 @@ class FrameReader:
         return np.frombuffer(data, dtype=self.kind)
 
 
-#: White space but for blanks and line breaks, and two of these in a row.
+#: White space but for blanks and line breaks.
 ODD_SPACE = [chr(c) for c in range(0x10000) if chr(c).isspace() and chr(c) not in " \n"]
-ODD_ASCII = [c for c in ODD_SPACE if c.isascii()]
-DOUBLE = ("  ", " \n", "\n ", "\n\n")
+#: Letters that a byte-level tokenizer never cuts apart; a word of these alone is one piece.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+
+#: Characters of a word that is kept; where nothing parts words, whole sentences are one.
+LONGEST = 32
 
 
 class Encoder:
@@ -105,12 +112,14 @@ class Encoder:
 
     A byte-level BPE never joins a piece of text with what follows behind a space, nor with a single line break between two words, so
     that a text whose words have one space or line break between them is the sum of its words, each with what stands before it. Texts
-    with any other white space, and those that hold an added token such as ``<|endoftext|>``, are encoded as they are. ``most`` bounds the words kept.
+    with any other white space, and those that hold an added token such as ``<|endoftext|>``, are encoded as they are. Arrow cuts the
+    texts of a call into words and tells these apart, so that Python sees each distinct one once. ``most`` bounds the words kept, of
+    which none has more than ``LONGEST`` characters.
     """
 
     def __init__(self, tokenizer: str, end_id: int, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.bpe = Tokenizer.from_file(tokenizer)
         size = max(self.bpe.get_vocab_size(), end_id + 1)
@@ -119,72 +128,93 @@ class Encoder:
         self.spaced = np.array([(self.bpe.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.known: dict[str, bytes] = {}
         self.marks = {m: self.whole("a" + m)[len(self.whole("a")) :] for m in ".,;:!?"}
-        self.added = [t.content for t in self.bpe.get_added_tokens_decoder().values()]
-        by_bytes = '"type":"ByteLevel"' in self.bpe.to_str().replace(" ", "").partition('"pre_tokenizer":')[2][:40]
+        added = [t.content for t in self.bpe.get_added_tokens_decoder().values()]
+        cut = self.bpe.pre_tokenizer
+        by_bytes = isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
         # Words put side by side must not make an added token.
-        self.by_words = by_bytes and not self.bpe.normalizer and not any(len(t.split()) != 1 or t != t.strip() for t in self.added)
+        self.by_words = by_bytes and not self.bpe.normalizer and not any(len(t.split()) != 1 or t != t.strip() for t in added)
+        space = "".join(f"\\x{{{ord(c):x}}}" for c in ODD_SPACE)
+        self.unlike_words = "|".join([r"\A[ \n]", r"[ \n]\z", r"[ \n][ \n]", f"[{space}]", *("".join(f"\\x{{{ord(c):x}}}" for c in t) for t in added)])
+        # The same model behind a cut at blanks, for words of letters that are spelled in the bytes' characters already.
+        self.letters = Tokenizer(self.bpe.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.of_letters = re.compile(f"[{LETTERS}]+").fullmatch
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        pairs = {b: c for x in [*map(chr, range(0x80)), *map(chr, range(0xC0, 0x180))] for b, c in zip(x.encode(), spell(x)[0][0])}
+        self.spelled = "".join(" " if b == 10 else pairs.get(b, "\ufffe") for b in range(256))  # \ufffe: not in these letters
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.bpe.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def words(self, text: str) -> list[str] | None:
-        """The text's words, but for the first with the line break before them, if they have one; None where they don't tell the text."""
-        if not self.by_words or any(t in text for t in self.added):
-            return None
-        if text[0] in " \n" or text[-1] in " \n" or any(two in text for two in DOUBLE) or any(c in text for c in (ODD_ASCII if text.isascii() else ODD_SPACE)):
-            return None
-        return text.replace("\n", " \n").split(" ")
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        waiting: list[tuple[int, bytes, list[str]]] = []
-        new: set[str] = set()
-        own, there = self.known.__getitem__, self.known.__contains__
-        for text in texts:
-            words = self.words(text) if text else []
-            if not words:
-                out.append(self.whole(text) if text else b"")
-                continue
-            head = self.whole(words[0])
-            del words[0]
-            try:
-                out.append(head + b"".join(map(own, words)))
-            except KeyError:
-                new.update(filterfalse(there, words))
-                waiting.append((len(out), head, words))
-                out.append(b"")
-        found = self.learn(new)
-        for i, head, words in waiting:
-            try:
-                out[i] = head + b"".join(map(own, words))
-            except KeyError:  # there was no room for all
-                out[i] = head + b"".join([found.get(w) or own(w) for w in words])
+        return self.wholes([text])[0]
+
+    def wholes(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype=self.kind).tobytes() for e in self.bpe.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        rows = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()).fill_null("")
+        out = [b""] * len(rows)
+        filled = pc.binary_length(rows).to_numpy(zero_copy_only=False) > 0
+        odd = pc.match_substring_regex(rows, self.unlike_words).to_numpy(zero_copy_only=False) if self.by_words else filled
+        at = np.flatnonzero(filled & odd)
+        for i, data in zip(at.tolist(), self.wholes(rows.take(pa.array(at)).to_pylist())):
+            out[i] = data
+        at = np.flatnonzero(filled & ~odd)
+        if len(at):
+            for i, data in zip(at.tolist(), self.from_words(rows.take(pa.array(at)))):
+                out[i] = data
         return out
 
-    def learn(self, new: set[str]) -> dict[str, bytes]:
+    def from_words(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of texts that their words tell; a word has the line break before it, if there is one."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        data = list(map(self.known.get, words))
+        if None in data:
+            found = self.learn([w for w, ids in zip(words, data) if ids is None])
+            data = [ids or found[w] for w, ids in zip(words, data)]
+        # A text's first word has nothing before it.
+        starts, picks = lists.offsets.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+        heads = self.wholes([words[i] for i in picks[starts[:-1]]])
+        picks[starts[:-1]] = len(words) + np.arange(len(heads))
+        ids = pa.array(data + heads, pa.large_binary()).take(pa.array(picks))
+        _, ends, packed = ids.buffers()
+        ends = np.frombuffer(ends, np.int64)[starts].tolist()
+        packed = memoryview(packed)
+        return [packed[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
         """Packed ids of the words; they are kept while there is room, which frequent words take first.
 
         A mark behind a letter is a piece of its own for the tokenizer, so a word that ends so is put together from the two.
         """
         marked = {w: w[:-1] for w in new if w[-1] in self.marks and w[-2:-1].isalpha()}
-        plain = {w for w in new if w not in marked} | {w for w in marked.values() if w not in self.known}
+        plain = set(new).difference(marked)
+        plain.update(filterfalse(self.known.__contains__, marked.values()))
+        letters = list(filter(self.of_letters, plain))
+        plain.difference_update(letters)
         broken = [w for w in plain if w[0] == "\n"]
-        found = self.encoded(list(plain.difference(broken)), " ", self.spaced) | self.encoded(broken, "", None)
+        found = self.encoded(letters, "\n ") | self.encoded(list(plain.difference(broken)), " ") | self.encoded(broken, "")
         found |= {w: (found.get(core) or self.known[core]) + self.marks[w[-1]] for w, core in marked.items()}
-        if len(self.known) < self.most:
-            self.known.update(found)
+        if (room := self.most - len(self.known)) > 0:
+            self.known.update(islice(((w, ids) for w, ids in found.items() if len(w) <= LONGEST), room))
         return found
 
-    def encoded(self, words: list[str], before: str, starting) -> dict[str, bytes]:
-        """Packed ids of words, of which each starts with an id that is marked in ``starting``, or, without marks, a line break's."""
+    def encoded(self, words: list[str], before: str) -> dict[str, bytes]:
+        """Packed ids of words, of which each starts with an id that has a space before it, or, with nothing put before them, a line break's.
+
+        With both put before them they are words of letters, which then are spelled by their bytes and cut at the line breaks.
+        """
         found = {}
         lines = [words[i : i + 128] for i in range(0, len(words), 128)]
+        texts = [before + before.join(x) for x in lines]
+        if by_letters := before == "\n ":
+            texts = [charmap_decode(t.encode(), "strict", self.spelled)[0] for t in texts]
         w = self.width
-        if starting is None:
+        if not before:
             line_break = self.bpe.encode("a\nb", add_special_tokens=False).ids[1]
-        for line, e in zip(lines, self.bpe.encode_batch_fast([before + before.join(x) for x in lines], add_special_tokens=False)):
+        for line, e in zip(lines, (self.letters if by_letters else self.bpe).encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.asarray(e.ids)
-            starts = np.flatnonzero(ids == line_break if starting is None else starting[ids])
+            starts = np.flatnonzero(self.spaced[ids] if before else ids == line_break)
             if len(starts) != len(line):
                 raise ValueError("the tokenizer joins words")
             packed, at = ids.astype(self.kind).tobytes(), (starts * w).tolist()
@@ -192,7 +222,31 @@ class Encoder:
         return found
 
 
-ENCODERS: dict[tuple[str, int], Encoder] = {}
+@cache
+def encoder(tokenizer: str, end_id: int) -> Encoder:
+    """A Python worker's own, with the words that it keeps from task to task.
+
+    Tasks find it through this module: variables that a function sent to them names are copied into it, anew for each task.
+    """
+    return Encoder(tokenizer, end_id)
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, row: int = 64) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``most`` bytes of the column's texts, a row counting as some bytes itself."""
+    held, size = [], 0
+    for b in batches:
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False).astype(np.int64) + row)])
+        at = 0
+        while at < b.num_rows:
+            to = min(int(np.searchsorted(ends, ends[at] + most - size)), b.num_rows)
+            held.append(b.slice(at, to - at))
+            size += int(ends[to] - ends[at])
+            at = to
+            if size >= most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, files: int | None = None, file_bytes: int = 1 << 28, frame_bytes: int = 1 << 20, level: int = 1) -> DataFrame:
@@ -212,35 +266,37 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, id_col: s
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(files, "id", "h").sortWithinPartitions("id", "h", "text").drop("h")
     kind = rows.schema["id"].dataType.simpleString()
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = ENCODERS.get((tokenizer, end_id)) or ENCODERS.setdefault((tokenizer, end_id), Encoder(tokenizer, end_id))
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer, end_id)
         width, end = encode.width, np.array([end_id], dtype=encode.kind).tobytes()
         task = TaskContext.get()
         store, path = open_folder(folder)
         store.create_dir(path, recursive=True)
         part = task.partitionId()
+        names = ["id", "part", "local", "n_tokens", "file", "width", "frame", "place"]
         name = f"tokens-{part:05d}.w{width}.{task.taskAttemptId()}.zst"
         out, writer, local = None, None, 0
-        for b in batches:
-            for at in range(0, len(b), 512):
-                chunk = b.iloc[at : at + 512]
-                if writer is None:
-                    out = store.open_output_stream(f"{path}/_{name}", compression=None)
-                    writer = FrameWriter(out, width, frame_bytes, level)
-                places, sizes = [], []
-                for data in encode(chunk["text"].tolist()):
-                    data += end
-                    places.append(writer.add(data))
-                    sizes.append(len(data) // width)
-                starts = local + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-                local += sum(sizes)
-                yield pd.DataFrame({"id": chunk["id"].to_numpy(), "part": part, "local": starts, "n_tokens": sizes, "file": name, "width": width, "frame": [p[0] for p in places], "place": [p[1] for p in places]})
+        for b in by_bytes(batches, "text"):
+            if writer is None:
+                out = store.open_output_stream(f"{path}/_{name}", compression=None)
+                writer = FrameWriter(out, width, frame_bytes, level)
+            places, sizes = [], []
+            for data in encode(b.column("text")):
+                data += end
+                places.append(writer.add(data))
+                sizes.append(len(data) // width)
+            starts = local + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+            local += sum(sizes)
+            frames, places = zip(*places)
+            n = b.num_rows
+            columns = [pa.repeat(pa.scalar(part, pa.int32()), n), starts, np.array(sizes), pa.repeat(name, n), pa.repeat(pa.scalar(width, pa.int32()), n), np.array(frames, np.int32), np.array(places)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns)], names)
         if writer is not None:
             writer.close()
             out.close()
             store.move(f"{path}/_{name}", f"{path}/{name}")
 
-    written = rows.mapInPandas(write, f"id {kind}, part int, local long, n_tokens long, file string, width int, frame int, place long")
+    written = rows.mapInArrow(write, f"id {kind}, part int, local long, n_tokens long, file string, width int, frame int, place long")
     written.write.parquet(f"{folder}/places")
     places = spark.read.schema(written.schema).parquet(f"{folder}/places")
     # One row for each file: the sums run over files, not documents.
@@ -261,22 +317,22 @@ def read_token_files(places: DataFrame, folder: str, *, id_col: str = "doc_id")
     rows = places.repartition(partitions(places.sparkSession), "file", "frame").sortWithinPartitions("file", "frame", "place")
     schema = schema_and(rows, ids_crc32="long")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
         store, path = open_folder(folder)
         name, reader, at, ids = None, None, None, None
         for b in batches:
             sums = []
-            for file, width, frame, place, n in zip(b["file"], b["width"], b["frame"], b["place"], b["n_tokens"]):
+            for file, width, frame, place, n in zip(*(b.column(c).to_pylist() for c in ("file", "width", "frame", "place", "n_tokens"))):
                 if file != name:
                     name, reader, at = file, FrameReader(store.open_input_file(f"{path}/{file}"), width), None
                 if frame != at:
                     at, ids = frame, reader.frame(frame)
                 sums.append(zlib.crc32(ids[place : place + n].astype("<u4").tobytes()))
-            yield b.assign(ids_crc32=sums)
+            yield b.append_column("ids_crc32", pa.array(sums, pa.int64()))
 
-    return rows.mapInPandas(read, schema)
+    return rows.mapInArrow(read, schema)
 
 
 def token_files(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
