@@ -223,6 +223,66 @@ def test_rows_that_share_an_id_are_one_document(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (3, 1), (5, 1), (5, 1), (7, 1), (8, 8), (8, 8)]
 
 
+def similar_sets(rng, n):
+    """Two sets of about n hashes that are about as similar as they have to be."""
+    shared = rng.integers(0, 1 << 63, n).astype(np.uint64)
+    own = rng.integers(0, 1 << 63, rng.integers(0, n // 3 + 1)).astype(np.uint64)
+    at = rng.integers(0, len(own) + 1)
+    return np.unique(np.concatenate([shared, own[:at]])), np.unique(np.concatenate([shared, own[at:]]))
+
+
+@pytest.mark.parametrize("percent", [75, 40])
+def test_similar_sets_have_a_key_in_common_and_sketches_that_allow_it(percent):
+    rng = np.random.default_rng(3)
+    seen = 0
+    for _ in range(1500):
+        a, b = similar_sets(rng, int(rng.choice([1, 2, 3, 5, 9, 15, 16, 33, 90, 400])))
+        if 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)):
+            continue
+        seen += 1
+        several = int(rng.integers(1, 50))
+        keys = [jaccard_join.prefix_keys(s, 1 + (s >> np.uint64(7)).astype(np.int64) % several, percent, 10) for s in (a, b)]
+        assert len(np.intersect1d(*keys))
+        assert jaccard_join.may_link(len(a), jaccard_join.sketch(a), len(b), jaccard_join.sketch(b), percent)
+    assert seen > 700
+
+
+def test_sketches_of_sets_without_common_tokens_allow_no_link():
+    rng = np.random.default_rng(4)
+    for n, m in ((40, 40), (40, 50), (600, 500), (5000, 4000)):
+        a, b = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (n, m))
+        assert not jaccard_join.may_link(n, jaccard_join.sketch(a), m, jaccard_join.sketch(b), 75)
+
+
+@pytest.mark.parametrize("n", [20, 300, 2_000, 20_000])
+def test_keys_of_frequent_tokens_grow_no_faster_than_the_set(n):
+    s = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64))
+    assert len(jaccard_join.prefix_keys(s, np.full(len(s), 999), 75, 256)) < 2 * n
+
+
+def candidates_of(monkeypatch, docs, **options):
+    """Edges of candidates and groups that are verified, of a run over docs."""
+    seen = {}
+    for name, at in (("connected_components", 0), ("verified_edges", 1)):
+
+        def watch(*args, own=getattr(jaccard_join, name), name=name, at=at, **more):
+            seen.setdefault(name, args[at].count())
+            return own(*args, **more)
+
+        monkeypatch.setattr(jaccard_join, name, watch)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, **options).collect()}
+    return seen["connected_components"], seen["verified_edges"], found
+
+
+def test_keys_shared_by_chance_tie_no_groups_and_copies_are_indexed_once(spark, monkeypatch):
+    """Each text has a passage of the one before; six copies of each, below the eight of a group that all tasks know."""
+    texts = [" ".join([*(f"p{i - 1}_{k}" for k in range(10)), *(f"w{i}_{k}" for k in range(40)), *(f"p{i}_{k}" for k in range(10))]) for i in range(30)]
+    rows = [(100 * j + i, t) for i, t in enumerate(texts) for j in range(6)]
+    edges, grouped, found = candidates_of(monkeypatch, spark.createDataFrame(rows, "doc_id long, text string"), bitmap_bits=12, table_tokens=0)
+    assert (edges, grouped) == (0, 0)
+    assert found == {d: d % 100 for d, _ in rows}
+
+
 def test_shingles_are_compared_by_their_words():
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, 4, n) for n in (1, 2, 2, 4, 5, 9, 30, 30)] + [np.array([0, 1, 2, 3])]
